@@ -10,7 +10,7 @@ import xxhash
 from docketry.llm.lookalikes import fold
 
 #: Letters, digits and the signs that combine with them; the Devanagari full stop is none.
-WORD = re.compile(r"[\ẁ-ͯऀ-ॣ०-ॿ]+")
+WORD = re.compile("[\\w%c-%c%c-%c%c-%c]+" % (0x300, 0x36F, 0x900, 0x963, 0x966, 0x97F))
 #: Hashes are kept per task until there are so many words, then computed anew.
 KEPT = 500_000
 
