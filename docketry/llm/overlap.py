@@ -34,22 +34,22 @@ BLOCK = 2_000
 
 def _signer():
     rng = np.random.default_rng(20_240_501)
-    seeds = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
-    return seeds * np.uint64(2) + np.uint64(1), rng.integers(1, 2**63, BANDS, dtype=np.uint64)
+    seeds = rng.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32)
+    return seeds * np.uint32(2) + np.uint32(1), rng.integers(1, 2**63, BANDS, dtype=np.uint64)
 
 
 _ODD, _SALT = _signer()
 
 
-def band_hashes(unique: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket per band of the set of shingle hashes ``unique`` (not empty)."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def band_hashes(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit bucket per band of the set of shingle hashes (not empty; repeats change nothing)."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(unique), 4096):
-            part = unique[at : at + 4096]
-            # a product with an odd number permutes the hashes; its high half orders them
-            np.minimum(low, (part[None, :] * _ODD[:, None]).min(axis=1), out=low)
-        rows = mix(low).reshape(BANDS, ROWS)
+        for at in range(0, len(high), 4096):
+            # a product with an odd number permutes the 32-bit hashes
+            np.minimum(low, (high[None, at : at + 4096] * _ODD[:, None]).min(axis=1), out=low)
+        rows = mix(low.astype(np.uint64)).reshape(BANDS, ROWS)
         out = _SALT.copy()
         for j in range(ROWS):
             out = mix(out * np.uint64(31) + rows[:, j])
@@ -66,7 +66,7 @@ def _sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keep.append(i)
                 digests.append(digest(h))
                 counts.append(len(h))
-                bands.append(band_hashes(np.unique(shingles(h, SHINGLE))))
+                bands.append(band_hashes(shingles(h, SHINGLE)))
         yield pd.DataFrame({"record": frame["record"].iloc[keep].to_numpy(), "raw": frame["raw"].iloc[keep].to_numpy(), "held_out": frame["held_out"].iloc[keep].to_numpy(), "digest": digests, "n_words": counts, "bands": bands})
 
 

@@ -11,33 +11,40 @@ from docketry.llm.lookalikes import fold
 
 #: Letters, digits and the signs that combine with them; the Devanagari full stop is none.
 WORD = re.compile("[\\w%c-%c%c-%c%c-%c]+" % (0x300, 0x36F, 0x900, 0x963, 0x966, 0x97F))
+#: The same for ASCII, byte for byte: letters in lower case, digits and _ stay, all else is a space.
+_ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() or c == 95 else 32 for c in range(128)) + bytes([32]) * 128
 #: Hashes are kept per task until there are so many words, then computed anew.
 KEPT = 500_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str) -> list[str]:
-    """Words in order, letter case, punctuation, layout and the form of characters aside."""
-    return WORD.findall(fold(text).lower())
+def words(text: str) -> list[bytes]:
+    """Words in order (UTF-8), letter case, punctuation, layout and the form of characters aside."""
+    if text.isascii():
+        return text.encode().translate(_ASCII).split()
+    text = fold(text)
+    if text.isascii():
+        return text.encode().translate(_ASCII).split()
+    return [w.encode("utf-8", "surrogatepass") for w in WORD.findall(text.lower())]
+
+
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
 
 
 class Hasher:
     """Hashes of words, remembered within a task."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
 
-    def __call__(self, tokens: list[str]) -> np.ndarray:
+    def __call__(self, tokens: list[bytes]) -> np.ndarray:
         if len(self.known) > KEPT:
             self.known.clear()
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-        except KeyError:
-            for w in set(tokens) - known.keys():
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+        return np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
