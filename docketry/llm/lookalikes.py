@@ -41,7 +41,7 @@ GREEK = dict(zip("ΑΒΕΗΙΚΜΝΟΡΤΧΥΖϲϳον", "ABEHIKMNOPTXYZcjov", s
 INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
 SPACES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 
-_TABLE = dict.fromkeys(INVISIBLE) | dict.fromkeys(SPACES, " ") | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+_PLAIN = dict.fromkeys(map(chr, INVISIBLE), "") | dict.fromkeys(map(chr, SPACES), " ") | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _SUSPECT = re.compile(r"[Ͱ-Ͽἀ-῿Ѐ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
 _TO_LATIN = CYRILLIC | GREEK
@@ -54,7 +54,9 @@ def fold(text: str) -> str:
     """Steps 1 and 2."""
     if text.isascii():
         return text
-    text = text.translate(_TABLE).replace("\r\n", "\n")
+    for c in _PLAIN.keys() & set(text):  # one fast pass for each such character that the text has
+        text = text.replace(c, _PLAIN[c])
+    text = text.replace("\r\n", "\n")
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 

@@ -13,6 +13,9 @@ from docketry.llm.lookalikes import fold
 WORD = re.compile("[\\w%c-%c%c-%c%c-%c]+" % (0x300, 0x36F, 0x900, 0x963, 0x966, 0x97F))
 #: The same for ASCII, byte for byte: letters in lower case, digits and _ stay, all else is a space.
 _ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() or c == 95 else 32 for c in range(128)) + bytes([32]) * 128
+#: For UTF-8 of other texts, of which nothing but words, spaces and ASCII is left.
+_OTHER = _ASCII[:128] + bytes(range(128, 256))
+_IN_WORD: dict[str, bool] = {}
 #: Hashes are kept per task until there are so many words, then computed anew.
 KEPT = 500_000
 
@@ -26,7 +29,14 @@ def words(text: str) -> list[bytes]:
     text = fold(text)
     if text.isascii():
         return text.encode().translate(_ASCII).split()
-    return [w.encode("utf-8", "surrogatepass") for w in WORD.findall(text.lower())]
+    text = text.lower()
+    for c in set(text):
+        if c > "\x7f":
+            if c not in _IN_WORD:
+                _IN_WORD[c] = WORD.match(c) is not None
+            if not _IN_WORD[c]:
+                text = text.replace(c, " ")
+    return text.encode("utf-8", "surrogatepass").translate(_OTHER).split()
 
 
 class _Known(dict):
