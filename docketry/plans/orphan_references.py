@@ -102,7 +102,7 @@ def p6_open_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, events = references(spark, sf_dir), orphans.parent_events(parents(spark, sf_dir))
     changes = orphans.month_changes(refs, events)
     months = changes.select("month").distinct().unionByName(events.select(F.date_format("at", "yyyy-MM").alias("month")).distinct()).distinct()  # one row per month
-    grid = months.join(F.broadcast(changes.select("ref_table").distinct()))
+    grid = months.withColumn("ref_table", F.explode(F.array(*[F.lit(t) for t in ("edges", "resolutions", "candidates")])))
     w = Window.partitionBy("ref_table").orderBy("month")  # one row per month and table
     total = grid.join(changes, ["ref_table", "month"], "left").withColumn("open_orphans", F.sum(F.coalesce("change", F.lit(0))).over(w))
     return total.filter("open_orphans > 0").select("ref_table", "month", "open_orphans")
