@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.session import materialise, release
@@ -77,7 +77,7 @@ def _key_log(ledger: Ledger, events: DataFrame) -> DataFrame:
     )
 
 
-def _live_at(at) -> F.Column:
+def _live_at(at: Column) -> Column:
     """Whether the key is live at ``at``, over the columns of the key log; NULL keys are not."""
     past = F.filter("flips", lambda f: f["at"] <= at)
     return F.coalesce(F.when(F.size(past) > 0, F.element_at(past, -1)["up"]).otherwise(F.col("live_before") > 0), F.lit(False))
