@@ -1,4 +1,4 @@
-"""Registered queries, by topic. :func:`load` imports every module here, which registers its queries."""
+"""Registered queries, by topic. :func:`load` imports every module here, and those of the sources and streams, which registers their queries."""
 
 from __future__ import annotations
 
@@ -9,3 +9,5 @@ import pkgutil
 def load() -> None:
     for module in pkgutil.iter_modules(__path__):
         importlib.import_module(f"{__name__}.{module.name}")
+    for name in ("docketry.sources.files", "docketry.streaming.events"):
+        importlib.import_module(name)
