@@ -10,8 +10,8 @@ All steps are SQL over lines and words; windows run over the lines or words of o
   them do not count) is one word, with the hyphen if the corpus has that form more often than the closed one. Where it
   has neither, the hyphen stays if both sides are words.
 * Misread words. Words are grouped by a skeleton that maps confusable glyphs and pairs of glyphs to one. In a group, a
-  word with a digit or sign among its letters, or one ``RARER`` times rarer than another form, is read as the most
-  frequent form that stands elsewhere beside the same neighbour; a sign or digit is read as its letter where the group
+  word with a digit or sign among its letters, or one ``RARER`` times rarer than another form (``SHORT_RARER`` times for
+  words of up to ``SHORT`` letters, of which many differ in one glyph), is read as the most frequent form that stands elsewhere beside the same neighbour; a sign or digit is read as its letter where the group
   has no form.
 
 Defined cases: NULL and empty texts give nothing; repeated rows count once; NULL page numbers match no page line; NULL
@@ -34,7 +34,7 @@ SIGNS, LETTERS = "015!|@$", "olsilas"
 HEAD_WORDS = r"\b(the|no|of|part|chapter|sec|section|ss?|page|[ivxlc]+)\b"
 
 HEAD_RECORDS = 3
-RARER = 8
+RARER, SHORT, SHORT_RARER = 5, 3, 50
 
 
 def skeleton(word: Column) -> Column:
@@ -149,7 +149,7 @@ def repair(marked: DataFrame) -> DataFrame:
     odd = rows.filter("now <> ''").select("now").distinct().select("now", F.posexplode(F.split("now", "-")).alias("i", "part")).filter(F.length("part") > 1)
     odd = odd.join(parts.select("part", "n"), "part", "left").withColumn("n", z("n")).withColumn("skeleton", skeleton(F.col("part"))).withColumn("signed", _signed(F.col("part")))
     better = parts.filter(~F.col("part").rlike(r"[^\p{L}]") & (F.length("part") > 1)).select("skeleton", F.col("part").alias("form"), F.col("n").alias("n_form"))
-    pairs = odd.join(better, "skeleton", "left").filter((F.col("form") != F.col("part")) & (F.col("signed") | (F.col("n_form") >= RARER * F.greatest("n", F.lit(1)))) | (F.col("signed") & F.col("form").isNull()))
+    pairs = odd.join(better, "skeleton", "left").filter((F.col("form") != F.col("part")) & (F.col("signed") | (F.col("n_form") >= F.when(F.length("part") <= SHORT, SHORT_RARER).otherwise(RARER) * F.greatest("n", F.lit(1)))) | (F.col("signed") & F.col("form").isNull()))
     pairs = pairs.select("now", "i", "part", "signed", F.coalesce("form", F.translate("part", SIGNS, LETTERS)).alias("form"), z("n_form").alias("n_form"))
     # of a word's several damaged parts the others take their most frequent form
     best = pairs.groupBy("now", "i").agg(F.min_by("form", F.struct((-F.col("n_form")).alias("n"), "form")).alias("form"))
@@ -178,7 +178,7 @@ def paragraphs(marked: DataFrame, repaired: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("record", "copy").orderBy("at")
     ended = F.lag("line").over(w).rlike(r"[.:;]$")
-    gap = F.col("at") - F.lag("at").over(w) - (F.col("seen") - F.lag("seen").over(w)) > 0
+    gap = F.col("at") - F.lag("at").over(w) - (F.col("seen") - F.lag("seen").over(w)) > 1
     starts = marked.withColumn("seen", F.sum(F.col("running").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("not running")
     starts = starts.withColumn("start", F.coalesce(ended & (gap | F.col("line").rlike(r"^\(\d+\)")), F.lit(False)).cast("int"))
     numbered = starts.select("record", "copy", "at", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("paragraph"))
