@@ -18,7 +18,7 @@ def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running lines, broken words and misread words, with what they should be."""
     marked = marked_lines(spark, sf_dir)
-    words = materialise(scans.repair(marked))
+    words = materialise(scans.repair(materialise(scans.tokens(marked))))
     as_row = lambda rows, damage, repaired: rows.select(F.col("record").alias("node_id"), F.lit(damage).alias("damage"), F.col(repaired).alias("repaired"))
     found = as_row(marked.filter("running"), "running_line", "line")
     found = found.unionByName(as_row(words.filter("broken"), "broken_word", "repaired"))
@@ -29,5 +29,6 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every provision text in continuous paragraphs of repaired words."""
     marked = marked_lines(spark, sf_dir)
-    rows = scans.paragraphs(marked, materialise(scans.repair(marked)))
+    words = materialise(scans.tokens(marked))
+    rows = scans.paragraphs(marked, words, materialise(scans.repair(words)))
     return rows.select(F.col("record").alias("node_id"), "paragraph", "text").distinct()

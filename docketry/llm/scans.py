@@ -57,10 +57,11 @@ def _spaced(c: Column) -> Column:
 
 
 def lines(records: DataFrame, record: str, document: str, title: str, text: str, page_start: str, page_end: str) -> DataFrame:
-    """``record, copy, at, line, running`` of all lines that are not blank."""
-    rows = records.select(F.col(record).alias("record"), F.col(document).alias("document"), F.col(title).alias("title"), F.col(text).alias("text"), F.col(page_start).alias("p0"), F.col(page_end).alias("p1"))
-    rows = rows.filter("record is not null and text is not null and text <> ''").distinct().withColumn("copy", F.xxhash64("text"))
-    each = rows.select("record", "copy", "document", "title", "p0", "p1", F.posexplode(F.split("text", LINE_END)).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^[\s ]+|[\s ]+$", "")).filter("line <> ''")
+    """``record, copy, at, line, running`` of all lines that are not blank; ``copy`` is one per text of a record."""
+    rows = records.select(F.col(record).alias("record"), F.xxhash64(text).alias("copy"), F.col(document).alias("document"), F.col(title).alias("title"), F.col(text).alias("text"), F.col(page_start).alias("p0"), F.col(page_end).alias("p1"))
+    # one shuffle: repeated rows go, and the windows over a text's lines find them where they are
+    rows = rows.filter("record is not null and text is not null and text <> ''").groupBy("record", "copy").agg(F.max(F.struct("document", "title", "p0", "p1")).alias("of"), F.first("text").alias("text")).select("record", "copy", "of.*", "text")
+    each = rows.select("record", "copy", "document", "title", "p0", "p1", F.posexplode(F.split("text", LINE_END)).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^[\s ]+|[\s ]+$", "")).filter("line <> ''")
     number = F.regexp_extract(F.lower("line"), r"^[^\p{L}\p{N}.]*(?:page|pg\.?|p\.)?[^\p{L}\p{N}.]*(\p{N}+)(?:\s*(?:of|/)\s*\p{N}+)?[^\p{L}\p{N}.]*$", 1)
     page = F.coalesce(F.expr("try_cast(nullif(number, '') as int) between p0 and p1"), F.lit(False))
     each = each.withColumn("number", number).withColumn("is_page", page)
@@ -68,20 +69,23 @@ def lines(records: DataFrame, record: str, document: str, title: str, text: str,
     bare = _letters(F.regexp_replace(unnumbered(F.coalesce("title", F.lit(""))), r"^the\b", ""))
     spare = F.regexp_replace(unnumbered("line"), HEAD_WORDS, "")
     headed = (bare != "") & (F.instr(_letters(unnumbered("line")), bare) > 0) & (F.length(_letters(spare)) <= F.length(bare) + 1)
-    of_title = F.split(_spaced(F.coalesce("title", F.lit(""))), " ")
-    masked = F.array_join(F.array_except(F.split(_spaced(F.regexp_replace("line", r"\b\p{N}+\b", "")), " "), of_title), " ")
     names = F.regexp_replace("line", r"\b(of|the|and|for|in|to)\b", "")
     capital = names.rlike(r"\p{L}{4}") & ~names.rlike(r"(^|[^\p{L}\p{N}])\p{Ll}") & ~F.col("line").rlike(r"[.:;,-]$")
     w = Window.partitionBy("record", "copy").orderBy("at")
-    each = each.withColumn("headed", headed).withColumn("capital", capital).withColumn("masked", masked).withColumn("beside", F.coalesce(F.lag("is_page").over(w), F.lit(False)) | F.coalesce(F.lead("is_page").over(w), F.lit(False)))
-    each = materialise(each.drop("title", "p0", "p1", "number"))
+    beside = F.coalesce(F.lag("is_page").over(w), F.lit(False)) | F.coalesce(F.lead("is_page").over(w), F.lit(False))
+    each = each.withColumn("headed", headed).withColumn("capital", capital).withColumn("beside", beside).withColumn("asked", (F.col("capital") | F.col("beside")) & ~F.col("is_page"))
+    of_title = F.split(_spaced(F.coalesce("title", F.lit(""))), " ")
+    masked = F.array_join(F.array_except(F.split(_spaced(F.regexp_replace("line", r"\b\p{N}+\b", "")), " "), of_title), " ")
+    each = materialise(each.withColumn("masked", masked).select("record", "copy", "at", "line", "is_page", "headed", "capital", "asked", "masked"))
     heads = (
         each.filter("masked <> '' and not is_page").groupBy("capital", "masked")
-        .agg(F.countDistinct(F.when(F.col("beside") | F.col("capital"), F.col("record"))).alias("records"), F.avg((F.col("beside") | F.col("capital")).cast("int")).alias("share"))
+        .agg(F.countDistinct(F.when(F.col("asked"), F.col("record"))).alias("records"), F.avg(F.col("asked").cast("int")).alias("share"))
         .filter((F.col("records") >= HEAD_RECORDS) & (F.col("share") > 0.5)).select("capital", "masked", F.lit(True).alias("returns"))
     )
-    running = F.col("is_page") | F.col("headed") | F.coalesce("returns", F.lit(False))
-    return each.join(heads, ["capital", "masked"], "left").select("record", "copy", "at", "line", running.alias("running"))
+    flat = lambda df, running: df.select("record", "copy", "at", "line", running.alias("running"))
+    plain = F.col("is_page") | F.col("headed")
+    # only the lines that may be heads meet the heads
+    return flat(each.filter("not asked"), plain).unionByName(flat(each.filter("asked").join(heads, ["capital", "masked"], "left"), plain | F.coalesce("returns", F.lit(False))))
 
 
 def _bare_word(c: Column) -> Column:
@@ -90,13 +94,13 @@ def _bare_word(c: Column) -> Column:
 
 
 def tokens(marked: DataFrame) -> DataFrame:
-    """``record, copy, at, k, raw, word, other``: words in order; ``other`` is set for broken ones.
+    """``record, copy, at, k, raw, word, other, before, after``: words in order; ``other`` is set for broken ones.
 
     Of a broken word, ``word`` is the closed and ``other`` the hyphenated form, on the line it begins; its rest is gone
-    from the next line.
+    from the next line. Neighbours have numbers masked: one number is as good a neighbour as another.
     """
     w = Window.partitionBy("record", "copy").orderBy("at")
-    kept = marked.filter("not running").withColumn("parts", F.split("line", r"[\s ]+"))
+    kept = marked.filter("not running").withColumn("parts", F.split("line", r"[\s ]+"))
     left = F.regexp_extract("line", rf"(\S*[\p{{L}}\p{{N}}!@$|]){HYPHENS}$", 1)
     right = F.lead(F.get("parts", F.lit(0))).over(w)
     breaks = (left.rlike(r"\p{L}")) & right.rlike(r"^[\p{L}0-9!@$|]*\p{Ll}") & ~left.rlike(r"^\p{N}+$")
@@ -106,10 +110,12 @@ def tokens(marked: DataFrame) -> DataFrame:
     each = each.filter(~(F.col("rest") & (F.col("k") == 0)))
     last = F.col("breaks") & (F.col("k") == F.col("n") - 1)
     closed, open_ = F.concat("left", "right"), F.concat("left", F.lit("-"), "right")
-    return each.select(
+    each = each.select(
         "record", "copy", "at", "k", F.when(last, closed).otherwise(F.col("raw")).alias("raw"),
         _bare_word(F.when(last, closed).otherwise(F.regexp_replace("raw", HYPHENS, "-"))).alias("word"), F.when(last, _bare_word(F.regexp_replace(open_, HYPHENS, "-"))).alias("other"),
     )
+    masked, order = F.regexp_replace("word", r"^\p{N}+$", "#"), Window.partitionBy("record", "copy").orderBy("at", "k")
+    return each.withColumn("before", F.lag(masked).over(order)).withColumn("after", F.lead(masked).over(order))
 
 
 def _signed(word: Column) -> Column:
@@ -117,18 +123,20 @@ def _signed(word: Column) -> Column:
     return word.rlike(r"\p{L}") & word.rlike(r"[0-9!@$|]") & ~word.rlike(r"^[0-9]+(\p{L}|st|nd|rd|th)?$") & ~word.rlike(r"^[0-9]{2,}") & word.rlike(r"\p{L}[^\p{L}]*\p{L}")
 
 
-def repair(marked: DataFrame) -> DataFrame:
-    """``record, copy, at, k, raw, word, repaired, broken, misread`` of the words in order."""
-    rows = materialise(tokens(marked))
-    whole = rows.filter("other is null and word <> ''")
-    known = materialise(whole.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+def repair(rows: DataFrame) -> DataFrame:
+    """``record, copy, at, k, raw, repaired, broken, misread`` of the damaged words among ``rows`` (:func:`tokens`, materialised).
+
+    Whole words are counted once, with partial sums; after that only damaged words, their forms and the counts move.
+    """
+    sound = rows.filter("other is null and word <> ''")
+    known = materialise(sound.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     parts = known.select(F.explode(F.split("word", "-")).alias("part"), "n").filter("part <> ''").groupBy("part").agg(F.sum("n").alias("n"))
     parts = materialise(parts.withColumn("skeleton", skeleton(F.col("part"))))
-    # broken words: the closed or the hyphenated form
-    broken = rows.filter("other is not null").select("word", "other").distinct()
-    ends = broken.withColumn("a", F.regexp_extract("other", r"([^-]+)-[^-]*$", 1)).withColumn("b", F.regexp_extract("other", r"([^-]+)$", 1))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    # broken words: the closed or the hyphenated form; a damaged one is counted by its group
+    broken = rows.filter("other is not null")
+    ends = broken.select("word", "other").distinct().withColumn("a", F.regexp_extract("other", r"([^-]+)-[^-]*$", 1)).withColumn("b", F.regexp_extract("other", r"([^-]+)$", 1))
     count = lambda name, key, table=known, col="word": table.select(F.col(col).alias(key), F.col("n").alias(name))
-    # a damaged half of a broken word is counted by its group
     groups = known.groupBy(skeleton(F.col("word")).alias("s")).agg(F.max("n").alias("n"))
     sized = (
         ends.join(count("n_closed", "word"), "word", "left").join(count("n_open", "other"), "other", "left")
@@ -136,21 +144,17 @@ def repair(marked: DataFrame) -> DataFrame:
         .join(count("g_closed", "s1", groups, "s"), "s1", "left").join(count("g_open", "s2", groups, "s"), "s2", "left")
         .join(count("n_a", "a", parts, "part"), "a", "left").join(count("n_b", "b", parts, "part"), "b", "left")
     )
-    z = lambda c: F.coalesce(c, F.lit(0))
-    seen = (z("n_closed") + z("n_open")) > 0
-    group_seen = (z("g_closed") + z("g_open")) > 0
+    seen, group_seen = (z("n_closed") + z("n_open")) > 0, (z("g_closed") + z("g_open")) > 0
     keep = F.when(seen, z("n_open") > z("n_closed")).when(group_seen, z("g_open") > z("g_closed")).otherwise((z("n_a") > 0) & (z("n_b") > 0) & (F.length("a") > 2) & (F.length("b") > 2))
-    forms = sized.select("word", "other", F.when(keep, F.col("other")).otherwise(F.col("word")).alias("chosen"))
-    rows = rows.join(forms, ["word", "other"], "left").withColumn("now", F.coalesce("chosen", "word"))
-    w = Window.partitionBy("record", "copy").orderBy("at", "k")
-    masked = F.regexp_replace("now", r"^\p{N}+$", "#")  # one number is as good a neighbour as another
-    rows = materialise(rows.withColumn("mask", masked).withColumn("before", F.lag(masked).over(w)).withColumn("after", F.lead(masked).over(w)))
+    forms = sized.select("word", "other", F.when(keep, F.col("other")).otherwise(F.col("word")).alias("now"))
+    broken = materialise(broken.join(forms, ["word", "other"]).select("record", "copy", "at", "k", "raw", "now", "before", "after"))
     # misread words, part by part
-    odd = rows.filter("now <> ''").select("now").distinct().select("now", F.posexplode(F.split("now", "-")).alias("i", "part")).filter(F.length("part") > 1)
+    odd = known.select(F.col("word").alias("now")).unionByName(broken.select("now")).distinct().select("now", F.posexplode(F.split("now", "-")).alias("i", "part")).filter(F.length("part") > 1)
     odd = odd.join(parts.select("part", "n"), "part", "left").withColumn("n", z("n")).withColumn("skeleton", skeleton(F.col("part"))).withColumn("signed", _signed(F.col("part")))
     better = parts.filter(~F.col("part").rlike(r"[^\p{L}]") & (F.length("part") > 1)).select("skeleton", F.col("part").alias("form"), F.col("n").alias("n_form"))
-    pairs = odd.join(better, "skeleton", "left").filter((F.col("form") != F.col("part")) & (F.col("signed") | (F.col("n_form") >= F.when(F.length("part") <= SHORT, SHORT_RARER).otherwise(RARER) * F.greatest("n", F.lit(1)))) | (F.col("signed") & F.col("form").isNull()))
-    pairs = pairs.select("now", "i", "part", "signed", F.coalesce("form", F.translate("part", SIGNS, LETTERS)).alias("form"), z("n_form").alias("n_form"))
+    rarer = F.when(F.length("part") <= SHORT, SHORT_RARER).otherwise(RARER) * F.greatest("n", F.lit(1))
+    pairs = odd.join(better, "skeleton", "left").filter((F.col("form") != F.col("part")) & (F.col("signed") | (F.col("n_form") >= rarer)) | (F.col("signed") & F.col("form").isNull()))
+    pairs = materialise(pairs.select("now", "i", "part", "signed", F.coalesce("form", F.translate("part", SIGNS, LETTERS)).alias("form"), z("n_form").alias("n_form")))
     # of a word's several damaged parts the others take their most frequent form
     best = pairs.groupBy("now", "i").agg(F.min_by("form", F.struct((-F.col("n_form")).alias("n"), "form")).alias("form"))
     every = best.groupBy("now").agg(F.map_from_entries(F.collect_list(F.struct("i", "form"))).alias("best"))
@@ -158,21 +162,21 @@ def repair(marked: DataFrame) -> DataFrame:
         "now", "signed", "n_form",
         F.array_join(F.transform(F.split("now", "-"), lambda p, i: F.when(i == F.col("i"), F.col("form")).otherwise(F.coalesce(F.element_at("best", i), p))), "-").alias("form"),
     )
-    candidates = candidates.groupBy("now", "form").agg(F.max("signed").alias("signed"), F.max("n_form").alias("n_form"))
-    beside = rows.filter("now <> ''").groupBy(F.col("mask").alias("now"), "after").agg(F.count(F.lit(1)).alias("n"))
-    hits = rows.select("record", "copy", "at", "k", "now", "before", "after").join(candidates, "now")
-    hits = (
-        hits.join(beside.select(F.col("now").alias("before"), F.col("after").alias("form"), F.col("n").alias("n_before")), ["before", "form"], "left")
-        .join(beside.select(F.col("now").alias("form"), "after", F.col("n").alias("n_after")), ["form", "after"], "left")
-        .withColumn("support", z("n_before") + z("n_after")).filter("signed or support > 0")
-    )
-    picked = hits.groupBy("record", "copy", "at", "k").agg(F.min_by("form", F.struct((F.col("support") == 0).alias("alone"), (-F.col("n_form")).alias("n"), "form")).alias("form"))
-    rows = rows.join(picked, ["record", "copy", "at", "k"], "left")
-    return rows.select("record", "copy", "at", "k", "raw", "word", F.coalesce("form", "now").alias("repaired"), F.col("other").isNotNull().alias("broken"), F.col("form").isNotNull().alias("misread"))
-
-
-def paragraphs(marked: DataFrame, repaired: DataFrame) -> DataFrame:
-    """``record, paragraph, text``: the words as they should read, in continuous paragraphs.
+    candidates = materialise(candidates.groupBy("now", "form").agg(F.max("signed").alias("signed"), F.max("n_form").alias("n_form")))
+    doubtful = sound.join(candidates.select(F.col("now").alias("word")).distinct(), "word", "left_semi").select("record", "copy", "at", "k", "raw", F.col("word").alias("now"), "before", "after")
+    hits = materialise(doubtful.withColumn("broken", F.lit(False)).unionByName(broken.withColumn("broken", F.lit(True))).join(candidates, "now", "left"))
+    # how often a form stands beside the same neighbour: pairs of words in which the first or the second is asked for
+    wanted = candidates.select("form").distinct()
+    first = rows.join(wanted, rows["word"] == wanted["form"], "left_semi").groupBy(F.col("word").alias("form"), "after").agg(F.count(F.lit(1)).alias("n_after"))
+    second = rows.join(wanted, rows["word"] == wanted["form"], "left_semi").groupBy("before", F.col("word").alias("form")).agg(F.count(F.lit(1)).alias("n_before"))
+    scored = hits.filter("form is not null").join(second, ["before", "form"], "left").join(first, ["form", "after"], "left").withColumn("support", z("n_before") + z("n_after")).filter("signed or support > 0")
+    picked = scored.groupBy("record", "copy", "at", "k").agg(F.min_by("form", F.struct((F.col("support") == 0).alias("alone"), (-F.col("n_form")).alias("n"), "form")).alias("picked"))
+    damaged = hits.select("record", "copy", "at", "k", "raw", "now", "broken").distinct().join(picked, ["record", "copy", "at", "k"], "left").filter("broken or picked is not null")
+    return damaged.select("record", "copy", "at", "k", "raw", F.coalesce("picked", "now").alias("repaired"), "broken", F.col("picked").isNotNull().alias("misread"))
+
+
+def paragraphs(marked: DataFrame, rows: DataFrame, damaged: DataFrame) -> DataFrame:
+    """``record, copy, paragraph, text``: the words as they should read, in continuous paragraphs.
 
     A paragraph ends where a blank line did (a jump in line numbers without a running line) after a sentence's end.
     """
@@ -186,7 +190,7 @@ def paragraphs(marked: DataFrame, repaired: DataFrame) -> DataFrame:
     head, tail = F.regexp_extract("raw", r"^([^\p{L}\p{N}!@$|]*)", 1), F.regexp_extract("raw", r"([^\p{L}\p{N}!@$|]*)$", 1)
     capital = F.regexp_extract("raw", r"([\p{L}\p{N}!@$|])", 1)
     cased = F.when(capital.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring("repaired", 1, 1)), F.expr("substring(repaired, 2)"))).otherwise(F.col("repaired"))
-    shown = F.when(F.col("broken") | F.col("misread"), F.concat(head, cased, tail)).otherwise(F.col("raw"))
-    words = repaired.withColumn("shown", shown).join(numbered, ["record", "copy", "at"])
+    shown = F.when(F.col("repaired").isNotNull(), F.concat(head, cased, tail)).otherwise(F.col("raw"))
+    words = rows.select("record", "copy", "at", "k", "raw").join(damaged.select("record", "copy", "at", "k", "repaired"), ["record", "copy", "at", "k"], "left").withColumn("shown", shown)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "k", "shown"))), lambda x: x["shown"]), " ")
-    return words.groupBy("record", "copy", "paragraph").agg(text.alias("text")).select("record", "copy", "paragraph", "text")
+    return words.join(numbered, ["record", "copy", "at"]).groupBy("record", "copy", "paragraph").agg(text.alias("text"))

@@ -1,4 +1,5 @@
 from docketry.llm import scans
+from docketry.session import materialise
 
 SCHEMA = "node_id string, act string, title string, text string, p0 int, p1 int, line string, word string"
 TITLE = "Rovakine Town Planning Act, 1980"
@@ -8,10 +9,11 @@ PLAIN = "The registrar may by general or special order exempt any section of thi
 def found(spark, rows):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
     marked = scans.lines(df, "node_id", "act", "title", "text", "p0", "p1")
-    words = scans.repair(marked)
+    rows = materialise(scans.tokens(marked))
+    words = scans.repair(rows)
     out = {(r.record, "running_line", r.line) for r in marked.filter("running").collect()}
     out |= {(r.record, "broken_word", r.repaired) for r in words.filter("broken").collect()}
-    return out | {(r.record, "misread_word", r.repaired) for r in words.filter("misread").collect()}, scans.paragraphs(marked, words)
+    return out | {(r.record, "misread_word", r.repaired) for r in words.filter("misread").collect()}, scans.paragraphs(marked, rows, words)
 
 
 def clean(n=6):
