@@ -6,3 +6,12 @@ sinks), ``streaming`` (incremental forms), ``plans`` (registered queries) and, w
 """
 
 __version__ = "0.1.0"
+
+try:  # functions go to executors by value, so that these need not have the package
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except ImportError:  # the package can be looked at without Spark
+    pass
