@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.tokens import TOKENIZER, Counter
+from docketry.llm.tokens import CHUNK, TOKENIZER, Counter
 
 # Words after which a full stop ends no sentence.
 SHORT_FORMS = "no|nos|rs|v|vs|sec|s|ss|art|arts|cl|para|paras|mr|mrs|ms|dr|shri|smt|hon|m/s|pvt|ltd|co|crl|c|w|ors|anr|viz|i\\.e|e\\.g|ibid|cf|vol|ed|p|pp|ch|st"
@@ -97,8 +97,6 @@ class TokenReach:
     """The farthest end from a start within a number of tokens, by running sums over chunks."""
 
     def __init__(self, counter: Counter, text: str, tokens: int):
-        from docketry.llm.tokens import CHUNK
-
         self.counter, self.text, self.tokens = counter, text, tokens
         self.starts = [m.start() for m in CHUNK.finditer(text)] + [len(text)]
         self.sums = [0]
