@@ -330,3 +330,29 @@ def prefill_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operations to read a full prompt: two per weight and token, and attention over all pairs."""
     n = F.col("max_seq_length").cast("double")
     return table(spark, sf_dir, "configs").select("experiment_id", F.col("max_seq_length").alias("tokens"), (2.0 * 8e9 * n + 4.0 * 36 * 4096 * n * n).alias("flops")).distinct()
+
+
+@CORE.add("controlled_runs", "JOIN-11", "EVA-06", sql="""
+with r(run_id, acc) as (values ('qwen-a-graph-s1-v1', 0.5::double), ('qwen-a-graph-s2-v1', 0.7), ('qwen-a-text-s1-v1', 0.45), ('qwen-a-text-s2-v1', 0.6), ('other-b-graph-v1', 0.3)),
+k as (select *, array_to_string(string_split(run_id, '-')[1:2], '-') || coalesce('-' || nullif(regexp_extract(run_id, '-(s[0-9]+)-v[0-9]+$', 1), ''), '') control_key, run_id like '%text%' is_text from r)
+select a.run_id, b.run_id control, round(a.acc - b.acc, 9) gain from k a left join k b on a.control_key = b.control_key and b.is_text where not a.is_text""")
+def controlled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs beside the text run of their family and seed."""
+    rows = spark.createDataFrame([("qwen-a-graph-s1-v1", 0.5), ("qwen-a-graph-s2-v1", 0.7), ("qwen-a-text-s1-v1", 0.45), ("qwen-a-text-s2-v1", 0.6), ("other-b-graph-v1", 0.3)], "run_id string, acc double")
+    seed = F.nullif(F.regexp_extract("run_id", r"-(s[0-9]+)-v[0-9]+$", 1), F.lit(""))
+    keyed = rows.withColumn("key", F.concat(F.substring_index("run_id", "-", 2), F.coalesce(F.concat(F.lit("-"), seed), F.lit("")))).withColumn("text", F.col("run_id").contains("text"))
+    control = keyed.filter("text").select("key", F.col("run_id").alias("control"), F.col("acc").alias("of_control"))
+    return keyed.filter("not text").join(control, "key", "left").select("run_id", "control", F.round(F.col("acc") - F.col("of_control"), 9).alias("gain"))
+
+
+@CORE.add("small_draws", "EVA-17", "SRT-06", sql=_EVAL + """
+s as (select r, gold = predicted hit_a, gold = 'dismissed' hit_b, row_number() over (partition by r order by sha256('draw|' || r || '|' || case_id), case_id) k from ev, range(0, 50) t(r)),
+d as (select r, avg(hit_a::int::double) - avg(hit_b::int::double) delta from s where k <= 46 group by 1)
+select count(*) draws, round(avg(delta), 9) mean_delta, round(stddev_samp(delta), 9) sd, avg((delta < 0)::int::double) order_flips from d""")
+def small_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far two fixed systems move apart on 50 hash-drawn sets of 46 cases, and how often their order flips."""
+    rows = evaluated(spark, sf_dir).select("case_id", (F.col("gold") == F.col("predicted")).cast("int").alias("a"), (F.col("gold") == "dismissed").cast("int").alias("b"))
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("r")).withColumn("h", F.sha2(F.concat_ws("|", F.lit("draw"), F.col("r").cast("string"), "case_id"), 256))
+    k = F.row_number().over(Window.partitionBy("r").orderBy("h", "case_id"))  # an evaluation set
+    d = drawn.withColumn("k", k).filter("k <= 46").groupBy("r").agg((F.avg("a") - F.avg("b")).alias("delta"))
+    return d.agg(F.count(F.lit(1)).alias("draws"), F.round(F.avg("delta"), 9).alias("mean_delta"), F.round(F.stddev_samp("delta"), 9).alias("sd"), F.avg((F.col("delta") < 0).cast("int")).alias("order_flips"))
