@@ -88,33 +88,38 @@ def lines(records: DataFrame, record: str, document: str, title: str, text: str,
     return flat(each.filter("not asked"), plain).unionByName(flat(each.filter("asked").join(heads, ["capital", "masked"], "left"), plain | F.coalesce("returns", F.lit(False))))
 
 
-def _bare_word(c: Column) -> Column:
-    """Lower case, without adjoining punctuation; signs that may be a misread letter stay."""
-    return F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}!@$|]+|[^\p{L}\p{N}!@$|]+$", "")
+#: What a word is made of; signs that may be a misread letter count.
+IN_WORD = r"\p{L}\p{N}!@$|"
+
+
+def _bare_words(line: Column) -> Column:
+    """The words of a line of single spaces, in lower case and without adjoining punctuation; '' where nothing is left."""
+    plain = F.translate(F.lower(line), "‐¬\u00ad", "---")
+    return F.split(F.regexp_replace(plain, rf"(?<![^ ])[^{IN_WORD} ]+|[^{IN_WORD} ]+(?![^ ])", ""), " ")
 
 
 def tokens(marked: DataFrame) -> DataFrame:
     """``record, copy, at, k, raw, word, other, before, after``: words in order; ``other`` is set for broken ones.
 
     Of a broken word, ``word`` is the closed and ``other`` the hyphenated form, on the line it begins; its rest is gone
-    from the next line. Neighbours have numbers masked: one number is as good a neighbour as another.
+    from the next line. Neighbours have numbers masked: one number is as good a neighbour as another. Patterns run over
+    lines, not words.
     """
     w = Window.partitionBy("record", "copy").orderBy("at")
-    kept = marked.filter("not running").withColumn("parts", F.split("line", r"[\s ]+"))
-    left = F.regexp_extract("line", rf"(\S*[\p{{L}}\p{{N}}!@$|]){HYPHENS}$", 1)
-    right = F.lead(F.get("parts", F.lit(0))).over(w)
+    kept = marked.filter("not running").withColumn("line", F.regexp_replace("line", r"[\s ]+", " "))
+    left = F.regexp_extract("line", rf"(\S*[{IN_WORD}]){HYPHENS}$", 1)
+    right = F.lead(F.substring_index("line", " ", 1)).over(w)
     breaks = (left.rlike(r"\p{L}")) & right.rlike(r"^[\p{L}0-9!@$|]*\p{Ll}") & ~left.rlike(r"^\p{N}+$")
     kept = kept.withColumn("breaks", F.coalesce(breaks, F.lit(False))).withColumn("left", left).withColumn("right", right)
     kept = kept.withColumn("rest", F.coalesce(F.lag("breaks").over(w), F.lit(False)))
-    each = kept.select("record", "copy", "at", "breaks", "rest", "left", "right", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "raw"))
+    one = lambda mark: F.when(F.col("breaks"), F.element_at(_bare_words(F.concat("left", F.lit(mark), "right")), 1))
+    kept = kept.select("record", "copy", "at", "breaks", "rest", "left", "right", F.arrays_zip(F.split("line", " ").alias("raw"), _bare_words(F.col("line")).alias("word")).alias("parts"), one("").alias("closed"), one("-").alias("open"))
+    each = kept.select("record", "copy", "at", "breaks", "rest", "left", "right", "closed", "open", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "p"))
     each = each.filter(~(F.col("rest") & (F.col("k") == 0)))
     last = F.col("breaks") & (F.col("k") == F.col("n") - 1)
-    closed, open_ = F.concat("left", "right"), F.concat("left", F.lit("-"), "right")
-    each = each.select(
-        "record", "copy", "at", "k", F.when(last, closed).otherwise(F.col("raw")).alias("raw"),
-        _bare_word(F.when(last, closed).otherwise(F.regexp_replace("raw", HYPHENS, "-"))).alias("word"), F.when(last, _bare_word(F.regexp_replace(open_, HYPHENS, "-"))).alias("other"),
-    )
-    masked, order = F.regexp_replace("word", r"^\p{N}+$", "#"), Window.partitionBy("record", "copy").orderBy("at", "k")
+    each = each.select("record", "copy", "at", "k", F.when(last, F.concat("left", "right")).otherwise(F.col("p.raw")).alias("raw"), F.when(last, F.col("closed")).otherwise(F.col("p.word")).alias("word"), F.when(last, F.col("open")).alias("other"))
+    masked = F.when((F.col("word") != "") & (F.translate("word", "0123456789", "") == ""), "#").otherwise(F.col("word"))
+    order = Window.partitionBy("record", "copy").orderBy("at", "k")
     return each.withColumn("before", F.lag(masked).over(order)).withColumn("after", F.lead(masked).over(order))
 
 
