@@ -22,6 +22,7 @@ from docketry.session import materialise, release
 
 #: Each round contracts a quarter of the vertices with edges or more, on average; this many never come.
 MAX_ROUNDS = 200
+UNWOUND = 3
 
 
 def _coin(vertex: str, turn: int) -> Column:
@@ -52,15 +53,18 @@ def contract(edges: DataFrame) -> DataFrame:
     release(edges)
     if not rounds:
         return edges.sparkSession.createDataFrame([], "vertex string, root string")
-    roots: DataFrame | None = None
-    for mates in reversed(rounds):
+    roots, written = None, None
+    for k, mates in enumerate(reversed(rounds)):
         if roots is None:
             roots = mates.select(F.col("tail").alias("vertex"), F.col("head").alias("root"))
             continue
         lifted = mates.join(roots.select(F.col("vertex").alias("head"), "root"), "head", "left").select(F.col("tail").alias("vertex"), F.coalesce("root", "head").alias("root"))
-        whole = materialise(lifted.unionByName(roots))
-        release(roots)
-        roots = whole
+        roots = lifted.unionByName(roots)
+        if k % UNWOUND == 0 or k == len(rounds) - 1:  # a few rounds to a table: each doubles what the plan reads
+            roots = materialise(roots)
+            if written is not None:
+                release(written)
+            written = roots
     return roots
 
 
