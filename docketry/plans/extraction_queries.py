@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import references
 from docketry.operators import statutes
 from docketry.registry import CORE
-from docketry.session import table
+from docketry.session import materialise, table
 
 
 def act_grammar(spark: SparkSession, sf_dir: str) -> references.Grammar:
@@ -61,3 +61,17 @@ select * from (values ('a', '1', 4, 5, true), ('a', '2', 5, 5, true), ('a', '2',
 def statute_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.createDataFrame(_PAGES, "act_id string, page_no int, text string")
     return statutes.kept(statutes.split_acts(pages)).select("act_id", "section", "page_start", "page_end", "kept")
+
+
+@CORE.add("view_seeds", "RET-04", "WIN-08")
+def view_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes cited in every example's view, in order of first mention: what a subgraph query starts from."""
+    from docketry.operators import graph
+
+    nodes = graph.clean_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "core_nodes"))
+    views = table(spark, sf_dir, "examples").filter("case_id is not null and view_text is not null").select("case_id", "view_text").distinct()
+    found = materialise(references.extract(views, "case_id", "view_text", act_grammar(spark, sf_dir)).withColumnRenamed("document_id", "case_id"))
+    targets = graph.resolve(found, nodes).filter("resolved_target_id is not null")
+    first = found.join(targets, "extraction_id").groupBy("case_id", F.col("resolved_target_id").alias("seed")).agg(F.min(F.struct("span_start", "span_end")).alias("at"))
+    order = Window.partitionBy("case_id").orderBy("at", "seed")
+    return first.select("case_id", "seed", F.row_number().over(order).alias("ord"))
