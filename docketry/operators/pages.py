@@ -1,15 +1,12 @@
 """Text layers of report pages: margin letters, page numbers and running headers out, wrapped lines joined.
 
-Headers are counted in SQL over the lines of all pages of a document; joining is a fold over a document's lines, one
-document to a group, since whether a line goes on depends on the paragraph so far.
+Headers are counted over the lines of all pages of a document. Whether a line begins a paragraph is decided by the line
+before it, so joining is a window, a running sum of beginnings and a grouping; a document's lines are one group.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import one_space
@@ -18,8 +15,8 @@ from docketry.functions.text import one_space
 MARGIN = r"^[\s.,:;'`\"]*[A-H][\s.,:;'`\"]*$"
 NUMBER = r"^\d{1,4}$"
 REPORTS = r"(?i)SUPREME\s+COURT\s+REPORTS"
-HEADING = re.compile(r"[A-Z][A-Z .&()/:-]{2,40}")
-ENDED = re.compile(r"""[.:;?!"')\]]$""")
+HEADING = r"^[A-Z][A-Z .&()/:-]{2,40}$"
+ENDED = r"""[.:;?!"')\]]$"""
 #: Headers stand in the first lines of a page and come back on so many pages; their key has so many letters.
 FIRST_LINES, LEAST_PAGES, LEAST_LETTERS = 4, 3, 6
 
@@ -36,26 +33,26 @@ def lines(pages: DataFrame) -> DataFrame:
     return rows.filter(~printed).join(heads, ["document_id", "key"], "left").filter("head is null").select("document_id", "page_no", "pos", "line")
 
 
-def join_lines(kept: list[str]) -> list[str]:
-    """Paragraphs: a line goes on unless it or the paragraph is a heading, or a sentence ended and a new one may begin."""
-    out: list[str] = []
-    for line in kept:
-        last = out[-1] if out else ""
-        new = not out or HEADING.fullmatch(last) or HEADING.fullmatch(line) or (ENDED.search(last) and (line[:1].isupper() or line[:1].isdigit() or line[:1] == "("))
-        if new:
-            out.append(line)
-        elif last.endswith("-") and last[-2:-1].isalpha() and line[:1].islower():
-            out[-1] = last[:-1] + line
-        else:
-            out[-1] = f"{last} {line}"
-    return out
+def paragraphs(kept: DataFrame) -> DataFrame:
+    """``document_id, paragraph, text``: lines joined over their wraps.
+
+    A heading stands alone; after a sentence's end a capital, a digit or a bracket begins a paragraph. A hyphen between
+    a letter and a small letter on the next line goes.
+    """
+    w = Window.partitionBy("document_id").orderBy("page_no", "pos")
+    before = F.lag("line").over(w)
+    opens = F.col("line").rlike(r"^[\p{Lu}\p{Nd}(]")
+    begins = before.isNull() | before.rlike(HEADING) | F.col("line").rlike(HEADING) | (before.rlike(ENDED) & opens)
+    rows = kept.select("document_id", "page_no", "pos", "line", begins.alias("begins"))
+    rows = rows.withColumn("wrapped", ~F.col("begins") & F.lag("line").over(w).rlike(r"\p{L}-$") & F.col("line").rlike(r"^\p{Ll}"))
+    rows = rows.withColumn("paragraph", F.sum(F.col("begins").cast("int")).over(w)).withColumn("splits", F.coalesce(F.lead("wrapped").over(w), F.lit(False)))
+    own = F.when(F.col("splits"), F.regexp_replace("line", "-$", "")).otherwise(F.col("line"))
+    part = F.concat(F.when(F.col("begins") | F.col("wrapped"), "").otherwise(" "), own)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "pos", part.alias("part")))), lambda x: x["part"]), "")
+    return rows.groupBy("document_id", "paragraph").agg(text.alias("text"))
 
 
 def clean(pages: DataFrame) -> DataFrame:
     """``document_id, text``: a paragraph a line."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["page_no", "pos"])
-        return pd.DataFrame({"document_id": frame["document_id"].iloc[:1], "text": ["\n".join(join_lines(frame["line"].tolist()))]})
-
-    return lines(pages).groupBy("document_id").applyInPandas(fold, "document_id string, text string")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]), "\n")
+    return paragraphs(lines(pages)).groupBy("document_id").agg(text.alias("text"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import LABELS
+from docketry.sources.sinks import content_id
 
 IGNORED = -100
 
@@ -27,10 +27,13 @@ def with_prefix(prefix: Column, prompt_vectors: Column, target_vectors: Column,
     return F.struct(F.concat(prefix, prompt_vectors, target_vectors).alias("vectors"), F.array_repeat(F.lit(1), size).alias("mask"), labels.alias("labels"))
 
 
-def cache_key(version: str, query: str, seeds: Sequence[str], prizes: Mapping[str, float], as_of: str | None, splits: Sequence[str], relations: Sequence[str] | None, strategy: str, budget: int, hops: int, connected: bool) -> str:
-    """Equal requests have equal keys; no relation set and an empty one differ."""
-    parts = [version, query, ",".join(sorted(seeds)), ",".join(f"{k}:{v:.12g}" for k, v in sorted(prizes.items())), as_of or "none", ",".join(sorted(splits)), "*" if relations is None else ",".join(sorted(relations)), strategy, str(budget), str(hops), str(connected)]
-    return "sha256:" + sha256("|".join(parts).encode()).hexdigest()
+def cache_key(request: Mapping[str, object], config: Mapping[str, object], graph_version: str) -> str:
+    """The content id of a retrieval: equal requests have equal keys, whatever the order of their seeds, splits and relations.
+
+    No relation set (all are allowed) and an empty one differ.
+    """
+    tidy = {k: sorted(v) if isinstance(v, (list, tuple, set, frozenset)) else v for k, v in request.items()}
+    return "sha256:" + content_id({"graph": graph_version, "request": tidy, "config": dict(config)})
 
 
 def calibrate(scores: DataFrame, grid: Sequence[float], rounds: int = 3) -> dict[str, float]:

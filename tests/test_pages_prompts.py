@@ -30,8 +30,8 @@ def test_prefix_and_pooling(spark):
 
 
 def test_cache_key():
-    key = lambda relations: prompts.cache_key("v", "q", ["b", "a"], {"a": 1.0}, None, ["train"], relations, "s", 8, 2, True)
-    assert key(None) != key([]) and key(None) == key(None)
+    key = lambda seeds, relations: prompts.cache_key({"query": "q", "seeds": seeds, "prizes": {"a": 1.0}, "relations": relations}, {"budget": 8, "hops": 2}, "v")
+    assert key(["a", "b"], None) == key(["b", "a"], None) != key(["a", "b"], [])
 
 
 def test_calibration(spark):
