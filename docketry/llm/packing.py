@@ -134,7 +134,10 @@ def pack(measured: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
     """``experiment_id, container_id, doc_id, piece_no, start_token, n_tokens`` for every ``(experiment, capacity)``."""
     measured = materialise(measured)
     shards = max(1, -(-measured.count() // SHARD))
-    each = F.array(*[F.struct(F.lit(name).alias("experiment_id"), F.lit(capacity).alias("capacity")) for name, capacity in capacities if capacity and capacity > 0])
+    capacities = [(name, capacity) for name, capacity in capacities if capacity and capacity > 0]
+    if not capacities:
+        return measured.sparkSession.createDataFrame([], _PACKED)
+    each = F.array(*[F.struct(F.lit(name).alias("experiment_id"), F.lit(capacity).alias("capacity")) for name, capacity in capacities])
     items = measured.filter("n_tokens > 0").select("*", F.explode(each).alias("e")).select("*", "e.*").drop("e")
     full = F.floor(F.col("n_tokens") / F.col("capacity")).cast("int")
     rest = F.col("n_tokens") % F.col("capacity")

@@ -102,6 +102,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("p3_splits", "GROUPS")
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The new split of every judgment: no group in two splits, shares of the records as in split_shares."""
-    shares = [(r.split_name, float(r.share)) for r in table(spark, sf_dir, "split_shares").orderBy(F.desc("share"), "split_name").collect()]
+    given = table(spark, sf_dir, "split_shares").filter("split_name is not null and share > 0")
+    shares = [(r.split_name, float(r.share)) for r in given.orderBy(F.desc("share"), "split_name").collect()]
     members = materialise(groups(spark, sf_dir))
     return members.join(splits.assign(members, shares), "component").select(F.col("record").alias("case_id"), F.col("component").alias("group_id"), F.col("split"))

@@ -87,7 +87,7 @@ def assign(members: DataFrame, shares: list[tuple[str, float]], buckets: int = 4
     """``(component, weight, split)``: whole components to splits, in about the given shares of the records.
 
     Components are laid out by weight, the heaviest first, and cut where the cumulative weight passes the shares, so
-    the light ones stand at the cuts. The running sum is taken over the few distinct (weight, bucket) pairs first and
+    the light ones stand at the cuts. Without shares the split is NULL. The running sum is taken over the few distinct (weight, bucket) pairs first and
     within a pair then, so no task sees all components.
     """
     sizes = materialise(members.groupBy("component").agg(F.count(F.lit(1)).alias("weight")).withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))))
@@ -101,5 +101,6 @@ def assign(members: DataFrame, shares: list[tuple[str, float]], buckets: int = 4
     for name, share in shares[:-1]:
         edge += share / whole
         split = (F.when if split is None else split.when)(F.col("at") < F.lit(edge - 1e-12), F.lit(name))
-    split = F.lit(shares[-1][0]) if split is None else split.otherwise(F.lit(shares[-1][0]))
+    last = F.lit(shares[-1][0] if shares else None).cast("string")
+    split = last if split is None else split.otherwise(last)
     return placed.select("component", "weight", split.alias("split"))

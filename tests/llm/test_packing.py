@@ -85,3 +85,4 @@ def test_documents(spark):
     assert max(load.values()) <= 64
     assert {r.container_id for r in got if r.doc_id == 2} != {r.container_id for r in got if r.doc_id == 3}
     assert packing.pack(packing.measure(docs.limit(0)), [("k", 64)]).count() == 0
+    assert packing.pack(packing.measure(docs), []).count() == 0

@@ -61,6 +61,12 @@ def test_assign_keeps_shares(spark, weights):
     assert all(abs(got[n] - s) <= 2 * max(weights) / len(members) + 1e-9 for n, s in shares)
 
 
+def test_assign_without_components_or_shares(spark):
+    schema = "record string, component string"
+    assert splits.assign(spark.createDataFrame([], schema), [("train", 1.0)]).count() == 0
+    assert [r.split for r in splits.assign(spark.createDataFrame([("r", "c")], schema), []).collect()] == [None]
+
+
 def test_names_that_agree(spark):
     authors = [["D. K. Rimorote, J.", "HON'BLE JUSTICE D. K. RIMOROTE", "d k rimorote j", " D. K.  Rimorote, J.", "D.K. Rimorote", "Justice DK Rimorote"], ["J. Rimorote, J."], ["D. Rimorote, J."]]
     parties = [["M/s. Sojabeka Pharma Private Ltd", "SOJABEKA PHARMA (P) LIMITED", "Sojabeka Pharma Pvt. Ltd."], ["Sojabeka Foods Ltd"]]
