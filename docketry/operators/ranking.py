@@ -32,8 +32,8 @@ class Index:
 
 
 def build(documents: DataFrame, doc: str, text: str) -> Index:
-    """Postings of the documents with a term; repeated ids are an error of the caller."""
-    tokens = documents.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("t")).filter(F.size("t") > 0)
+    """Postings of the documents with an id and a term; repeated ids are an error of the caller."""
+    tokens = documents.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), terms(F.col(text)).alias("t")).filter(F.size("t") > 0)
     counted = tokens.select("doc", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     postings = materialise(counted)
     frequencies = materialise(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))

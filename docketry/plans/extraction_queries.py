@@ -15,11 +15,11 @@ from docketry.session import materialise, table
 
 def act_grammar(spark: SparkSession, sf_dir: str) -> references.Grammar:
     """The grammar of the acts in the node tables, by title (with or without year) and by id; a registry of some dozens."""
-    nodes = [table(spark, sf_dir, t).filter("node_type = 'act'").select("node_id", "label") for t in ("nodes", "core_nodes")]
-    acts, names = {}, set()
+    nodes = [table(spark, sf_dir, t).filter("node_type = 'act' and node_id is not null and label is not null").select("node_id", "label") for t in ("nodes", "core_nodes")]
+    acts, names = {}, {"(?!)"}  # matches nothing: there may be no act
     for r in nodes[0].unionByName(nodes[1]).distinct().collect():
         act, title = r.node_id.strip().lower().split(":")[-1], re.sub(r",?\s*\d{4}$", "", r.label.strip())
-        for name in (title, act):
+        for name in filter(None, (title, act)):
             acts[re.sub(r"[\s.,]", "", name).lower()] = act
             names.add(re.escape(name).replace(r"\ ", r"\s+"))
     return references.Grammar(2, tuple(sorted(acts.items())), "(?:" + "|".join(sorted(names, key=lambda n: (-len(n), n))) + r")\b")
