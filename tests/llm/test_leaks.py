@@ -23,6 +23,12 @@ def run(spark, docs):
     return {(r.doc_id, r.item_id) for r in leaks.leaks(d, e).collect()}
 
 
+def leaked(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.covered for r in leaks.leaks(d, e).collect()}
+
+
 def noise(n=20):
     return " ".join(sentence() for _ in range(n))
 
@@ -48,6 +54,17 @@ def test_formula_does_not_count(spark):
     assert run(spark, [(1, noise() + part + " " + noise()), *[(100 + i, copies) for i in range(6)]]) == {(1, 1)}
 
 
+def test_initials_end_no_sentence(spark):
+    """An opening up to an initial stands in many documents; it is no sentence, and its words stay covered."""
+    opening = "No explanation was offered as to why D."
+    told = f"{opening} {sentence()}"
+    item = " ".join([told, *[sentence() for _ in range(3)]])
+    assert len(words(told)) - len(words(opening)) < leaks.COVERAGE * len(words(item)) < len(words(told))
+    openings = [(100 + i, noise(4) + f"{opening} {noise(4)}") for i in range(8)]
+    assert leaked(spark, [(1, noise() + told + " " + noise()), *openings], [(1, item)]) == {(1, 1): len(words(told))}
+    assert leaks.sentences("Fee of Rs. 5. Paid to A. B. Doe vs. Roe. Why? Yes.") == ["Fee of Rs. 5. Paid to A. B. Doe vs. Roe.", "Why?", "Yes."]
+
+
 def test_empty(spark):
     assert run(spark, []) == set()
 
