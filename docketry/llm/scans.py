@@ -14,7 +14,7 @@ All steps are SQL over lines and words; windows run over the lines or words of o
   words of up to ``SHORT`` letters, of which many differ in one glyph), is read as the most frequent form that stands elsewhere beside the same neighbour; a sign or digit is read as its letter where the group
   has no form.
 
-Defined cases: NULL and empty texts give nothing; repeated rows count once; NULL page numbers match no page line; NULL
+Defined cases: NULL and empty texts give nothing; repeated rows count once; words of a text of many records count once, and then as often as it stands where that leaves forms alike; NULL page numbers match no page line; NULL
 titles leave the second rule for heads; ties between forms go to the first in the alphabet.
 """
 
@@ -57,11 +57,13 @@ def _spaced(c: Column) -> Column:
 
 
 def lines(records: DataFrame, record: str, document: str, title: str, text: str, page_start: str, page_end: str) -> DataFrame:
-    """``record, copy, at, line, running`` of all lines that are not blank; ``copy`` is one per text of a record."""
+    """``record, copy, once, at, line, running`` of all lines that are not blank; ``copy`` is one per text of a record, ``once`` is set in one record of a text."""
     rows = records.select(F.col(record).alias("record"), F.xxhash64(text).alias("copy"), F.col(document).alias("document"), F.col(title).alias("title"), F.col(text).alias("text"), F.col(page_start).alias("p0"), F.col(page_end).alias("p1"))
     # one shuffle: repeated rows go, and the windows over a text's lines find them where they are
     rows = rows.filter("record is not null and text is not null and text <> ''").groupBy("record", "copy").agg(F.max(F.struct("document", "title", "p0", "p1")).alias("of"), F.first("text").alias("text")).select("record", "copy", "of.*", "text")
-    each = rows.select("record", "copy", "document", "title", "p0", "p1", F.posexplode(F.split("text", LINE_END)).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^[\s ]+|[\s ]+$", "")).filter("line <> ''")
+    chosen = records.filter(F.col(record).isNotNull() & F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("copy")).agg(F.min(record).alias("record"))
+    rows = rows.join(chosen.withColumn("once", F.lit(True)), ["record", "copy"], "left").withColumn("once", F.coalesce("once", F.lit(False)))
+    each = rows.select("record", "copy", "once", "document", "title", "p0", "p1", F.posexplode(F.split("text", LINE_END)).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^[\s ]+|[\s ]+$", "")).filter("line <> ''")
     number = F.regexp_extract(F.lower("line"), r"^[^\p{L}\p{N}.]*(?:page|pg\.?|p\.)?[^\p{L}\p{N}.]*(\p{N}+)(?:\s*(?:of|/)\s*\p{N}+)?[^\p{L}\p{N}.]*$", 1)
     page = F.coalesce(F.expr("try_cast(nullif(number, '') as int) between p0 and p1"), F.lit(False))
     each = each.withColumn("number", number).withColumn("is_page", page)
@@ -76,13 +78,13 @@ def lines(records: DataFrame, record: str, document: str, title: str, text: str,
     each = each.withColumn("headed", headed).withColumn("capital", capital).withColumn("beside", beside).withColumn("asked", (F.col("capital") | F.col("beside")) & ~F.col("is_page"))
     of_title = F.split(_spaced(F.coalesce("title", F.lit(""))), " ")
     masked = F.array_join(F.array_except(F.split(_spaced(F.regexp_replace("line", r"\b\p{N}+\b", "")), " "), of_title), " ")
-    each = materialise(each.withColumn("masked", masked).select("record", "copy", "at", "line", "is_page", "headed", "capital", "asked", "masked"))
+    each = materialise(each.withColumn("masked", masked).select("record", "copy", "once", "at", "line", "is_page", "headed", "capital", "asked", "masked"))
     heads = (
         each.filter("masked <> '' and not is_page").groupBy("capital", "masked")
         .agg(F.countDistinct(F.when(F.col("asked"), F.col("record"))).alias("records"), F.avg(F.col("asked").cast("int")).alias("share"))
         .filter((F.col("records") >= HEAD_RECORDS) & (F.col("share") > 0.5)).select("capital", "masked", F.lit(True).alias("returns"))
     )
-    flat = lambda df, running: df.select("record", "copy", "at", "line", running.alias("running"))
+    flat = lambda df, running: df.select("record", "copy", "once", "at", "line", running.alias("running"))
     plain = F.col("is_page") | F.col("headed")
     # only the lines that may be heads meet the heads
     return flat(each.filter("not asked"), plain).unionByName(flat(each.filter("asked").join(heads, ["capital", "masked"], "left"), plain | F.coalesce("returns", F.lit(False))))
@@ -99,7 +101,7 @@ def _bare_words(line: Column) -> Column:
 
 
 def tokens(marked: DataFrame) -> DataFrame:
-    """``record, copy, at, k, raw, word, other, before, after``: words in order; ``other`` is set for broken ones.
+    """``record, copy, once, at, k, raw, word, other, before, after``: words in order; ``other`` is set for broken ones.
 
     Of a broken word, ``word`` is the closed and ``other`` the hyphenated form, on the line it begins; its rest is gone
     from the next line. Neighbours have numbers masked: one number is as good a neighbour as another. Patterns run over
@@ -113,11 +115,11 @@ def tokens(marked: DataFrame) -> DataFrame:
     kept = kept.withColumn("breaks", F.coalesce(breaks, F.lit(False))).withColumn("left", left).withColumn("right", right)
     kept = kept.withColumn("rest", F.coalesce(F.lag("breaks").over(w), F.lit(False)))
     one = lambda mark: F.when(F.col("breaks"), F.element_at(_bare_words(F.concat("left", F.lit(mark), "right")), 1))
-    kept = kept.select("record", "copy", "at", "breaks", "rest", "left", "right", F.arrays_zip(F.split("line", " ").alias("raw"), _bare_words(F.col("line")).alias("word")).alias("parts"), one("").alias("closed"), one("-").alias("open"))
-    each = kept.select("record", "copy", "at", "breaks", "rest", "left", "right", "closed", "open", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "p"))
+    kept = kept.select("record", "copy", "once", "at", "breaks", "rest", "left", "right", F.arrays_zip(F.split("line", " ").alias("raw"), _bare_words(F.col("line")).alias("word")).alias("parts"), one("").alias("closed"), one("-").alias("open"))
+    each = kept.select("record", "copy", "once", "at", "breaks", "rest", "left", "right", "closed", "open", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "p"))
     each = each.filter(~(F.col("rest") & (F.col("k") == 0)))
     last = F.col("breaks") & (F.col("k") == F.col("n") - 1)
-    each = each.select("record", "copy", "at", "k", F.when(last, F.concat("left", "right")).otherwise(F.col("p.raw")).alias("raw"), F.when(last, F.col("closed")).otherwise(F.col("p.word")).alias("word"), F.when(last, F.col("open")).alias("other"))
+    each = each.select("record", "copy", "once", "at", "k", F.when(last, F.concat("left", "right")).otherwise(F.col("p.raw")).alias("raw"), F.when(last, F.col("closed")).otherwise(F.col("p.word")).alias("word"), F.when(last, F.col("open")).alias("other"))
     masked = F.when((F.col("word") != "") & (F.translate("word", "0123456789", "") == ""), "#").otherwise(F.col("word"))
     order = Window.partitionBy("record", "copy").orderBy("at", "k")
     return each.withColumn("before", F.lag(masked).over(order)).withColumn("after", F.lead(masked).over(order))
@@ -131,11 +133,14 @@ def _signed(word: Column) -> Column:
 def repair(rows: DataFrame) -> DataFrame:
     """``record, copy, at, k, raw, repaired, broken, misread`` of the damaged words among ``rows`` (:func:`tokens`, materialised).
 
-    Whole words are counted once, with partial sums; after that only damaged words, their forms and the counts move.
+    Whole words are counted once, with partial sums; after that only damaged words, their forms and the counts move. ``n``
+    counts a text of many records once, so the misread words of a text often copied are no more frequent than their forms;
+    ``m``, over all records, decides only for forms that are no rarer by ``n``.
     """
+    times = F.greatest(F.sum(F.col("once").cast("int")), F.lit(1))
     sound = rows.filter("other is null and word <> ''")
-    known = materialise(sound.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    parts = known.select(F.explode(F.split("word", "-")).alias("part"), "n").filter("part <> ''").groupBy("part").agg(F.sum("n").alias("n"))
+    known = materialise(sound.groupBy("word").agg(times.alias("n"), F.count(F.lit(1)).alias("m")))
+    parts = known.select(F.explode(F.split("word", "-")).alias("part"), "n", "m").filter("part <> ''").groupBy("part").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     parts = materialise(parts.withColumn("skeleton", skeleton(F.col("part"))))
     z = lambda c: F.coalesce(c, F.lit(0))
     # broken words: the closed or the hyphenated form; a damaged one is counted by its group
@@ -155,27 +160,28 @@ def repair(rows: DataFrame) -> DataFrame:
     broken = materialise(broken.join(forms, ["word", "other"]).select("record", "copy", "at", "k", "raw", "now", "before", "after"))
     # misread words, part by part
     odd = known.select(F.col("word").alias("now")).unionByName(broken.select("now")).distinct().select("now", F.posexplode(F.split("now", "-")).alias("i", "part")).filter(F.length("part") > 1)
-    odd = odd.join(parts.select("part", "n"), "part", "left").withColumn("n", z("n")).withColumn("skeleton", skeleton(F.col("part"))).withColumn("signed", _signed(F.col("part")))
-    better = parts.filter(~F.col("part").rlike(r"[^\p{L}]") & (F.length("part") > 1)).select("skeleton", F.col("part").alias("form"), F.col("n").alias("n_form"))
-    rarer = F.when(F.length("part") <= SHORT, SHORT_RARER).otherwise(RARER) * F.greatest("n", F.lit(1))
-    pairs = odd.join(better, "skeleton", "left").filter((F.col("form") != F.col("part")) & (F.col("signed") | (F.col("n_form") >= rarer)) | (F.col("signed") & F.col("form").isNull()))
-    pairs = materialise(pairs.select("now", "i", "part", "signed", F.coalesce("form", F.translate("part", SIGNS, LETTERS)).alias("form"), z("n_form").alias("n_form")))
+    odd = odd.join(parts.select("part", "n", "m"), "part", "left").withColumn("n", z("n")).withColumn("m", z("m")).withColumn("skeleton", skeleton(F.col("part"))).withColumn("signed", _signed(F.col("part")))
+    better = parts.filter(~F.col("part").rlike(r"[^\p{L}]") & (F.length("part") > 1)).select("skeleton", F.col("part").alias("form"), F.col("n").alias("n_form"), F.col("m").alias("m_form"))
+    rarer = lambda n: F.when(F.length("part") <= SHORT, SHORT_RARER).otherwise(RARER) * F.greatest(n, F.lit(1))
+    frequent = (F.col("n_form") >= rarer("n")) | ((F.col("n_form") >= F.col("n")) & (F.col("m_form") >= rarer("m")))
+    pairs = odd.join(better, "skeleton", "left").filter((F.col("form") != F.col("part")) & (F.col("signed") | frequent) | (F.col("signed") & F.col("form").isNull()))
+    pairs = materialise(pairs.select("now", "i", "part", "signed", F.coalesce("form", F.translate("part", SIGNS, LETTERS)).alias("form"), z("n_form").alias("n_form"), z("m_form").alias("m_form")))
     # of a word's several damaged parts the others take their most frequent form
-    best = pairs.groupBy("now", "i").agg(F.min_by("form", F.struct((-F.col("n_form")).alias("n"), "form")).alias("form"))
+    best = pairs.groupBy("now", "i").agg(F.min_by("form", F.struct((-F.col("n_form")).alias("n"), (-F.col("m_form")).alias("m"), "form")).alias("form"))
     every = best.groupBy("now").agg(F.map_from_entries(F.collect_list(F.struct("i", "form"))).alias("best"))
     candidates = pairs.join(every, "now").select(
-        "now", "signed", "n_form",
+        "now", "signed", "n_form", "m_form",
         F.array_join(F.transform(F.split("now", "-"), lambda p, i: F.when(i == F.col("i"), F.col("form")).otherwise(F.coalesce(F.element_at("best", i), p))), "-").alias("form"),
     )
-    candidates = materialise(candidates.groupBy("now", "form").agg(F.max("signed").alias("signed"), F.max("n_form").alias("n_form")))
+    candidates = materialise(candidates.groupBy("now", "form").agg(F.max("signed").alias("signed"), F.max("n_form").alias("n_form"), F.max("m_form").alias("m_form")))
     doubtful = sound.join(candidates.select(F.col("now").alias("word")).distinct(), "word", "left_semi").select("record", "copy", "at", "k", "raw", F.col("word").alias("now"), "before", "after")
     hits = materialise(doubtful.withColumn("broken", F.lit(False)).unionByName(broken.withColumn("broken", F.lit(True))).join(candidates, "now", "left"))
     # how often a form stands beside the same neighbour: pairs of words in which the first or the second is asked for
     wanted = candidates.select("form").distinct()
-    first = rows.join(wanted, rows["word"] == wanted["form"], "left_semi").groupBy(F.col("word").alias("form"), "after").agg(F.count(F.lit(1)).alias("n_after"))
-    second = rows.join(wanted, rows["word"] == wanted["form"], "left_semi").groupBy("before", F.col("word").alias("form")).agg(F.count(F.lit(1)).alias("n_before"))
+    first = rows.join(wanted, rows["word"] == wanted["form"], "left_semi").groupBy(F.col("word").alias("form"), "after").agg(times.alias("n_after"))
+    second = rows.join(wanted, rows["word"] == wanted["form"], "left_semi").groupBy("before", F.col("word").alias("form")).agg(times.alias("n_before"))
     scored = hits.filter("form is not null").join(second, ["before", "form"], "left").join(first, ["form", "after"], "left").withColumn("support", z("n_before") + z("n_after")).filter("signed or support > 0")
-    picked = scored.groupBy("record", "copy", "at", "k").agg(F.min_by("form", F.struct((F.col("support") == 0).alias("alone"), (-F.col("n_form")).alias("n"), "form")).alias("picked"))
+    picked = scored.groupBy("record", "copy", "at", "k").agg(F.min_by("form", F.struct((F.col("support") == 0).alias("alone"), (-F.col("n_form")).alias("n"), (-F.col("m_form")).alias("m"), "form")).alias("picked"))
     damaged = hits.select("record", "copy", "at", "k", "raw", "now", "broken").distinct().join(picked, ["record", "copy", "at", "k"], "left").filter("broken or picked is not null")
     return damaged.select("record", "copy", "at", "k", "raw", F.coalesce("picked", "now").alias("repaired"), "broken", F.col("picked").isNotNull().alias("misread"))
 

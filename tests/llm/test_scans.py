@@ -36,6 +36,14 @@ def test_damage(spark):
     assert mine == [PLAIN, "(2) Fee payable: 750"]
 
 
+def test_copies_of_a_damaged_text(spark):
+    """A damaged text of many records counts once: its misread words are found, and are no form of sound words."""
+    damaged = PLAIN.replace("furnish", "fumish").replace("registrar may", "registrar rnay")
+    sound = [(f"sound{i}", "a", TITLE, f"{PLAIN} Part {i}.", 1, 2) for i in range(6)]
+    got, _ = found(spark, [*sound, *[(f"copy{i:02d}", "a", TITLE, damaged, 1, 2) for i in range(40)]])
+    assert got == {(f"copy{i:02d}", "misread_word", word) for i in range(40) for word in ("furnish", "may")}
+
+
 def test_gazette_heads(spark):
     rows = [(f"g{i}", f"act{i}", f"Name{i} Ferries Act, 19{60 + i}", f"Every tenant shall furnish\nName{i} Gazette Extraordinary\nreturns to the family-court.", 1, 2) for i in range(4)]
     got, _ = found(spark, [*rows, *clean()])
