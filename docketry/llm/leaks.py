@@ -2,7 +2,8 @@
 
 The held-out items are the stated query set: they are held in blocks of a bounded number of characters, each an index of
 some tens of MB at most that every task reads, and each block meets all documents once. In a document, the positions of runs of ``SEED`` words
-that also stand in an item are the seeds; items with enough seeds that are particular to few items are tiled: the longest
+that also stand in an item are the seeds; items with enough seeds, of which some follow one another as in the longer run below, are tiled unless
+the runs of ``TILE`` words they share are too few for a passage. Seeds of many items count as all others: the longest
 common run of unmarked words is marked again and again, by hashed runs (Karp-Rabin) of ``TILE`` words or more. The
 passage is the stretch of tiles of the highest score, words covered less words skipped; tiles may come in another
 order than in the item. A few changed words between two tiles that follow one another count as carried, and one tile has
@@ -35,9 +36,7 @@ from docketry.llm.words import Hasher, shingles, words
 from docketry.session import materialise
 
 SEED, TILE = 5, 4
-#: A seed found in more items than this share (and number) of a block is common wording; it starts no tiling.
-COMMON_SHARE, COMMON_LEAST = 0.02, 3
-#: Seeds particular to an item for each word that has to be covered: runs of SEED words unbroken once in seven words.
+#: Seeds of an item for each word that has to be covered: runs of SEED words unbroken once in seven words.
 SEEDS_A_WORD = 0.15
 #: Words in a row that may be changed, added or left out inside a passage; words in a row that one tile of it has to have.
 CHANGED, LONGEST = 3, 9
@@ -67,31 +66,38 @@ def sentences(text: str) -> list[str]:
 class Index:
     """A block of items: sorted seed hashes with the places they stand at."""
 
-    ids: list[int] = field(default_factory=list)
+    ids: list[list[int]] = field(default_factory=list)  # of the items of equal sentences
     tokens: list[np.ndarray] = field(default_factory=list)
     sentence_of: list[np.ndarray] = field(default_factory=list)  # per word, the sentence's number
     sentence_keys: list[int] = field(default_factory=list)  # hash of the sentence's words
     grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     place_item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    particular: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
     gram_sentence: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # pairs gram, sentence by gram
     gram_sentence_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     sentence_need: np.ndarray = field(default_factory=lambda: np.zeros(0))  # seeds of a sentence that have to stand
     sentence_items: dict[int, set[int]] = field(default_factory=dict)
     least: np.ndarray = field(default_factory=lambda: np.zeros(0))  # seeds in a row that start a tiling
     runs: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # of the items tiled so far in a task: places of hashed runs
+    known: dict[int, np.ndarray] = field(default_factory=dict)  # of the items asked for so far in a task: sorted hashes of runs
 
     def runs_of(self, item: int) -> dict[int, list[int]]:
         if item not in self.runs:
             self.runs[item] = hashed_runs(self.tokens[item])
         return self.runs[item]
+
+    def known_runs(self, item: int) -> np.ndarray:
+        if item not in self.known:
+            self.known[item] = np.unique(shingles(self.tokens[item], TILE))
+        return self.known[item]
+
     sieve: np.ndarray = field(default_factory=lambda: np.zeros(1 << 20, bool))
 
 
 def build_index(items: list[tuple[int, str]]) -> Index:
     out, hasher = Index(), Hasher()
     numbers: dict[int, int] = {}
+    same: dict[tuple, int] = {}
     places: list[tuple[int, int]] = []
     pairs: set[tuple[int, int]] = set()
     for item_id, text in sorted(items):
@@ -102,6 +108,11 @@ def build_index(items: list[tuple[int, str]]) -> Index:
             continue
         at = len(out.ids)
         whole = np.concatenate(parts)
+        first = same.setdefault((whole.tobytes(), *map(len, parts)), at)
+        if first < at:
+            if item_id not in out.ids[first]:
+                out.ids[first].append(item_id)
+            continue
         marks = []
         for s in parts:
             key = int(shingles(s, len(s))[0].astype(np.int64))
@@ -112,7 +123,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
             marks.append(np.full(len(s), n))
             if len(s) >= SEED:
                 pairs.update((int(g), n) for g in np.unique(shingles(s, SEED)))
-        out.ids.append(item_id)
+        out.ids.append([item_id])
         out.tokens.append(whole)
         out.sentence_of.append(np.concatenate(marks))
         places += [(int(g), at) for g in np.unique(shingles(whole, SEED))]
@@ -122,7 +133,6 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     out.grams, starts = np.unique(gram, return_index=True)
     out.first = np.append(starts, len(gram)).astype(np.int64)
     out.least = np.maximum(2, SEEDS_A_WORD * COVERAGE * np.array([len(t) for t in out.tokens]))
-    out.particular = np.diff(out.first) <= max(COMMON_LEAST, COMMON_SHARE * len(out.ids))
     ordered = sorted((int(np.searchsorted(out.grams, np.uint64(g))), n) for g, n in pairs)
     by = np.array([g for g, _ in ordered], np.int64)
     out.gram_sentence = np.array([n for _, n in ordered], np.int64)
@@ -232,6 +242,21 @@ def _expand(start: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np
     return owner, values[start[keys][owner] + offset]
 
 
+def _in_a_row(at: np.ndarray) -> bool:
+    """Whether as many seeds follow one another as a run of ``LONGEST`` words has."""
+    n = LONGEST - SEED
+    return len(at) > n and bool((at[n:] - at[:-n] == n).any())
+
+
+def _most_carried(runs: np.ndarray, known: np.ndarray) -> float:
+    """A bound of the words that a passage can carry: those in shared runs of ``TILE`` words, and ``CHANGED`` after each tile."""
+    hit = known[np.minimum(np.searchsorted(known, runs), len(known) - 1)] == runs
+    reach = np.concatenate([hit, np.zeros(TILE - 1, bool)])
+    for k in range(1, TILE):
+        reach[k : len(hit) + k] |= hit
+    return np.count_nonzero(reach) * (1 + CHANGED / TILE)
+
+
 def search(index: Index, h: np.ndarray) -> tuple[list[tuple[int, list[tuple[int, int]]]], list[int]]:
     """Items of which a document carries enough as one passage, with what it carries; sentences that stand outside such passages."""
     if len(h) < SEED or not len(index.grams):
@@ -240,18 +265,25 @@ def search(index: Index, h: np.ndarray) -> tuple[list[tuple[int, list[tuple[int,
     if not len(where):
         return [], []
     found = []
-    special = index.particular[gram]
-    owner, item = _expand(index.first, index.place_item, gram[special])
-    position = where[special][owner]
+    owner, item = _expand(index.first, index.place_item, gram)
+    order = np.argsort(item, kind="stable")
+    position, by = where[owner[order]], item[order]
+    runs = None
     for i in np.flatnonzero(np.bincount(item, minlength=len(index.ids)) >= index.least).tolist():
         a, least = index.tokens[i], index.least[i]
-        at = np.sort(position[item == i])
+        at = position[np.searchsorted(by, i) : np.searchsorted(by, i, "right")]
+        if not _in_a_row(at):
+            continue
+        if runs is None:
+            runs = shingles(h, TILE)
         best: list[tuple[int, int]] = []
         # a gap of the words asked for is bridged by no passage that was not enough before it
         for part in np.split(at, np.flatnonzero(np.diff(at) > COVERAGE * len(a) + SEED) + 1):
-            if len(part) >= least:
-                low = max(0, int(part[0]) - len(a))
-                tiles = passage(tile(a, h[low : int(part[-1]) + SEED + len(a)], index.runs_of(i)))
+            if len(part) >= least and _in_a_row(part):
+                low, high = max(0, int(part[0]) - len(a)), int(part[-1]) + SEED + len(a)
+                if _most_carried(runs[low : high - TILE + 1], index.known_runs(i)) < COVERAGE * len(a):
+                    continue
+                tiles = passage(tile(a, h[low:high], index.runs_of(i)))
                 held = carried(tiles) if max((n for *_, n in tiles), default=0) >= LONGEST else []
                 if sum(n for _, n in held) > sum(n for _, n in best):
                     best = held
@@ -280,7 +312,7 @@ def _scanner(shared):
                 for i, held in found:
                     marked = np.concatenate([index.sentence_of[i][s : s + n] for s, n in held])
                     for n, covered in zip(*np.unique(marked, return_counts=True), strict=True):
-                        out.append(("passage", doc_id, index.ids[i], len(index.tokens[i]), index.sentence_keys[n], int(covered), None))
+                        out += [("passage", doc_id, item_id, len(index.tokens[i]), index.sentence_keys[n], int(covered), None) for item_id in index.ids[i]]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
     return scan

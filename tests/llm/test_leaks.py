@@ -54,6 +54,14 @@ def test_formula_does_not_count(spark):
     assert run(spark, [(1, noise() + part + " " + noise()), *[(100 + i, copies) for i in range(6)]]) == {(1, 1)}
 
 
+def test_repeated_and_like_items(spark):
+    """Items of one text and items that share nearly all their wording are reported each."""
+    text, shared = noise(6), [sentence() for _ in range(5)]
+    items = [(i, text) for i in range(1, 11)] + [(20 + i, " ".join([*shared, sentence()])) for i in range(10)]
+    docs = [(1, noise() + text + " " + noise()), (2, noise() + " ".join(shared[1:4]) + " " + noise()), (3, noise() + shared[1] + " " + noise())]
+    assert leaked(spark, docs, items) == {(1, i): 84 for i in range(1, 11)} | {(2, 20 + i): 42 for i in range(10)}
+
+
 def test_initials_end_no_sentence(spark):
     """An opening up to an initial stands in many documents; it is no sentence, and its words stay covered."""
     opening = "No explanation was offered as to why D."
