@@ -11,7 +11,8 @@ to be a longer run, which template sentences do not share. Tiling sees the whole
 
 Formula sentences do not count: a sentence of an item is a formula if it stands in many unrelated documents, that is
 in ``FORMULA_SHARE`` of all documents and ``FORMULA_LEAST`` at least, outside passages of the items that hold it, copies
-of a document counting once. A full stop after an initial, a short number or a short form ends no sentence, so openings that many
+and near copies of a document counting once: of the documents that share a bucket of minwise hashes of their wording outside
+the items, only the first counts. A full stop after an initial, a short number or a short form ends no sentence, so openings that many
 documents share are no formula. The words of the passage in such sentences are taken off before the threshold is applied.
 
 Defined cases: NULL and empty texts leak nothing; items of fewer words than a seed are found by no seed and not reported;
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.pieces import _NO_END
-from docketry.llm.words import Hasher, shingles, words
+from docketry.llm.words import Hasher, mix, shingles, words
 from docketry.session import materialise
 
 SEED, TILE = 5, 4
@@ -44,6 +45,8 @@ CHANGED, LONGEST = 3, 9
 COVERAGE = 1 / 3
 #: Between sentences of one item's wording (0.05 % of documents at most) and formulas (1.1 to 2.6 %), above openings up to an initial (0.5 %).
 FORMULA_SHARE, FORMULA_LEAST = 0.006, 5
+#: Near copies, of half their shingles or more, share one of BANDS bands of ROWS minwise hashes with some other; unrelated documents share none.
+BANDS, ROWS = 20, 8
 #: Share of a sentence's seeds that have to stand in a document.
 SENTENCE_SHARE = 0.8
 #: Characters of the items of one index: about ten bytes of index each.
@@ -295,7 +298,23 @@ def search(index: Index, h: np.ndarray) -> tuple[list[tuple[int, list[tuple[int,
     return found, [n for n in stands.tolist() if not index.sentence_items[n] & inside]
 
 
-_OUT = "kind string, doc_id long, item_id long, item_words int, sentence long, covered int, document long"
+_ODD = np.random.default_rng(20_240_502).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def bands(index: Index, h: np.ndarray) -> np.ndarray:
+    """A bucket per band of the document's shingles that stand in no item; the same for all documents without any."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    rest = (np.delete(shingles(h, SEED), _matches(index, h)[0]) >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(rest), 4096):
+        np.minimum(low, (rest[None, at : at + 4096] * _ODD[:, None]).min(axis=1), out=low)
+    rows = mix(low.astype(np.uint64)).reshape(BANDS, ROWS)
+    out = np.zeros(BANDS, np.uint64)
+    for j in range(ROWS):
+        out = mix(out * np.uint64(31) + rows[:, j])
+    return out.view(np.int64)
+
+
+_OUT = "kind string, doc_id long, item_id long, item_words int, sentence long, covered int, document long, bands array<long>"
 
 
 def _scanner(shared):
@@ -308,11 +327,12 @@ def _scanner(shared):
                 found, outside = search(index, h)
                 if outside:
                     mark = int(shingles(h, len(h))[0].astype(np.int64))
-                    out += [("sentence", None, None, None, index.sentence_keys[n], None, mark) for n in outside]
+                    of = bands(index, h)
+                    out += [("sentence", None, None, None, index.sentence_keys[n], None, mark, of) for n in outside]
                 for i, held in found:
                     marked = np.concatenate([index.sentence_of[i][s : s + n] for s, n in held])
                     for n, covered in zip(*np.unique(marked, return_counts=True), strict=True):
-                        out += [("passage", doc_id, item_id, len(index.tokens[i]), index.sentence_keys[n], int(covered), None) for item_id in index.ids[i]]
+                        out += [("passage", doc_id, item_id, len(index.tokens[i]), index.sentence_keys[n], int(covered), None, None) for item_id in index.ids[i]]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
     return scan
@@ -330,7 +350,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # about BLOCK characters
         shared = spark.sparkContext.broadcast(vars(build_index([(r.item_id, r.text) for r in rows])))
         scanned = materialise(docs.mapInPandas(_scanner(shared), _OUT), partition_by="kind")
-        formula = scanned.filter("kind = 'sentence'").select("sentence", "document").distinct().groupBy("sentence").count().filter(F.col("count") >= many)
+        stands = scanned.filter("kind = 'sentence'")
+        often = stands.select("sentence", "document").distinct().groupBy("sentence").count().filter(F.col("count") >= many)
+        buckets = stands.join(often, "sentence", "left_semi").select("sentence", "document", F.posexplode("bands").alias("band", "bucket"))
+        firsts = buckets.groupBy("sentence", "band", "bucket").agg(F.min("document").alias("document")).groupBy("sentence", "document").count().filter(F.col("count") == BANDS)
+        formula = firsts.groupBy("sentence").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= many)
         kept = scanned.filter("kind = 'passage'").join(formula.select("sentence"), "sentence", "left_anti")
         found = kept.groupBy("doc_id", "item_id", "item_words").agg(F.sum("covered").cast("int").alias("covered")).filter(F.col("covered") >= COVERAGE * F.col("item_words"))
         out = found if out is None else out.unionByName(found)

@@ -54,6 +54,14 @@ def test_formula_does_not_count(spark):
     assert run(spark, [(1, noise() + part + " " + noise()), *[(100 + i, copies) for i in range(6)]]) == {(1, 1)}
 
 
+def test_near_copies_make_no_formula(spark):
+    """Copies of a document that differ in a word each count once among the documents that hold a sentence."""
+    item = [sentence() for _ in range(6)]
+    quoting = (noise(6) + " " + item[1] + " " + noise(6)).split()
+    near = [(100 + i, " ".join([*quoting[: 7 * i], f"other{i}", *quoting[7 * i + 1 :]])) for i in range(10)]
+    assert leaked(spark, [(1, noise() + " ".join(item[1:3]) + " " + noise()), *near], [(1, " ".join(item))]) == {(1, 1): 28}
+
+
 def test_repeated_and_like_items(spark):
     """Items of one text and items that share nearly all their wording are reported each."""
     text, shared = noise(6), [sentence() for _ in range(5)]
