@@ -21,7 +21,6 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,17 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from docketry.llm.characters import fold
 from docketry.session import materialise
 
 # Letters that look like a Latin letter in common founts, in the order of the Latin letters.
 CYRILLIC = dict(zip("АВСЕНІЈКМОРЅТХУаԁеһіјорԛѕѵԝху", "ABCEHIJKMOPSTXYadehijopqsvwxy", strict=True)) | {"с": "c"}
 GREEK = dict(zip("ΑΒΕΗΙΚΜΝΟΡΤΧΥΖϲϳον", "ABEHIKMNOPTXYZcjov", strict=True))
 
-# Characters without a glyph, and spaces of any width.
-INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
-SPACES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
-
-_PLAIN = dict.fromkeys(map(chr, INVISIBLE), "") | dict.fromkeys(map(chr, SPACES), " ") | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _SUSPECT = re.compile(r"[Ͱ-Ͽἀ-῿Ѐ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
 _TO_LATIN = CYRILLIC | GREEK
@@ -50,16 +45,6 @@ _FROM_LATIN = {"C": {v: k for k, v in CYRILLIC.items()}, "G": {v: k for k, v in
 VOCABULARY_FLUSH = 200_000
 
 
-def fold(text: str) -> str:
-    """Steps 1 and 2."""
-    if text.isascii():
-        return text
-    for c in _PLAIN.keys() & set(text):  # one fast pass for each such character that the text has
-        text = text.replace(c, _PLAIN[c])
-    text = text.replace("\r\n", "\n")
-    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
-
-
 def _script(c: str) -> str:
     o = ord(c)
     return "C" if 0x400 <= o <= 0x52F else "G" if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF else "L" if o < 0x250 or 0x1E00 <= o <= 0x1EFF else "O"

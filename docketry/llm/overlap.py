@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.words import Hasher, common_subsequence, digest, mix, shingles, words
+from docketry.llm.words import Hasher, common_subsequence, digest, mix, shingles
 from docketry.session import materialise
 
 SHINGLE = 5
@@ -61,7 +61,7 @@ def _sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         keep, digests, counts, bands = [], [], [], []
         for i, text in enumerate(frame["text"]):
-            h = hasher(words(text))
+            h = hasher(text)
             if len(h):
                 keep.append(i)
                 digests.append(digest(h))
@@ -98,7 +98,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
         def of(key: bytes, text: str, seen: dict = seen) -> tuple:
             if key not in seen:
-                h = hasher(words(text))
+                h = hasher(text)
                 seen[key] = (h.tolist(), np.unique(shingles(h, SHINGLE)))
             return seen[key]
 

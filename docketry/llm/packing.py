@@ -18,6 +18,7 @@ packed each; ties in size go by document id, so the packing is the same for any
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.tokens import TOKENIZER, Counter
-from docketry.llm.words import Hasher, digest, words
+from docketry.llm.words import Hasher, digest, sequences
 from docketry.session import materialise
 
 SHARD = 20_000
@@ -35,10 +36,9 @@ def _measurer(tokenizer: str):
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter, hasher = Counter(tokenizer), Hasher()
         for frame in frames:
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "source": frame["source"], "n_tokens": [counter.exact(t) for t in frame["text"]],
-                "cluster": [int.from_bytes(digest(hasher(words(t)) if t else np.zeros(0, np.uint64))[:8], "little", signed=True) for t in frame["text"]],
-            })
+            h, first = sequences(frame["text"].tolist(), hasher)
+            clusters = [int.from_bytes(digest(h[a:b])[:8], "little", signed=True) for a, b in pairwise(first.tolist())]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], "n_tokens": [counter.exact(t) for t in frame["text"]], "cluster": clusters})
 
     return measure
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from docketry.llm import leaks
-from docketry.llm.words import words
+from docketry.llm.words import Hasher, sequences, shingles, words
 
 rng = random.Random(11)
 VOCABULARY = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
@@ -122,3 +122,51 @@ def test_tiles_against_definition():
         want = brute_tiles(a.tolist(), b.tolist())
         assert max((n for *_, n in tiles), default=0) == max(want, default=0)
         assert abs(sum(n for *_, n in tiles) - sum(want)) <= 2 * leaks.TILE  # ties may be taken in another order
+
+
+def found(index, docs):
+    h, first = sequences(docs, Hasher())
+    out, _ = leaks.search(index, h, first, shingles(h, leaks.TILE))
+    need = lambda i, held: (leaks.COVERAGE if max(run for *_, run in held) >= leaks.LONG else leaks.LOOSE) * index.sizes[i]
+    return {(d, index.ids[i][0]) for d, i, held in out if sum(n for _, n, _ in held) >= need(i, held)}
+
+
+def test_recall_by_share_of_changed_words():
+    """Whole items with words replaced at random, in texts of other words: none of 15 % changed is lost, few of 20 %."""
+    r = random.Random(3)
+    items = [(i, " ".join(r.choice(VOCABULARY) for _ in range(r.randrange(60, 150)))) for i in range(200)]
+    index = leaks.build_index(items)
+    for share, least in ((0, 1), (0.05, 1), (0.1, 1), (0.15, 0.98), (0.2, 0.93)):
+        docs = [noise(4) + " ".join(w if r.random() >= share else r.choice(VOCABULARY) for w in text.split()) + " " + noise(4) for _, text in items]
+        got = found(index, docs)
+        assert sum((i, i) in got for i in range(200)) >= least * 200, share
+        assert all(d == i for d, i in got)
+
+
+def test_evenly_changed_words():
+    """One word in N changed leaves no long run; the item is found all the same, however often it is given."""
+    item = " ".join(rng.choice(VOCABULARY) for _ in range(120))
+    for every in (5, 6, 7, 8, 9, 10, 12):
+        text = noise(3) + " ".join(w if k % every else "changed" for k, w in enumerate(item.split(), 1)) + " " + noise(3)
+        for times in (1, 5, 50):
+            index = leaks.build_index([(i, item) for i in range(times)] + [(100 + i, sentence(60)) for i in range(20)])
+            assert index.ids[0] == list(range(times)) and found(index, [text]) == {(0, 0)}
+
+
+def test_unbroken_third_has_its_anchors():
+    r = random.Random(4)
+    for _ in range(200):
+        words_ = [r.choice(VOCABULARY) for _ in range(r.randrange(12, 200))]
+        n = -(-len(words_) // 3)
+        at = r.randrange(0, len(words_) - n + 1)
+        if n >= leaks.TILE and n >= leaks.LONG:
+            assert found(leaks.build_index([(1, " ".join(words_))]), [noise(2) + " ".join(words_[at : at + n]) + " " + noise(2)]) == {(0, 1)}
+
+
+def test_sequences_are_those_of_single_texts():
+    texts = ["", "One two.", "a\0b", "\u0915\u093e e\u0301t\u00e9\u200b \uff21\uff22 \u0130x", "x" * 70_000 + " y", " ", "\ud800 z"]
+    h, first = sequences(texts, Hasher())
+    each = [Hasher()(t) for t in texts]
+    assert [h[a:b].tolist() for a, b in zip(first, first[1:])] == [e.tolist() for e in each]  # noqa: B905
+    assert [len(e) for e in each] == [0, 2, 2, 4, 2, 0, 1]
+    assert sequences([], Hasher())[0].tolist() == []
