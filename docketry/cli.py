@@ -9,7 +9,7 @@
 from __future__ import annotations
 
 import argparse
-import importlib.util
+import importlib
 import sys
 
 from docketry.plans import load
@@ -19,10 +19,10 @@ from docketry.session import local_session
 
 def registries() -> list:
     load()
-    out = [CORE]
-    if importlib.util.find_spec("docketry.llm") and importlib.util.find_spec("docketry.llm.queries"):
-        out.append(importlib.import_module("docketry.llm.queries").LLM)
-    return out
+    try:  # the subpackage may be absent, or lack a library it needs
+        return [CORE, importlib.import_module("docketry.llm.queries").LLM]
+    except ImportError:
+        return [CORE]
 
 
 def main(args: list[str] | None = None) -> int:
