@@ -6,9 +6,11 @@ Three steps, the first two per character, the third per token:
 2. accents are composed (NFC),
 3. in a token of mixed scripts the dominant script is the one that has letters of its own there (letters that look like
    no letter of another script); where all could be either, the script of most of the document. The look-alikes are
-   then put into that script, if the result is a word of the corpus: a word of some document as it stands, or the
-   result of repairing tokens in two documents or more. A token wholly of look-alikes in a text of another script
-   (an initial, say) counts as mixed with its surroundings.
+   then put into that script, if the result is a word of some document of the corpus as it stands.
+
+A token wholly of look-alikes of a script in which the document has no word of its own (an initial, say) counts as mixed with
+the script of its document; where the document has such words, it is one of them and stays. ``whole=False`` leaves all such
+tokens alone. Letters that look alike only roughly, or in one fount, count in tokens of mixed scripts only.
 
 One pass in Arrow batches over the texts yields, per document, digests of the text before and after; only texts with
 suspect tokens are carried on (their words are joined to the vocabulary by shuffles, nothing is broadcast or collected).
@@ -21,6 +23,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,18 +39,30 @@ from docketry.session import materialise
 # Letters that look like a Latin letter in common founts, in the order of the Latin letters.
 CYRILLIC = dict(zip("АВСЕНІЈКМОРЅТХУаԁеһіјорԛѕѵԝху", "ABCEHIJKMOPSTXYadehijopqsvwxy", strict=True)) | {"с": "c"}
 GREEK = dict(zip("ΑΒΕΗΙΚΜΝΟΡΤΧΥΖϲϳον", "ABEHIKMNOPTXYZcjov", strict=True))
-
-_SUSPECT = re.compile(r"[Ͱ-Ͽἀ-῿Ѐ-ԯ]")
+ARMENIAN = dict(zip("ՕՍցհոքօսյ", "OUghnpouj", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHiJKLMPRSTVWZ", strict=True))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ", strict=True))
+PHONETIC = dict(zip("ɑɡɩʏʟʜɴ", "agiYLHN", strict=True))
+# Letters that look like a Latin one only roughly.
+ROUGHLY = dict(zip("αικρυкⲟ", "aikpuko", strict=True))
+#: Letters of Latin form that Unicode's data give as a variant of a plain one: mathematical founts, letter-like signs, Roman numerals.
+VARIANTS = {chr(c): n for c in (*range(0x2100, 0x2180), *range(0x1D400, 0x1D800)) if (n := unicodedata.normalize("NFKC", chr(c))) != chr(c) and len(n) == 1 and n.isascii() and n.isalpha()}
+
+#: Scripts by the first and last letter.
+SCRIPTS = [("L", 0, 0x24F), ("I", 0x250, 0x2AF), ("G", 0x370, 0x3FF), ("C", 0x400, 0x52F), ("A", 0x530, 0x58F), ("K", 0x13A0, 0x13FF), ("L", 0x1E00, 0x1EFF), ("G", 0x1F00, 0x1FFF), ("V", 0x2100, 0x217F), ("G", 0x2C80, 0x2CFF), ("S", 0xA4D0, 0xA4FF), ("V", 0x1D400, 0x1D7FF)]
+_SUSPECT = re.compile("[%s]" % "".join(f"{chr(a)}-{chr(b)}" for script, a, b in SCRIPTS if script != "L"))
 _WORD = re.compile(r"[^\W\d_]+")
-_TO_LATIN = CYRILLIC | GREEK
+_CLEARLY = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | LISU | PHONETIC
+_TO_LATIN = _CLEARLY | ROUGHLY | VARIANTS
 _FROM_LATIN = {"C": {v: k for k, v in CYRILLIC.items()}, "G": {v: k for k, v in GREEK.items()}}
+_LATIN_LOOKS = {c for m in _FROM_LATIN.values() for c in m}
 #: Words of a task are put out, made distinct, whenever there are so many; they meet the others in a shuffle.
 VOCABULARY_FLUSH = 200_000
 
 
 def _script(c: str) -> str:
     o = ord(c)
-    return "C" if 0x400 <= o <= 0x52F else "G" if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF else "L" if o < 0x250 or 0x1E00 <= o <= 0x1EFF else "O"
+    return next((script for script, a, b in SCRIPTS if a <= o <= b), "O")
 
 
 def dominant_script(text: str) -> str:
@@ -56,37 +71,48 @@ def dominant_script(text: str) -> str:
     return max((("L", latin), ("C", foreign.count("C")), ("G", foreign.count("G"))), key=lambda x: x[1])[0]
 
 
+def _own(c: str, script: str) -> bool:
+    """Whether a letter looks like no letter of another script."""
+    return c not in (_LATIN_LOOKS if script == "L" else _TO_LATIN)
+
+
 def substitute(token: str, around: str) -> str | None:
-    """``token`` in its dominant script; NULL where it is of one script already or can't be brought into one."""
+    """``token`` in its dominant script; NULL where it is of one script already or can't be brought into one.
+
+    A token of one script other than ``around`` counts as mixed with it if all its letters clearly look like others.
+    """
     scripts = {_script(c) for c in token}
-    if scripts <= {"L", "O"} or "O" in scripts:
+    if "O" in scripts or scripts == {"L"} or (len(scripts) == 1 and (around in scripts or not all(c in _CLEARLY for c in token))):
         return None
-    own = {s for c in token if (s := _script(c)) and (c not in _TO_LATIN if s != "L" else not any(c in m for m in _FROM_LATIN.values()))}
+    own = {s for c in token if _own(c, s := _script(c))}
     if len(own) > 1:
         return None
     target = own.pop() if own else around
+    if target not in "LCG":
+        return None
     out = []
     for c in token:
         s = _script(c)
-        if s == target:
-            out.append(c)
-        elif target == "L":
-            out.append(_TO_LATIN[c])
-        else:
-            latin = c if s == "L" else _TO_LATIN.get(c)
-            if latin not in _FROM_LATIN[target]:
-                return None
-            out.append(_FROM_LATIN[target][latin])
+        latin = c if s == "L" else _TO_LATIN.get(c)
+        put = c if s == target else latin if target == "L" else _FROM_LATIN[target].get(latin)
+        if put is None:
+            return None
+        out.append(put)
     result = "".join(out)
     return None if result == token else result
 
 
-def suspects(text: str) -> dict[str, str]:
+def suspects(text: str, whole: bool = True) -> dict[str, str]:
     """Tokens of a folded text that may be disguised, with what they would be."""
     if text.isascii() or not _SUSPECT.search(text):
         return {}
+    tokens = {t for t in set(_WORD.findall(text)) if _SUSPECT.search(t)}
     around = dominant_script(text)
-    return {t: r for t in set(_WORD.findall(text)) if _SUSPECT.search(t) and (r := substitute(t, around))}
+    of = {t: {_script(c) for c in t} for t in tokens}
+    # scripts in which the text has words of their own
+    spoken = {s for t, scripts in of.items() if len(t) > 1 and len(scripts) == 1 and any(_own(c, *scripts) for c in t) for s in scripts}
+    asked = (t for t, scripts in of.items() if len(scripts) > 1 or (whole and not scripts & spoken))
+    return {t: r for t in asked if (r := substitute(t, around))}
 
 
 def replace(text: str, words: dict[str, str]) -> str:
@@ -104,7 +130,7 @@ _ARROW = pa.schema([
 ])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[pa.RecordBatch]:
     words: set[str] = set()
 
     def rows(kind: str, **columns: list) -> pa.RecordBatch:
@@ -115,7 +141,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, raw, form, texts, tokens = [], [], [], [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             folded = fold(text)
-            odd = suspects(folded)
+            odd = suspects(folded, whole)
             words.update(_WORD.findall(folded.lower()))
             ids.append(i)
             raw.append(_digest(text))
@@ -147,24 +173,22 @@ def _texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _approved(scanned: DataFrame) -> DataFrame:
     """``(doc_id, approved)``: per suspect document the tokens whose result is a word of the corpus."""
     odd = scanned.filter("kind = 'document' and tokens is not null").select("doc_id", F.explode("tokens").alias("t")).select("doc_id", "t.token", "t.result", F.lower("t.result").alias("word"))
-    asked = odd.groupBy("word").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    known = asked.join(scanned.filter("kind = 'word'").select("word").distinct(), "word", "left_semi").select("word")
-    words = known.unionByName(asked.filter("a <> b").select("word")).distinct()
+    words = odd.select("word").distinct().join(scanned.filter("kind = 'word'").select("word").distinct(), "word", "left_semi")
     return odd.join(words, "word", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("token", "result")).alias("approved"))
 
 
-def forms(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def forms(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
     """``(doc_id, raw, form)``: 128-bit digests of every text as it is and in its one form."""
-    scanned = materialise(_texts(documents, doc_id, text).mapInArrow(_scan, _PASS), partition_by="kind")
+    scanned = materialise(_texts(documents, doc_id, text).mapInArrow(lambda batches: _scan(batches, whole), _PASS), partition_by="kind")
     docs = scanned.filter("kind = 'document'")
     odd = docs.filter("tokens is not null").join(_approved(scanned), "doc_id", "left").select("doc_id", "raw", _repaired_digest("text", "approved").alias("form"))
     return docs.filter("tokens is null").select("doc_id", "raw", "form").unionByName(odd)
 
 
-def repair(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repair(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
     """``(doc_id, text)`` with every text in its one form."""
     texts = _texts(documents, doc_id, text)
-    scanned = materialise(texts.mapInArrow(_scan, _PASS), partition_by="kind")
+    scanned = materialise(texts.mapInArrow(lambda batches: _scan(batches, whole), _PASS), partition_by="kind")
     plain = F.octet_length("text") == F.length("text")
     others = texts.filter(~plain).join(_approved(scanned), "doc_id", "left").select("doc_id", _repaired_text("text", "approved").alias("text"))
     return texts.filter(plain).unionByName(others)

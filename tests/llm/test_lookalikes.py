@@ -22,7 +22,7 @@ def skeleton(text):
 def test_against_visual_equality(spark):
     rng = random.Random(5)
     back = {}
-    for c, latin in L._TO_LATIN.items():
+    for c, latin in L._CLEARLY.items():
         back.setdefault(latin, []).append(c)
     base = ["The Court heard the plea of Mepitari on 12 May.", "A pension was due;\nnotice issued twice", "कोर्ट ने कहा। daṇḍa stood", "No ocean view x"]
     texts = []
@@ -69,3 +69,17 @@ def test_nulls_empty_repeats_long(spark):
     assert found(spark, []) == set()
     texts = [(1, None), (2, ""), (3, "a b"), (4, "a b"), (5, "a b"), (None, "a b"), (6, "word " * 60_000), (7, "word " + "word " * 59_999)]
     assert found(spark, texts) == {(3, 5), (4, 5), (6, 7)}
+
+
+def test_genuine_words_of_another_script_stay(spark):
+    """Words of another script are no disguise: no word of the corpus results, or the text has words of that script."""
+    texts = [(1, "Goods from СССР were signed for."), (2, "The оса flew."), (3, "Он не сор but море, he said."), (4, "cop and sop are words"), (5, "A сор of the notice was served.")]
+    rows = {r.doc_id: r.text for r in L.repair(table(spark, texts)).collect()}
+    assert rows == dict(texts) | {5: "A cop of the notice was served."}
+    assert L.suspects("A сор of it", whole=False) == {}
+
+
+def test_letters_of_many_scripts():
+    known = {"αppeal": "appeal", "ρermit": "permit", "ιn": "in", "ԝritten": "written", "ցrant": "grant", "ᎪCT": "ACT", "ꓐank": "Bank", "ɡuarantor": "guarantor", "𝐀ppeal": "Appeal", "paгty": None, "β": None, "α": None}
+    for token, plain in known.items():
+        assert L.suspects(f"the {token} here").get(token) == plain, token
