@@ -99,7 +99,17 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.countDistinct("record").alias("members"), F.countDistinct("origin").alias("splits")).filter("members > 1")
 
 
-@LLM.add("p3_splits", "GROUPS")
+@LLM.add(
+    "p3_splits", "GROUPS",
+    sql=_SQL + """,
+laid as (select l, group_id, members, members > 0.005 * sum(members) over () heavy, sum(members) over () total from named),
+placed as (select l, group_id, (sum(members) over (order by case when heavy then -members else 1 end, md5(group_id), group_id) - members) / total spot from laid),
+cuts as (
+  select split_name, sum(share) over (order by share desc, split_name) / sum(share) over () edge, row_number() over (order by share, split_name desc) = 1 is_last
+  from split_shares where split_name is not null and share > 0),
+chosen as (select l, group_id, arg_min(split_name, case when is_last then 2 else edge end) split from placed, cuts where is_last or spot < edge - 1e-12 group by 1, 2)
+select distinct case_id, group_id, split from whole join chosen using (l)""",
+)
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The new split of every judgment: no group in two splits, shares of the records as in split_shares."""
     given = table(spark, sf_dir, "split_shares").filter("split_name is not null and share > 0")

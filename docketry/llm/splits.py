@@ -10,7 +10,7 @@ work with the size. When no edge is left, the rounds are unwound from last to fi
 Every round is written to the shared folder, so lineage stays short and lost executors cost their tasks only.
 
 Defined cases: NULL or empty keys link nothing; a record without a key is a component of its own; repeated rows count
-once; ties in weight are ordered by a hash of the component, so the assignment does not depend on row order.
+once; the order is by a hash of the component, so the assignment does not depend on row order.
 """
 
 from __future__ import annotations
@@ -83,19 +83,24 @@ def components(records: DataFrame, record_id: str, keys: list[Column]) -> DataFr
     return labelled.join(names, "label").select("record", "component")
 
 
-def assign(members: DataFrame, shares: list[tuple[str, float]], buckets: int = 4096) -> DataFrame:
+def assign(members: DataFrame, shares: list[tuple[str, float]], digits: int = 3, heavy: float = 0.005) -> DataFrame:
     """``(component, weight, split)``: whole components to splits, in about the given shares of the records.
 
-    Components are laid out by weight, the heaviest first, and cut where the cumulative weight passes the shares, so
-    the light ones stand at the cuts. Without shares the split is NULL. The running sum is taken over the few distinct (weight, bucket) pairs first and
-    within a pair then, so no task sees all components.
+    Components are laid out in the order of a hash of their name and cut where the cumulative weight passes the shares, so
+    every split has components of all sizes alike. Only those of more than ``heavy`` of all records (1 / ``heavy`` at most)
+    come before the others, the heaviest first: none of them stands at a cut unless they fill a split. A share is
+    met up to the weight of the component at its cut. Without shares the split is NULL. The running sum is taken over
+    buckets first (the leading hexadecimal ``digits`` of the hash) and inside a bucket then, so no task sees all components.
     """
-    sizes = materialise(members.groupBy("component").agg(F.count(F.lit(1)).alias("weight")).withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))))
-    blocks = sizes.groupBy("weight", "bucket").agg(F.sum("weight").alias("mass"))
-    order = Window.orderBy(F.desc("weight"), "bucket")  # distinct weights times buckets, not components
-    blocks = blocks.select("weight", "bucket", (F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("mass")).alias("before"), F.sum("mass").over(Window.partitionBy()).alias("total"))
-    inside = Window.partitionBy("weight", "bucket").orderBy("component")
-    placed = sizes.join(blocks, ["weight", "bucket"]).withColumn("at", (F.col("before") + F.col("weight") * (F.row_number().over(inside) - 1)) / F.col("total"))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("weight")).withColumn("spot", F.md5(F.col("component").cast("binary")))
+    sizes = materialise(sizes.withColumn("bucket", F.substring("spot", 1, digits)))
+    total = sizes.agg(F.sum("weight")).first()[0] or 0
+    sizes = sizes.withColumn("bucket", F.when(F.col("weight") > heavy * total, "").otherwise(F.col("bucket")))
+    before = lambda order: F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight")
+    blocks = sizes.groupBy("bucket").agg(F.sum("weight").alias("weight"))
+    blocks = blocks.select("bucket", before(Window.orderBy("bucket")).alias("start"))  # one row per bucket
+    inside = Window.partitionBy("bucket").orderBy(F.when(F.col("bucket") == "", -F.col("weight")), "spot", "component")
+    placed = sizes.withColumn("inside", before(inside)).join(blocks, "bucket").withColumn("at", (F.col("start") + F.col("inside")) / F.lit(max(total, 1)))
     split, edge = None, 0.0
     whole = sum(share for _, share in shares)
     for name, share in shares[:-1]:

@@ -54,13 +54,25 @@ def test_components(spark):
 def test_assign_keeps_shares(spark, weights):
     members = [(f"r{c}-{i}", f"c{c}") for c, w in enumerate(weights) for i in range(w)]
     shares = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
-    rows = splits.assign(spark.createDataFrame(members, "record string, component string"), shares, buckets=4).collect()
+    rows = splits.assign(spark.createDataFrame(members, "record string, component string"), shares, digits=1).collect()
     assert {r.component: r.weight for r in rows} == {f"c{c}": w for c, w in enumerate(weights)}
     got = {name: sum(r.weight for r in rows if r.split == name) / len(members) for name, _ in shares}
     # components are cut where a share ends: it is off by less than the component that stands there
     assert all(abs(got[n] - s) <= 2 * max(weights) / len(members) + 1e-9 for n, s in shares)
 
 
+def test_splits_are_alike_in_sizes(spark):
+    """Components of every size stand in every split; only heavy ones go to the largest split first."""
+    rng = random.Random(2)
+    weights = [600, 300] + [rng.choice([1, 1, 1, 2, 2, 3, 5, 8]) for _ in range(4000)]
+    members = [(f"r{c}-{i}", f"c{c}") for c, w in enumerate(weights) for i in range(w)]
+    rows = splits.assign(spark.createDataFrame(members, "record string, component string"), [("train", 0.8), ("validation", 0.1), ("test", 0.1)], heavy=0.01).collect()
+    light = [r for r in rows if r.weight < 300]
+    mean = {s: sum(r.weight for r in light if r.split == s) / sum(r.split == s for r in light) for s in ("train", "validation", "test")}
+    assert max(mean.values()) < 1.1 * min(mean.values())
+    assert {r.split for r in rows if r.weight >= 300} == {"train"}
+
+
 def test_assign_without_components_or_shares(spark):
     schema = "record string, component string"
     assert splits.assign(spark.createDataFrame([], schema), [("train", 1.0)]).count() == 0
