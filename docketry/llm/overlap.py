@@ -38,8 +38,8 @@ SHINGLE, PAIR = 5, 2
 LONG_BANDS, PAIR_BANDS, ROWS = 16, 80, 3
 #: A word pair in so large a share of the texts (and some more) is common; so there are at most 1 / COMMON of those of a text.
 COMMON, COMMON_LEAST = 0.05, 20
-#: Train members of a bucket that one task holds against its held-out members.
-BLOCK = 2_000
+#: Train members of a bucket that one task holds against its held-out members, as told by one text in TOLD_BY.
+BLOCK, TOLD_BY = 2_000, 64
 
 
 def _signer(bands: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,18 +48,23 @@ def _signer(bands: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds * np.uint32(2) + np.uint32(1), rng.integers(1, 2**63, bands, dtype=np.uint64)
 
 
-def band_hashes(hashes: np.ndarray, odd: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket per band of the set of shingle hashes (not empty; repeats change nothing)."""
+def lowest(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """The minwise hashes of a set of shingle hashes (not empty; repeats change nothing)."""
     low = np.full(len(odd), np.iinfo(np.uint32).max, np.uint32)
     high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 1024):
+        # a product with an odd number permutes the 32-bit hashes
+        np.minimum(low, (odd[:, None] * high[None, at : at + 1024]).min(axis=1), out=low)
+    return low
+
+
+def band_hashes(low: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """One 64-bit bucket per band, of the minwise hashes of many texts (a row each)."""
+    rows = mix(low.astype(np.uint64)).reshape(len(low), len(salt), ROWS)
+    out = np.broadcast_to(salt, rows.shape[:2])
     with np.errstate(over="ignore"):
-        for at in range(0, len(high), 1024):
-            # a product with an odd number permutes the 32-bit hashes
-            np.minimum(low, (odd[:, None] * high[None, at : at + 1024]).min(axis=1), out=low)
-        rows = mix(low.astype(np.uint64)).reshape(len(salt), ROWS)
-        out = salt.copy()
         for j in range(ROWS):
-            out = mix(out * np.uint64(31) + rows[:, j])
+            out = mix(out * np.uint64(31) + rows[:, :, j])
     return out.view(np.int64)
 
 
@@ -98,23 +103,28 @@ def common_pairs(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.pair for r in rows], np.int64).view(np.uint64))
 
 
+def _runs(h: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
+    """The shingles of each text; ``h``, ``first`` as of :func:`sequences`."""
+    every = shingles(h, k) if len(h) >= k else h[:0]
+    return [every[a : b - k + 1] if b - a >= k else shingles(h[a:b], k) for a, b in pairwise(first.tolist())]
+
+
 def _signing(shared):
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, common = Hasher(), shared.value
-        long, pair = _signer(LONG_BANDS, 20_240_501), _signer(PAIR_BANDS, 20_240_503)
+        (odd_long, salt_long), (odd_pair, salt_pair) = _signer(LONG_BANDS, 20_240_501), _signer(PAIR_BANDS, 20_240_503)
         for frame in frames:
             h, first = sequences(frame["text"].tolist(), hasher)
-            keep, digests, counts, bands = [], [], [], []
-            for i, (a, b) in enumerate(pairwise(first.tolist())):
-                if b > a:
-                    of = h[a:b]
-                    pairs = shingles(of, PAIR)
-                    rare = pairs if not len(common) else pairs[common[np.minimum(np.searchsorted(common, pairs), len(common) - 1)] != pairs]
-                    keep.append(i)
-                    digests.append(digest(of))
-                    counts.append(b - a)
-                    bands.append(np.concatenate([band_hashes(shingles(of, SHINGLE), *long), band_hashes(rare if len(rare) else pairs, *pair)]))
-            yield pd.DataFrame({"record": frame["record"].iloc[keep].to_numpy(), "raw": frame["raw"].iloc[keep].to_numpy(), "held_out": frame["held_out"].iloc[keep].to_numpy(), "digest": digests, "n_words": counts, "bands": bands})
+            keep = np.flatnonzero(np.diff(first))
+            long, pairs = _runs(h, first, SHINGLE), _runs(h, first, PAIR)
+            low_long, low_pair, digests = [], [], []
+            for i in keep.tolist():
+                rare = pairs[i] if not len(common) else pairs[i][common[np.minimum(np.searchsorted(common, pairs[i]), len(common) - 1)] != pairs[i]]
+                low_long.append(lowest(long[i], odd_long))
+                low_pair.append(lowest(rare if len(rare) else pairs[i], odd_pair))
+                digests.append(digest(h[first[i] : first[i + 1]]))
+            bands = np.hstack([band_hashes(np.array(low), salt) for low, salt in ((low_long, salt_long), (low_pair, salt_pair))]) if len(keep) else np.zeros((0, 1), np.int64)
+            yield pd.DataFrame({"record": frame["record"].iloc[keep].to_numpy(), "raw": frame["raw"].iloc[keep].to_numpy(), "held_out": frame["held_out"].iloc[keep].to_numpy(), "digest": digests, "n_words": np.diff(first)[keep], "bands": list(bands)})
 
     return sign
 
@@ -129,17 +139,16 @@ def sign(records: DataFrame, record: str, text: str, held_out: Column) -> DataFr
 def candidates(signed: DataFrame, least_ratio: float) -> DataFrame:
     """``train, held`` digests of different texts that share a bucket, the shorter at least ``least_ratio`` of the longer.
 
-    Up to the pairs a text goes by half of its digest; digests that agree in it only add candidates.
+    Up to the pairs a text goes by half of its digest; digests that agree in it only add candidates. Which buckets have to be
+    cut into blocks is told from one text in ``TOLD_BY``, chosen by hash: that decides where pairs are made, not which.
     """
     texts = signed.groupBy("digest").agg(F.max(~F.col("held_out")).alias("in_train"), F.max("held_out").alias("in_held"), F.first("n_words").alias("n"), F.first("bands").alias("bands"))
     texts = materialise(texts.withColumn("text", F.xxhash64("digest")))
-    rows = texts.select(F.explode("bands").alias("bucket"), "text", (F.col("n") * 4 + F.col("in_train").cast("int") * 2 + F.col("in_held").cast("int")).alias("of"))
-    in_train, in_held, n = F.col("of").bitwiseAND(2) > 0, F.col("of").bitwiseAND(1) > 0, F.shiftright("of", 2)
-    both = rows.groupBy("bucket").agg(F.bit_or("of").alias("sides"), F.sum(in_train.cast("int")).alias("trains"), F.count(F.lit(1)).alias("all"))
-    both = both.filter("(sides & 3) = 3 and all > 1").select("bucket", F.ceil(F.col("trains") / BLOCK).cast("int").alias("blocks"))
-    rows = materialise(rows.join(both, "bucket"))
-    train = rows.filter(in_train).select("bucket", F.pmod(F.hash("text"), "blocks").alias("block"), F.col("text").alias("a"), n.alias("n_a"))
-    held = rows.filter(in_held).select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("text").alias("b"), n.alias("n_b"))
+    told = texts.filter(F.col("in_train") & (F.pmod("text", F.lit(TOLD_BY)) == 0)).select(F.explode("bands").alias("bucket")).groupBy("bucket").agg((F.count(F.lit(1)) * TOLD_BY).alias("trains"))
+    hot = materialise(told.filter(F.col("trains") > BLOCK).select("bucket", F.ceil(F.col("trains") / BLOCK).cast("int").alias("blocks")))
+    side = lambda which, name, n: texts.filter(which).select(F.explode("bands").alias("bucket"), F.col("text").alias(name), F.col("n").alias(n)).join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    train = side("in_train", "a", "n_a").withColumn("block", F.pmod(F.hash("a"), "blocks")).drop("blocks")
+    held = side("in_held", "b", "n_b").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least_ratio)
     pairs = train.join(held, ["bucket", "block"]).filter((F.col("a") != F.col("b")) & close).select("a", "b").distinct()
     names = lambda key, name: texts.select(F.col("text").alias(key), F.col("digest").alias(name))

@@ -71,6 +71,7 @@ def test_hot_copies_and_edges(spark):
 
 def test_small_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(overlap, "BLOCK", 2)
+    monkeypatch.setattr(overlap, "TOLD_BY", 1)
     base = [f"w{i}" for i in range(60)]
     rows = [(f"t{i}", " ".join([*base, f"t{i}"]), "train") for i in range(9)] + [("h", " ".join(base), "test")]
     assert set(run(spark, rows)) == {(f"t{i}", "h") for i in range(9)}
