@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions.ids import tidy
@@ -42,16 +42,22 @@ def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select(F.explode(keys).alias("key"), "arrived", "withdrawn")
 
 
-def ledger_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All batches through the ledger, in order of time."""
+def through_ledger(spark: SparkSession, sf_dir: str) -> tuple[orphans.Ledger, list[DataFrame]]:
+    """The ledger after all batches, in order of time, and the cases each decided. Only keys that some reference has enter it."""
     unit = lambda df: df.filter("at is not null").withColumn("batch", F.year("at"))
     refs = materialise(unit(references(spark, sf_dir)), partition_by="batch")
-    events = materialise(unit(orphans.parent_events(parents(spark, sf_dir))), partition_by="batch")
+    asked = refs.filter("key is not null").select("key").distinct()
+    events = materialise(unit(orphans.parent_events(parents(spark, sf_dir).join(asked, "key", "left_semi"))), partition_by="batch")
     batches = sorted({r.batch for df in (refs, events) for r in df.select("batch").distinct().collect()})  # years
     ledger, decided = orphans.Ledger(), []
     for batch in batches or [0]:
-        ledger, cases = orphans.advance(ledger, refs.filter(F.col("batch") == batch), events.filter(F.col("batch") == batch))
+        ledger, cases = orphans.advance(ledger, refs.filter(F.col("batch") == batch).drop("batch"), events.filter(F.col("batch") == batch).drop("batch"))
         decided.append(cases)
+    return ledger, decided
+
+
+def ledger_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger, decided = through_ledger(spark, sf_dir)
     return reduce(DataFrame.unionByName, [*decided, orphans.close(ledger)])
 
 
@@ -98,11 +104,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     select ref_table, m "month", count(*) open_orphans from at_end where not coalesce(is_there, false) group by 1, 2 having count(*) > 0""",
 )
 def p6_open_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References open at the end of each month: made by then, their key not live then."""
-    refs, events = references(spark, sf_dir), orphans.parent_events(parents(spark, sf_dir))
-    changes = orphans.month_changes(refs, events)
-    months = changes.select("month").distinct().unionByName(events.select(F.date_format("at", "yyyy-MM").alias("month")).distinct()).distinct()  # one row per month
-    grid = months.withColumn("ref_table", F.explode(F.array(*[F.lit(t) for t in ("edges", "resolutions", "candidates")])))
-    w = Window.partitionBy("ref_table").orderBy("month")  # one row per month and table
-    total = grid.join(changes, ["ref_table", "month"], "left").withColumn("open_orphans", F.sum(F.coalesce("change", F.lit(0))).over(w))
-    return total.filter("open_orphans > 0").select("ref_table", "month", "open_orphans")
+    """References open at the end of each month: made by then, their key not live then; from the ledger's snapshots."""
+    ledger, _ = through_ledger(spark, sf_dir)
+    months = orphans.parent_events(parents(spark, sf_dir)).select(F.date_format("at", "yyyy-MM").alias("month")).distinct()
+    return orphans.open_by_month(ledger, months).filter("open > 0").select("ref_table", "month", F.col("open").alias("open_orphans"))

@@ -68,12 +68,36 @@ def test_ties_in_time(spark):
     assert run(spark, refs, [("a", at, later), ("b", at + timedelta(hours=1), START - timedelta(days=1))], []) == {("t", "r2", "deleted"), ("t", "r3", "deleted")}
 
 
+def open_orphans(spark, refs, parents, cuts):
+    r, e = spark.createDataFrame(refs, REFS), orphans.parent_events(spark.createDataFrame(parents, PARENTS))
+    ledger = orphans.Ledger()
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        inside = (F.lit(True) if low is None else F.col("at") >= low) & (F.lit(True) if high is None else F.col("at") < high)
+        ledger, _ = orphans.advance(ledger, r.filter(inside), e.filter(inside))
+    months = spark.createDataFrame([(f"2024-{m:02}",) for m in range(1, 11)], "month string")
+    return {r.month: r.open for r in orphans.open_by_month(ledger, months).collect()}
+
+
 def test_open_at_month_ends(spark):
-    refs = [("t", "r1", "a", START), ("t", "r2", "a", START), ("t", "r3", "b", START + timedelta(days=40))]
-    parents = [("a", START + timedelta(days=33), START + timedelta(days=70))]
-    changes = orphans.month_changes(spark.createDataFrame(refs, REFS), orphans.parent_events(spark.createDataFrame(parents, PARENTS)))
-    got = {r.month: r.change for r in changes.collect() if r.change}
-    assert got == {"2024-01": 2, "2024-02": -1, "2024-03": 2}
+    """An arrival closes resolved references, a deletion reopens them, however the batches are cut."""
+    refs = [("t", "r1", "a", START), ("t", "r2", "a", START), ("t", "r3", "b", START + timedelta(days=40)), ("t", "r4", "a", START + timedelta(days=50))]
+    parents = [("a", START + timedelta(days=33), START + timedelta(days=70)), ("a", START + timedelta(days=130), None)]
+    want = {"2024-01": 2, "2024-02": 1, "2024-03": 4, "2024-04": 4} | {f"2024-{m:02}": 1 for m in range(5, 11)}
+    for cuts in ([], [START + timedelta(days=d) for d in (20, 60, 90)]):
+        assert open_orphans(spark, refs, parents, cuts) == want
+
+
+def test_month_ends_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "PARTS", 2)
+    refs, parents = sample(5, 120, 14)
+    ends = [datetime(2024, m + 1, 1) for m in range(1, 11)]
+    want = {}
+    for m, end in enumerate(ends, 1):
+        live = {k for k, a, w in parents if a is not None and a < end and (w is None or max(a, w) >= end)}
+        want[f"2024-{m:02}"] = sum(k is not None and at is not None and at < end and k not in live for _, _, k, at in refs)
+    cuts = [START + timedelta(days=d) for d in (35, 100, 170, 240)]
+    assert open_orphans(spark, refs, parents, cuts) == want
+    assert run(spark, refs, parents, cuts) == brute(refs, parents)
 
 
 def test_earliest(spark):
