@@ -1,11 +1,13 @@
 """Noise in text from scanned pages: running lines, words broken across lines, misread characters.
 
-All steps are SQL over lines and words; windows run over the lines or words of one text.
+One pass in Arrow batches cuts texts into lines and lines into words and masks them; all that looks beyond a line (neighbouring
+lines, counts, choices, reflow) is SQL, with windows over the lines of one text. Words stay arrays of their line: only their
+counts, and the words that are doubtful or asked for, become rows.
 
 * Running lines. A line that is a page number within the record's pages, with or without marks around it, is one. A line
   is a running head if its letters hold the document's title and otherwise only numbers and words such as ``No.``; or if
-  the line, digits masked and glyphs brought to their skeleton, returns next to page numbers in ``HEAD_RECORDS`` records
-  of the document or more.
+  the line, digits and the title's words masked and glyphs brought to their skeleton, returns in ``HEAD_RECORDS`` records or
+  more, of any documents, in capitals or, otherwise, mostly beside page numbers.
 * Broken words. What stands before a hyphen at a line's end and what begins the next kept line (running lines between
   them do not count) is one word, with the hyphen if the corpus has that form more often than the closed one. Where it
   has neither, the hyphen stays if both sides are words.
@@ -20,6 +22,11 @@ titles leave the second rule for heads; ties between forms go to the first in th
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +38,8 @@ HYPHENS = "[-‐¬­]"
 GLYPHS, CLASSES = "0158!|@$qefbl", "oishiiasgcthi"
 STROKES = [("m", "rn"), ("n", "ri"), ("u", "ii"), ("d", "ci"), ("w", "vv")]
 SIGNS, LETTERS = "015!|@$", "olsilas"
-HEAD_WORDS = r"\b(the|no|of|part|chapter|sec|section|ss?|page|[ivxlc]+)\b"
+HEAD_WORDS = r"\b(?:the|no|of|part|chapter|sec|section|ss?|page|[ivxlc]+)\b"
+SMALL_WORDS = "of|the|and|for|in|to"
 
 HEAD_RECORDS = 3
 RARER, SHORT, SHORT_RARER = 5, 3, 50
@@ -48,43 +56,85 @@ def skeleton(word: Column) -> Column:
     return out
 
 
-def _letters(c: Column) -> Column:
-    return F.regexp_replace(skeleton(c), r"[^\p{L}]+", "")
+_SPLIT = re.compile(LINE_END)
+_BLANK = " \t\x0b\x1c\x1d\x1e\x1f\x85\xa0"
+_MARK, _LETTER = r"(?:[^\w.]|_)", r"[^\W\d_]"
+_PAGE = re.compile(rf"{_MARK}*(?:page|pg\.?|p\.)?{_MARK}*([0-9]+)(?:\s*(?:of|/)\s*[0-9]+)?{_MARK}*$")
+_NUMBER, _NUMBERED = re.compile(r"\b\d+\b"), re.compile(rf"\b\d+{_LETTER}?\b")
+_HEAD_WORD = re.compile(HEAD_WORDS)
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+_SMALL = re.compile(rf"(?:^|[\W_])(?!(?:{SMALL_WORDS})\b)(?=[^\W\d_])(?P<first>.)")
+_LONG = re.compile(rf"{_LETTER}{{4}}")
+_EDGE = re.compile(r"^(?:[^\w!@$|]|_)+|(?:[^\w!@$|]|_)+$")
+_HYPHENS = {ord(c): "-" for c in "‐¬\u00ad"}
+_CLASSES = str.maketrans(GLYPHS, CLASSES)
 
 
-def _spaced(c: Column) -> Column:
-    return F.trim(F.regexp_replace(skeleton(c), r"[^\p{L}]+", " "))
+def _skeleton(text: str) -> str:
+    text = text.lower().translate(_CLASSES)
+    for one, two in STROKES:
+        text = text.replace(one, two)
+    return text
+
+
+def _capital(line: str) -> bool:
+    """Whether all words but small ones begin with a capital letter, one of them has four letters, and the line does not end as text does."""
+    return line[-1] not in ".:;,-" and _LONG.search(line) is not None and not any(m["first"].islower() for m in _SMALL.finditer(line))
+
+
+def _word(raw: str) -> str:
+    """A word in lower case and without adjoining punctuation."""
+    if raw.isalpha():
+        return raw.lower()
+    return _EDGE.sub("", raw.lower().translate(_HYPHENS))
+
+
+_LINES = pa.schema([
+    ("record", pa.string()), ("copy", pa.int64()), ("once", pa.bool_()), ("at", pa.int32()), ("line", pa.string()), ("words", pa.list_(pa.string())),
+    ("is_page", pa.bool_()), ("headed", pa.bool_()), ("capital", pa.bool_()), ("masked", pa.int64()),
+])
+_LINE_ROWS = "record string, copy long, once boolean, at int, line string, words array<string>, is_page boolean, headed boolean, capital boolean, masked long"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for record, copy, once, title, text, p0, p1 in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            bare = _NO_LETTERS.sub("", _skeleton(re.sub(r"^the\b", "", _NUMBERED.sub("", (title or "").lower()))))
+            of_title = set(_NO_LETTERS.sub(" ", _skeleton(title or "")).split())
+            for at, raw in enumerate(_SPLIT.split(text)):
+                line = raw.strip(_BLANK)
+                if not line:
+                    continue
+                lower = line.lower()
+                m = _PAGE.match(lower)
+                is_page = m is not None and p0 is not None and p1 is not None and p0 <= int(m[1]) <= p1
+                plain = _NUMBERED.sub("", lower)
+                letters = _NO_LETTERS.sub("", _skeleton(plain))
+                headed = bare != "" and bare in letters and len(_NO_LETTERS.sub("", _skeleton(_HEAD_WORD.sub("", plain)))) <= len(bare) + 1
+                left = [w for w in dict.fromkeys(_NO_LETTERS.sub(" ", _skeleton(_NUMBER.sub("", lower))).split()) if w not in of_title]
+                masked = int.from_bytes(xxhash.xxh3_64_digest(" ".join(left)), "little", signed=True) if left else None
+                out.append((record, copy, once, at, line, list(map(_word, line.split())), is_page, headed, _capital(line), masked))
+        columns = list(zip(*out, strict=True)) or [[] for _ in _LINES]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
 
 
 def lines(records: DataFrame, record: str, document: str, title: str, text: str, page_start: str, page_end: str) -> DataFrame:
-    """``record, copy, once, at, line, running`` of all lines that are not blank; ``copy`` is one per text of a record, ``once`` is set in one record of a text."""
-    rows = records.select(F.col(record).alias("record"), F.xxhash64(text).alias("copy"), F.col(document).alias("document"), F.col(title).alias("title"), F.col(text).alias("text"), F.col(page_start).alias("p0"), F.col(page_end).alias("p1"))
-    # one shuffle: repeated rows go, and the windows over a text's lines find them where they are
-    rows = rows.filter("record is not null and text is not null and text <> ''").groupBy("record", "copy").agg(F.max(F.struct("document", "title", "p0", "p1")).alias("of"), F.first("text").alias("text")).select("record", "copy", "of.*", "text")
-    chosen = records.filter(F.col(record).isNotNull() & F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("copy")).agg(F.min(record).alias("record"))
-    rows = rows.join(chosen.withColumn("once", F.lit(True)), ["record", "copy"], "left").withColumn("once", F.coalesce("once", F.lit(False)))
-    each = rows.select("record", "copy", "once", "document", "title", "p0", "p1", F.posexplode(F.split("text", LINE_END)).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^[\s ]+|[\s ]+$", "")).filter("line <> ''")
-    number = F.regexp_extract(F.lower("line"), r"^[^\p{L}\p{N}.]*(?:page|pg\.?|p\.)?[^\p{L}\p{N}.]*(\p{N}+)(?:\s*(?:of|/)\s*\p{N}+)?[^\p{L}\p{N}.]*$", 1)
-    page = F.coalesce(F.expr("try_cast(nullif(number, '') as int) between p0 and p1"), F.lit(False))
-    each = each.withColumn("number", number).withColumn("is_page", page)
-    unnumbered = lambda c: F.regexp_replace(F.lower(c), r"\b\p{N}+\p{L}?\b", "")
-    bare = _letters(F.regexp_replace(unnumbered(F.coalesce("title", F.lit(""))), r"^the\b", ""))
-    spare = F.regexp_replace(unnumbered("line"), HEAD_WORDS, "")
-    headed = (bare != "") & (F.instr(_letters(unnumbered("line")), bare) > 0) & (F.length(_letters(spare)) <= F.length(bare) + 1)
-    names = F.regexp_replace("line", r"\b(of|the|and|for|in|to)\b", "")
-    capital = names.rlike(r"\p{L}{4}") & ~names.rlike(r"(^|[^\p{L}\p{N}])\p{Ll}") & ~F.col("line").rlike(r"[.:;,-]$")
+    """``record, copy, once, at, line, words, running`` of all lines that are not blank; ``copy`` is one per text of a record, ``once`` is set in one record of a text."""
+    rows = records.select(F.col(record).cast("string").alias("record"), F.xxhash64(text).alias("copy"), F.col(document).alias("document"), F.col(title).cast("string").alias("title"), F.col(text).alias("text"), F.col(page_start).cast("int").alias("p0"), F.col(page_end).cast("int").alias("p1"))
+    rows = rows.filter("record is not null and text is not null and text <> ''").groupBy("record", "copy").agg(F.max(F.struct("document", "title", "p0", "p1")).alias("of"), F.first("text").alias("text"))
+    chosen = records.filter(F.col(record).isNotNull() & F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("copy")).agg(F.min(F.col(record).cast("string")).alias("record"))
+    rows = rows.join(chosen.withColumn("once", F.lit(True)), ["record", "copy"], "left").select("record", "copy", F.coalesce("once", F.lit(False)).alias("once"), "of.title", "text", "of.p0", "of.p1")
+    each = rows.mapInArrow(_cut, _LINE_ROWS)
     w = Window.partitionBy("record", "copy").orderBy("at")
     beside = F.coalesce(F.lag("is_page").over(w), F.lit(False)) | F.coalesce(F.lead("is_page").over(w), F.lit(False))
-    each = each.withColumn("headed", headed).withColumn("capital", capital).withColumn("beside", beside).withColumn("asked", (F.col("capital") | F.col("beside")) & ~F.col("is_page"))
-    of_title = F.split(_spaced(F.coalesce("title", F.lit(""))), " ")
-    masked = F.array_join(F.array_except(F.split(_spaced(F.regexp_replace("line", r"\b\p{N}+\b", "")), " "), of_title), " ")
-    each = materialise(each.withColumn("masked", masked).select("record", "copy", "once", "at", "line", "is_page", "headed", "capital", "asked", "masked"))
+    each = materialise(each.withColumn("asked", (F.col("capital") | beside) & ~F.col("is_page")))
     heads = (
-        each.filter("masked <> '' and not is_page").groupBy("capital", "masked")
+        each.filter("masked is not null and not is_page").groupBy("capital", "masked")
         .agg(F.countDistinct(F.when(F.col("asked"), F.col("record"))).alias("records"), F.avg(F.col("asked").cast("int")).alias("share"))
         .filter((F.col("records") >= HEAD_RECORDS) & (F.col("share") > 0.5)).select("capital", "masked", F.lit(True).alias("returns"))
     )
-    flat = lambda df, running: df.select("record", "copy", "once", "at", "line", running.alias("running"))
+    flat = lambda df, running: df.select("record", "copy", "once", "at", "line", "words", running.alias("running"))
     plain = F.col("is_page") | F.col("headed")
     # only the lines that may be heads meet the heads
     return flat(each.filter("not asked"), plain).unionByName(flat(each.filter("asked").join(heads, ["capital", "masked"], "left"), plain | F.coalesce("returns", F.lit(False))))
@@ -94,35 +144,43 @@ def lines(records: DataFrame, record: str, document: str, title: str, text: str,
 IN_WORD = r"\p{L}\p{N}!@$|"
 
 
-def _bare_words(line: Column) -> Column:
-    """The words of a line of single spaces, in lower case and without adjoining punctuation; '' where nothing is left."""
-    plain = F.translate(F.lower(line), "‐¬\u00ad", "---")
-    return F.split(F.regexp_replace(plain, rf"(?<![^ ])[^{IN_WORD} ]+|[^{IN_WORD} ]+(?![^ ])", ""), " ")
+def _bare_word(word: Column) -> Column:
+    """A word in lower case and without adjoining punctuation."""
+    return F.regexp_replace(F.translate(F.lower(word), "‐¬\u00ad", "---"), rf"^[^{IN_WORD}]+|[^{IN_WORD}]+$", "")
 
 
 def tokens(marked: DataFrame) -> DataFrame:
-    """``record, copy, once, at, k, raw, word, other, before, after``: words in order; ``other`` is set for broken ones.
+    """``record, copy, once, at, line, words, other, left, right, rest, before, after`` of the kept lines.
 
-    Of a broken word, ``word`` is the closed and ``other`` the hyphenated form, on the line it begins; its rest is gone
-    from the next line. Neighbours have numbers masked: one number is as good a neighbour as another. Patterns run over
-    lines, not words.
+    Of a word broken at a line's end, the last of ``words`` is the closed form, ``other`` the hyphenated one, ``left`` and
+    ``right`` its parts as printed; its rest is gone from the ``words`` of the next line (``rest``). ``before`` and ``after``
+    are the words beside the line.
     """
     w = Window.partitionBy("record", "copy").orderBy("at")
-    kept = marked.filter("not running").withColumn("line", F.regexp_replace("line", r"[\s ]+", " "))
-    left = F.regexp_extract("line", rf"(\S*[{IN_WORD}]){HYPHENS}$", 1)
-    right = F.lead(F.substring_index("line", " ", 1)).over(w)
-    breaks = (left.rlike(r"\p{L}")) & right.rlike(r"^[\p{L}0-9!@$|]*\p{Ll}") & ~left.rlike(r"^\p{N}+$")
-    kept = kept.withColumn("breaks", F.coalesce(breaks, F.lit(False))).withColumn("left", left).withColumn("right", right)
+    kept = marked.filter("not running").withColumn("left", F.when(F.col("line").rlike(rf"{HYPHENS}$"), F.regexp_extract("line", rf"(\S*[{IN_WORD}]){HYPHENS}$", 1)))
+    kept = kept.withColumn("right", F.lead(F.regexp_extract("line", r"^\S+", 0)).over(w))
+    breaks = F.coalesce(F.col("left").rlike(r"\p{L}") & F.col("right").rlike(r"^[\p{L}0-9!@$|]*\p{Ll}") & ~F.col("left").rlike(r"^\p{N}+$"), F.lit(False))
+    kept = kept.withColumn("breaks", breaks)
     kept = kept.withColumn("rest", F.coalesce(F.lag("breaks").over(w), F.lit(False)))
-    one = lambda mark: F.when(F.col("breaks"), F.element_at(_bare_words(F.concat("left", F.lit(mark), "right")), 1))
-    kept = kept.select("record", "copy", "once", "at", "breaks", "rest", "left", "right", F.arrays_zip(F.split("line", " ").alias("raw"), _bare_words(F.col("line")).alias("word")).alias("parts"), one("").alias("closed"), one("-").alias("open"))
-    each = kept.select("record", "copy", "once", "at", "breaks", "rest", "left", "right", "closed", "open", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "p"))
-    each = each.filter(~(F.col("rest") & (F.col("k") == 0)))
-    last = F.col("breaks") & (F.col("k") == F.col("n") - 1)
-    each = each.select("record", "copy", "once", "at", "k", F.when(last, F.concat("left", "right")).otherwise(F.col("p.raw")).alias("raw"), F.when(last, F.col("closed")).otherwise(F.col("p.word")).alias("word"), F.when(last, F.col("open")).alias("other"))
-    masked = F.when((F.col("word") != "") & (F.translate("word", "0123456789", "") == ""), "#").otherwise(F.col("word"))
-    order = Window.partitionBy("record", "copy").orderBy("at", "k")
-    return each.withColumn("before", F.lag(masked).over(order)).withColumn("after", F.lead(masked).over(order))
+    one = lambda mark: F.when(F.col("breaks"), _bare_word(F.concat("left", F.lit(mark), "right")))
+    kept = kept.withColumn("words", F.when(F.col("rest"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))).otherwise(F.col("words")))
+    # a line of nothing but the rest of a word that is broken again has no word left: it begins none
+    joined = F.when(F.col("breaks") & (F.size("words") > 0), F.concat(F.slice("words", 1, F.size("words") - 1), F.array(one("")))).otherwise(F.col("words"))
+    kept = kept.select("record", "copy", "once", "at", "line", joined.alias("words"), F.when(F.size("words") > 0, one("-")).alias("other"), F.when(F.col("breaks"), F.col("left")).alias("left"), F.when(F.col("breaks"), F.col("right")).alias("right"), "rest")
+    kept = kept.filter(F.size("words") > 0)
+    return kept.withColumn("before", F.lag(F.element_at("words", -1)).over(w)).withColumn("after", F.lead(F.element_at("words", 1)).over(w))
+
+
+def _printed() -> Column:
+    """The words of a line of :func:`tokens` as printed, a broken one joined."""
+    raw = F.split("line", r"[\s ]+")
+    raw = F.when(F.col("rest"), F.slice(raw, 2, F.size(raw) - 1)).otherwise(raw)
+    return F.when(F.col("other").isNotNull(), F.concat(F.slice(raw, 1, F.size(raw) - 1), F.array(F.concat("left", "right")))).otherwise(raw)
+
+
+def _masked(word: Column) -> Column:
+    """One number is as good a neighbour as another."""
+    return F.when((word != "") & (F.translate(word, "0123456789", "") == ""), "#").otherwise(word)
 
 
 def _signed(word: Column) -> Column:
@@ -130,21 +188,28 @@ def _signed(word: Column) -> Column:
     return word.rlike(r"\p{L}") & word.rlike(r"[0-9!@$|]") & ~word.rlike(r"^[0-9]+(\p{L}|st|nd|rd|th)?$") & ~word.rlike(r"^[0-9]{2,}") & word.rlike(r"\p{L}[^\p{L}]*\p{L}")
 
 
+def _neighbours() -> Column:
+    """``word, before, after`` of each word of a line."""
+    n = F.size("words")
+    return F.arrays_zip(F.col("words").alias("word"), F.concat(F.array("before"), F.slice("words", 1, n - 1)).alias("before"), F.concat(F.slice("words", 2, n - 1), F.array("after")).alias("after"))
+
+
 def repair(rows: DataFrame) -> DataFrame:
-    """``record, copy, at, k, raw, repaired, broken, misread`` of the damaged words among ``rows`` (:func:`tokens`, materialised).
+    """``record, copy, at, k, repaired, broken, misread`` of the damaged words among ``rows`` (:func:`tokens`, materialised); ``k`` counts from 0 in ``words``.
 
     Whole words are counted once, with partial sums; after that only damaged words, their forms and the counts move. ``n``
     counts a text of many records once, so the misread words of a text often copied are no more frequent than their forms;
     ``m``, over all records, decides only for forms that are no rarer by ``n``.
     """
     times = F.greatest(F.sum(F.col("once").cast("int")), F.lit(1))
-    sound = rows.filter("other is null and word <> ''")
-    known = materialise(sound.groupBy("word").agg(times.alias("n"), F.count(F.lit(1)).alias("m")))
+    whole = F.when(F.col("other").isNull(), F.col("words")).otherwise(F.slice("words", 1, F.size("words") - 1))
+    known = materialise(rows.select("once", F.explode(whole).alias("word")).filter("word <> ''").groupBy("word").agg(times.alias("n"), F.count(F.lit(1)).alias("m")))
     parts = known.select(F.explode(F.split("word", "-")).alias("part"), "n", "m").filter("part <> ''").groupBy("part").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     parts = materialise(parts.withColumn("skeleton", skeleton(F.col("part"))))
     z = lambda c: F.coalesce(c, F.lit(0))
     # broken words: the closed or the hyphenated form; a damaged one is counted by its group
-    broken = rows.filter("other is not null")
+    last = F.when(F.size("words") > 1, F.element_at("words", -2)).otherwise(F.col("before"))
+    broken = rows.filter("other is not null").select("record", "copy", "at", (F.size("words") - 1).alias("k"), F.element_at("words", -1).alias("word"), "other", last.alias("before"), "after").withColumns({"before": _masked(F.col("before")), "after": _masked(F.col("after"))})
     ends = broken.select("word", "other").distinct().withColumn("a", F.regexp_extract("other", r"([^-]+)-[^-]*$", 1)).withColumn("b", F.regexp_extract("other", r"([^-]+)$", 1))
     count = lambda name, key, table=known, col="word": table.select(F.col(col).alias(key), F.col("n").alias(name))
     groups = known.groupBy(skeleton(F.col("word")).alias("s")).agg(F.max("n").alias("n"))
@@ -157,7 +222,7 @@ def repair(rows: DataFrame) -> DataFrame:
     seen, group_seen = (z("n_closed") + z("n_open")) > 0, (z("g_closed") + z("g_open")) > 0
     keep = F.when(seen, z("n_open") > z("n_closed")).when(group_seen, z("g_open") > z("g_closed")).otherwise((z("n_a") > 0) & (z("n_b") > 0) & (F.length("a") > 2) & (F.length("b") > 2))
     forms = sized.select("word", "other", F.when(keep, F.col("other")).otherwise(F.col("word")).alias("now"))
-    broken = materialise(broken.join(forms, ["word", "other"]).select("record", "copy", "at", "k", "raw", "now", "before", "after"))
+    broken = materialise(broken.join(forms, ["word", "other"]).select("record", "copy", "at", "k", "now", "before", "after"))
     # misread words, part by part
     odd = known.select(F.col("word").alias("now")).unionByName(broken.select("now")).distinct().select("now", F.posexplode(F.split("now", "-")).alias("i", "part")).filter(F.length("part") > 1)
     odd = odd.join(parts.select("part", "n", "m"), "part", "left").withColumn("n", z("n")).withColumn("m", z("m")).withColumn("skeleton", skeleton(F.col("part"))).withColumn("signed", _signed(F.col("part")))
@@ -174,16 +239,20 @@ def repair(rows: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.split("now", "-"), lambda p, i: F.when(i == F.col("i"), F.col("form")).otherwise(F.coalesce(F.element_at("best", i), p))), "-").alias("form"),
     )
     candidates = materialise(candidates.groupBy("now", "form").agg(F.max("signed").alias("signed"), F.max("n_form").alias("n_form"), F.max("m_form").alias("m_form")))
-    doubtful = sound.join(candidates.select(F.col("now").alias("word")).distinct(), "word", "left_semi").select("record", "copy", "at", "k", "raw", F.col("word").alias("now"), "before", "after")
+    # the words that are doubtful or a form asked for, with their neighbours: all others stay in their lines
+    wanted = candidates.select(F.col("form").alias("word")).withColumn("form", F.lit(True)).unionByName(candidates.select(F.col("now").alias("word")).withColumn("form", F.lit(False)))
+    wanted = wanted.groupBy("word").agg(F.max("form").alias("is_form"), F.min("form").alias("only_form"))
+    around = rows.select("record", "copy", "once", "at", "other", F.size("words").alias("size"), F.posexplode(_neighbours()).alias("k", "of")).select("record", "copy", "once", "at", "k", "of.word", (F.col("other").isNotNull() & (F.col("k") == F.col("size") - 1)).alias("joined"), "of.before", "of.after")
+    around = materialise(around.join(wanted, "word").withColumns({"before": _masked(F.col("before")), "after": _masked(F.col("after"))}))
+    doubtful = around.filter("not only_form and not joined").select("record", "copy", "at", "k", F.col("word").alias("now"), "before", "after")
     hits = materialise(doubtful.withColumn("broken", F.lit(False)).unionByName(broken.withColumn("broken", F.lit(True))).join(candidates, "now", "left"))
     # how often a form stands beside the same neighbour: pairs of words in which the first or the second is asked for
-    wanted = candidates.select("form").distinct()
-    first = rows.join(wanted, rows["word"] == wanted["form"], "left_semi").groupBy(F.col("word").alias("form"), "after").agg(times.alias("n_after"))
-    second = rows.join(wanted, rows["word"] == wanted["form"], "left_semi").groupBy("before", F.col("word").alias("form")).agg(times.alias("n_before"))
+    first = around.filter("is_form").groupBy(F.col("word").alias("form"), "after").agg(times.alias("n_after"))
+    second = around.filter("is_form").groupBy("before", F.col("word").alias("form")).agg(times.alias("n_before"))
     scored = hits.filter("form is not null").join(second, ["before", "form"], "left").join(first, ["form", "after"], "left").withColumn("support", z("n_before") + z("n_after")).filter("signed or support > 0")
     picked = scored.groupBy("record", "copy", "at", "k").agg(F.min_by("form", F.struct((F.col("support") == 0).alias("alone"), (-F.col("n_form")).alias("n"), (-F.col("m_form")).alias("m"), "form")).alias("picked"))
-    damaged = hits.select("record", "copy", "at", "k", "raw", "now", "broken").distinct().join(picked, ["record", "copy", "at", "k"], "left").filter("broken or picked is not null")
-    return damaged.select("record", "copy", "at", "k", "raw", F.coalesce("picked", "now").alias("repaired"), "broken", F.col("picked").isNotNull().alias("misread"))
+    damaged = hits.select("record", "copy", "at", "k", "now", "broken").distinct().join(picked, ["record", "copy", "at", "k"], "left").filter("broken or picked is not null")
+    return damaged.select("record", "copy", "at", "k", F.coalesce("picked", "now").alias("repaired"), "broken", F.col("picked").isNotNull().alias("misread"))
 
 
 def paragraphs(marked: DataFrame, rows: DataFrame, damaged: DataFrame) -> DataFrame:
@@ -198,10 +267,14 @@ def paragraphs(marked: DataFrame, rows: DataFrame, damaged: DataFrame) -> DataFr
     starts = starts.withColumn("start", F.coalesce(ended & (gap | F.col("line").rlike(r"^\(\d+\)")), F.lit(False)).cast("int"))
     numbered = starts.select("record", "copy", "at", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("paragraph"))
     # the word as printed, its letters as repaired: what adjoined it stays
-    head, tail = F.regexp_extract("raw", r"^([^\p{L}\p{N}!@$|]*)", 1), F.regexp_extract("raw", r"([^\p{L}\p{N}!@$|]*)$", 1)
-    capital = F.regexp_extract("raw", r"([\p{L}\p{N}!@$|])", 1)
-    cased = F.when(capital.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring("repaired", 1, 1)), F.expr("substring(repaired, 2)"))).otherwise(F.col("repaired"))
-    shown = F.when(F.col("repaired").isNotNull(), F.concat(head, cased, tail)).otherwise(F.col("raw"))
-    words = rows.select("record", "copy", "at", "k", "raw").join(damaged.select("record", "copy", "at", "k", "repaired"), ["record", "copy", "at", "k"], "left").withColumn("shown", shown)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "k", "shown"))), lambda x: x["shown"]), " ")
-    return words.join(numbered, ["record", "copy", "at"]).groupBy("record", "copy", "paragraph").agg(text.alias("text"))
+    edge = rf"[^{IN_WORD}]*"
+    def shown(raw: Column, repaired: Column) -> Column:
+        capital = F.regexp_extract(raw, rf"([{IN_WORD}])", 1)
+        cased = F.when(capital.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(repaired, 1, 1)), F.substring(repaired, F.lit(2), F.length(repaired)))).otherwise(repaired)
+        return F.concat(F.regexp_extract(raw, rf"^({edge})", 1), cased, F.regexp_extract(raw, rf"({edge})$", 1))
+    repairs = damaged.groupBy("record", "copy", "at").agg(F.map_from_entries(F.collect_list(F.struct("k", "repaired"))).alias("repairs"))
+    mended = F.transform(_printed(), lambda raw, k: F.when(F.element_at("repairs", k).isNotNull(), shown(raw, F.element_at("repairs", k))).otherwise(raw))
+    shown_line = F.array_join(F.when(F.col("repairs").isNull(), _printed()).otherwise(mended), " ")
+    whole = rows.join(repairs, ["record", "copy", "at"], "left").select("record", "copy", "at", shown_line.alias("shown"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "shown"))), lambda x: x["shown"]), " ")
+    return whole.join(numbered, ["record", "copy", "at"]).groupBy("record", "copy", "paragraph").agg(text.alias("text"))
