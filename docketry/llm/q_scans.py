@@ -29,6 +29,6 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every provision text in continuous paragraphs of repaired words."""
     marked = marked_lines(spark, sf_dir)
-    words = materialise(scans.tokens(marked))
+    words = materialise(scans.tokens(marked, printed=True))
     rows = scans.paragraphs(marked, words, materialise(scans.repair(words)))
     return rows.select(F.col("record").alias("node_id"), "paragraph", "text").distinct()

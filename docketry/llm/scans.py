@@ -60,81 +60,104 @@ _SPLIT = re.compile(LINE_END)
 _BLANK = " \t\x0b\x1c\x1d\x1e\x1f\x85\xa0"
 _MARK, _LETTER = r"(?:[^\w.]|_)", r"[^\W\d_]"
 _PAGE = re.compile(rf"{_MARK}*(?:page|pg\.?|p\.)?{_MARK}*([0-9]+)(?:\s*(?:of|/)\s*[0-9]+)?{_MARK}*$")
+_DIGIT = re.compile(r"\d")
 _NUMBER, _NUMBERED = re.compile(r"\b\d+\b"), re.compile(rf"\b\d+{_LETTER}?\b")
 _HEAD_WORD = re.compile(HEAD_WORDS)
 _NO_LETTERS = re.compile(r"[\W\d_]+")
-_SMALL = re.compile(rf"(?:^|[\W_])(?!(?:{SMALL_WORDS})\b)(?=[^\W\d_])(?P<first>.)")
+_INITIAL = re.compile(rf"(?:^|[\W_])(?!(?:{SMALL_WORDS})\b)([^\W\d_])")
 _LONG = re.compile(rf"{_LETTER}{{4}}")
 _EDGE = re.compile(r"^(?:[^\w!@$|]|_)+|(?:[^\w!@$|]|_)+$")
 _HYPHENS = {ord(c): "-" for c in "‐¬\u00ad"}
 _CLASSES = str.maketrans(GLYPHS, CLASSES)
-
-
-def _skeleton(text: str) -> str:
+# the same for ASCII, where bytes do
+_ASCII_CLASSES = bytes(ord(chr(c).lower().translate(_CLASSES)) for c in range(128)) + bytes(128)
+_ASCII_STROKES = [(one.encode(), two.encode()) for one, two in STROKES]
+_ASCII_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
+_ASCII_SPACED = bytes(c if c < 128 and chr(c).isalpha() else 32 for c in range(256))
+_ASCII_EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) not in "!@$|")
+
+
+def _skeleton(text: str) -> tuple[str, list[str]]:
+    """The letters of a text's skeleton, and its words."""
+    if text.isascii():
+        b = text.encode().translate(_ASCII_CLASSES)
+        for one, two in _ASCII_STROKES:
+            b = b.replace(one, two)
+        return b.translate(None, _ASCII_NO_LETTERS).decode(), b.translate(_ASCII_SPACED).decode().split()
     text = text.lower().translate(_CLASSES)
     for one, two in STROKES:
         text = text.replace(one, two)
-    return text
+    return _NO_LETTERS.sub("", text), _NO_LETTERS.sub(" ", text).split()
 
 
 def _capital(line: str) -> bool:
     """Whether all words but small ones begin with a capital letter, one of them has four letters, and the line does not end as text does."""
-    return line[-1] not in ".:;,-" and _LONG.search(line) is not None and not any(m["first"].islower() for m in _SMALL.finditer(line))
+    if line[-1] in ".:;,-" or _LONG.search(line) is None:
+        return False
+    return not any(m[1].islower() for m in _INITIAL.finditer(line))
 
 
-def _word(raw: str) -> str:
-    """A word in lower case and without adjoining punctuation."""
-    if raw.isalpha():
-        return raw.lower()
-    return _EDGE.sub("", raw.lower().translate(_HYPHENS))
+def _words(line: str, lower: str) -> list[str]:
+    """The words in lower case and without adjoining punctuation."""
+    if line.isascii():
+        return [w if w.isalpha() else w.strip(_ASCII_EDGE) for w in lower.split()]
+    return [w if w.isalpha() else _EDGE.sub("", w) for w in lower.translate(_HYPHENS).split()]
 
 
 _LINES = pa.schema([
-    ("record", pa.string()), ("copy", pa.int64()), ("once", pa.bool_()), ("at", pa.int32()), ("line", pa.string()), ("words", pa.list_(pa.string())),
-    ("is_page", pa.bool_()), ("headed", pa.bool_()), ("capital", pa.bool_()), ("masked", pa.int64()),
+    ("record", pa.string()), ("copy", pa.int64()), ("once", pa.bool_()), ("at", pa.int32()), ("line", pa.string()), ("first", pa.string()), ("last", pa.string()), ("words", pa.string()),
+    ("is_page", pa.bool_()), ("headed", pa.bool_()), ("capital", pa.bool_()), ("asked", pa.bool_()), ("masked", pa.int64()),
 ])
-_LINE_ROWS = "record string, copy long, once boolean, at int, line string, words array<string>, is_page boolean, headed boolean, capital boolean, masked long"
+_LINE_ROWS = "record string, copy long, once boolean, at int, line string, first string, last string, words string, is_page boolean, headed boolean, capital boolean, asked boolean, masked long"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    titles: dict[str, tuple[str, set[str]]] = {}
     for batch in batches:
         out: list[tuple] = []
         for record, copy, once, title, text, p0, p1 in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            bare = _NO_LETTERS.sub("", _skeleton(re.sub(r"^the\b", "", _NUMBERED.sub("", (title or "").lower()))))
-            of_title = set(_NO_LETTERS.sub(" ", _skeleton(title or "")).split())
-            for at, raw in enumerate(_SPLIT.split(text)):
-                line = raw.strip(_BLANK)
-                if not line:
-                    continue
+            title = title or ""
+            if title not in titles:
+                if len(titles) > 10_000:
+                    titles.clear()
+                titles[title] = _skeleton(re.sub(r"^the\b", "", _NUMBERED.sub("", title.lower())))[0], set(_skeleton(title)[1])
+            bare, of_title = titles[title]
+            kept = [(at, line) for at, raw in enumerate(_SPLIT.split(text)) if (line := raw.strip(_BLANK))]
+            pages = [False]
+            for _, line in kept:
+                m = _PAGE.match(line.lower()) if len(line) < 8 or _DIGIT.search(line) else None
+                pages.append(m is not None and p0 is not None and p1 is not None and p0 <= int(m[1]) <= p1)
+            pages.append(False)
+            for i, (at, line) in enumerate(kept):
                 lower = line.lower()
-                m = _PAGE.match(lower)
-                is_page = m is not None and p0 is not None and p1 is not None and p0 <= int(m[1]) <= p1
-                plain = _NUMBERED.sub("", lower)
-                letters = _NO_LETTERS.sub("", _skeleton(plain))
-                headed = bare != "" and bare in letters and len(_NO_LETTERS.sub("", _skeleton(_HEAD_WORD.sub("", plain)))) <= len(bare) + 1
-                left = [w for w in dict.fromkeys(_NO_LETTERS.sub(" ", _skeleton(_NUMBER.sub("", lower))).split()) if w not in of_title]
-                masked = int.from_bytes(xxhash.xxh3_64_digest(" ".join(left)), "little", signed=True) if left else None
-                out.append((record, copy, once, at, line, list(map(_word, line.split())), is_page, headed, _capital(line), masked))
+                digits = _DIGIT.search(line) is not None
+                letters, words = _skeleton(_NUMBERED.sub("", lower) if digits else lower)
+                headed = bare != "" and bare in letters and len(_skeleton(_HEAD_WORD.sub("", _NUMBERED.sub("", lower)))[0]) <= len(bare) + 1
+                left = " ".join([w for w in dict.fromkeys(_skeleton(_NUMBER.sub("", lower))[1] if digits else words) if w not in of_title])
+                masked = int.from_bytes(xxhash.xxh3_64_digest(left), "little", signed=True) if left else None
+                capital, raws = _capital(line), line.split()
+                asked = not pages[i + 1] and (capital or pages[i] or pages[i + 2])
+                out.append((record, copy, once, at, line, raws[0], raws[-1], " ".join(_words(line, lower)), pages[i + 1], headed, capital, asked, masked))
         columns = list(zip(*out, strict=True)) or [[] for _ in _LINES]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
 
 
 def lines(records: DataFrame, record: str, document: str, title: str, text: str, page_start: str, page_end: str) -> DataFrame:
-    """``record, copy, once, at, line, words, running`` of all lines that are not blank; ``copy`` is one per text of a record, ``once`` is set in one record of a text."""
+    """``record, copy, once, at, line, first, last, words, running`` of all lines that are not blank.
+
+    ``copy`` is one per text of a record, ``once`` is set in one record of a text; ``first`` and ``last`` are words as printed, ``words`` all of the line, bare.
+    """
     rows = records.select(F.col(record).cast("string").alias("record"), F.xxhash64(text).alias("copy"), F.col(document).alias("document"), F.col(title).cast("string").alias("title"), F.col(text).alias("text"), F.col(page_start).cast("int").alias("p0"), F.col(page_end).cast("int").alias("p1"))
     rows = rows.filter("record is not null and text is not null and text <> ''").groupBy("record", "copy").agg(F.max(F.struct("document", "title", "p0", "p1")).alias("of"), F.first("text").alias("text"))
     chosen = records.filter(F.col(record).isNotNull() & F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("copy")).agg(F.min(F.col(record).cast("string")).alias("record"))
     rows = rows.join(chosen.withColumn("once", F.lit(True)), ["record", "copy"], "left").select("record", "copy", F.coalesce("once", F.lit(False)).alias("once"), "of.title", "text", "of.p0", "of.p1")
-    each = rows.mapInArrow(_cut, _LINE_ROWS)
-    w = Window.partitionBy("record", "copy").orderBy("at")
-    beside = F.coalesce(F.lag("is_page").over(w), F.lit(False)) | F.coalesce(F.lead("is_page").over(w), F.lit(False))
-    each = materialise(each.withColumn("asked", (F.col("capital") | beside) & ~F.col("is_page")))
+    each = materialise(rows.mapInArrow(_cut, _LINE_ROWS))
     heads = (
         each.filter("masked is not null and not is_page").groupBy("capital", "masked")
         .agg(F.countDistinct(F.when(F.col("asked"), F.col("record"))).alias("records"), F.avg(F.col("asked").cast("int")).alias("share"))
         .filter((F.col("records") >= HEAD_RECORDS) & (F.col("share") > 0.5)).select("capital", "masked", F.lit(True).alias("returns"))
     )
-    flat = lambda df, running: df.select("record", "copy", "once", "at", "line", "words", running.alias("running"))
+    flat = lambda df, running: df.select("record", "copy", "once", "at", "line", "first", "last", "words", running.alias("running"))
     plain = F.col("is_page") | F.col("headed")
     # only the lines that may be heads meet the heads
     return flat(each.filter("not asked"), plain).unionByName(flat(each.filter("asked").join(heads, ["capital", "masked"], "left"), plain | F.coalesce("returns", F.lit(False))))
@@ -149,25 +172,25 @@ def _bare_word(word: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(word), "‐¬\u00ad", "---"), rf"^[^{IN_WORD}]+|[^{IN_WORD}]+$", "")
 
 
-def tokens(marked: DataFrame) -> DataFrame:
-    """``record, copy, once, at, line, words, other, left, right, rest, before, after`` of the kept lines.
+def tokens(marked: DataFrame, printed: bool = False) -> DataFrame:
+    """``record, copy, once, at, words, other, left, right, rest, before, after`` of the kept lines; ``printed``: with ``line``.
 
     Of a word broken at a line's end, the last of ``words`` is the closed form, ``other`` the hyphenated one, ``left`` and
     ``right`` its parts as printed; its rest is gone from the ``words`` of the next line (``rest``). ``before`` and ``after``
     are the words beside the line.
     """
     w = Window.partitionBy("record", "copy").orderBy("at")
-    kept = marked.filter("not running").withColumn("left", F.when(F.col("line").rlike(rf"{HYPHENS}$"), F.regexp_extract("line", rf"(\S*[{IN_WORD}]){HYPHENS}$", 1)))
-    kept = kept.withColumn("right", F.lead(F.regexp_extract("line", r"^\S+", 0)).over(w))
+    kept = marked.filter("not running").select("record", "copy", "once", "at", "first", "words", F.when(F.col("last").rlike(rf"{HYPHENS}$"), F.regexp_extract("last", rf"(\S*[{IN_WORD}]){HYPHENS}$", 1)).alias("left"), *(["line"] if printed else []))
+    kept = kept.withColumn("right", F.lead("first").over(w))
     breaks = F.coalesce(F.col("left").rlike(r"\p{L}") & F.col("right").rlike(r"^[\p{L}0-9!@$|]*\p{Ll}") & ~F.col("left").rlike(r"^\p{N}+$"), F.lit(False))
-    kept = kept.withColumn("breaks", breaks)
+    kept = kept.withColumn("breaks", F.when(F.col("left").isNull(), False).otherwise(breaks))
     kept = kept.withColumn("rest", F.coalesce(F.lag("breaks").over(w), F.lit(False)))
     one = lambda mark: F.when(F.col("breaks"), _bare_word(F.concat("left", F.lit(mark), "right")))
-    kept = kept.withColumn("words", F.when(F.col("rest"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))).otherwise(F.col("words")))
-    # a line of nothing but the rest of a word that is broken again has no word left: it begins none
-    joined = F.when(F.col("breaks") & (F.size("words") > 0), F.concat(F.slice("words", 1, F.size("words") - 1), F.array(one("")))).otherwise(F.col("words"))
-    kept = kept.select("record", "copy", "once", "at", "line", joined.alias("words"), F.when(F.size("words") > 0, one("-")).alias("other"), F.when(F.col("breaks"), F.col("left")).alias("left"), F.when(F.col("breaks"), F.col("right")).alias("right"), "rest")
-    kept = kept.filter(F.size("words") > 0)
+    # what is left of the line without the rest of a word: where it was all, the line has no word and begins none
+    words = F.split(F.when(F.col("rest"), F.expr("substring(words, length(substring_index(words, ' ', 1)) + 2)")).otherwise(F.col("words")), " ", -1)
+    kept = kept.filter(~F.col("rest") | F.col("words").contains(" ")).withColumn("words", words)
+    joined = F.when(F.col("breaks"), F.concat(F.slice("words", 1, F.size("words") - 1), F.array(one("")))).otherwise(F.col("words"))
+    kept = kept.select("record", "copy", "once", "at", *(["line"] if printed else []), joined.alias("words"), one("-").alias("other"), F.when(F.col("breaks"), F.col("left")).alias("left"), F.when(F.col("breaks"), F.col("right")).alias("right"), "rest")
     return kept.withColumn("before", F.lag(F.element_at("words", -1)).over(w)).withColumn("after", F.lead(F.element_at("words", 1)).over(w))
 
 

@@ -9,7 +9,7 @@ PLAIN = "The registrar may by general or special order exempt any section of thi
 def found(spark, rows):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
     marked = scans.lines(df, "node_id", "act", "title", "text", "p0", "p1")
-    rows = materialise(scans.tokens(marked))
+    rows = materialise(scans.tokens(marked, printed=True))
     words = scans.repair(rows)
     out = {(r.record, "running_line", r.line) for r in marked.filter("running").collect()}
     out |= {(r.record, "broken_word", r.repaired) for r in words.filter("broken").collect()}
