@@ -26,12 +26,12 @@ NAMES_V2 = (
     r"Bharatiya\s+Nagarik\s+Suraksha\s+Sanhita|BNSS|Bharatiya\s+Nyaya\s+Sanhita|BNS|Code\s+of\s+Criminal\s+Procedure|Cr\.?\s*P\.?\s*C\b\.?|"
     r"Indian\s+Penal\s+Code|Penal\s+Code|I\.\s*P\.\s*C\b\.?|IPC|(?:Indian\s+)?Evidence\s+Act"
 )
-# The grammars. {names} is what an act is called.
-SECTION_V1 = r"\b(?:section|sec\.?|s\.)\s*(?P<section>\d+[A-Za-z]?(?:\s*\(\s*\d+[A-Za-z]?\s*\))?)\s*(?:of\s+(?:the\s+)?)?(?P<act>{names})\b"
+# The grammars of what stands before the name of an act, of articles and of reports.
+SECTION_V1 = r"\b(?:section|sec\.?|s\.)\s*(?P<section>\d+[A-Za-z]?(?:\s*\(\s*\d+[A-Za-z]?\s*\))?)\s*(?:of\s+(?:the\s+)?)?"
 NUMBER = r"\d{1,3}[A-Z]{0,2}(?:\s*\(\s*[0-9A-Za-z]{1,4}\s*\))*"
 SECTIONS_V2 = (
     r"\b(?:sections?|secs?\.?|ss\.|s\.|u/s\.?|u/ss\.?)\s*(?P<numbers>" + NUMBER + r"(?:\s*(?:,|and|or|&|/|to|read\s+with|r/w)\s*(?:sections?\s*|ss?\.\s*)?" + NUMBER + r")*)"
-    r"(?P<gap>[^.;\n]{{0,40}}?)(?P<act>{names})"
+    r"(?P<gap>[^.;\n]{0,40}?)"
 )
 ARTICLES = r"\barticles?\s*(?P<numbers>" + NUMBER + r"(?:\s*(?:,|and|or|&|/|read\s+with|r/w)\s*(?:articles?\s*)?" + NUMBER + r")*)(?P<tail>[^.;\n]{0,60})"
 OTHER_INSTRUMENT = r"^\s*(?:\(\w+\)\s*)*of\s+the\s+(?!Constitution)(?:[A-Z][\w,]*\s+){0,6}(?:Act|Convention|Covenant|Treaty|Agreement|Regulations?|Rules|Charter)\b"
@@ -57,7 +57,7 @@ class Grammar:
     @cached_property
     def _sections(self) -> re.Pattern:
         names = self.names or (NAMES_V1 if self.version == 1 else NAMES_V2)
-        return re.compile((SECTION_V1 if self.version == 1 else SECTIONS_V2.replace("{{", "{").replace("}}", "}")).replace("{names}", names), re.I)
+        return re.compile(SECTION_V1 + f"(?P<act>{names})\\b" if self.version == 1 else SECTIONS_V2 + f"(?P<act>{names})", re.I)
 
     def _act(self, name: str) -> str | None:
         return dict(self.acts).get(re.sub(r"[\s.,]", "", name).lower())

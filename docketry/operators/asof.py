@@ -17,7 +17,7 @@ result column is the only one added.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.session import materialise
@@ -79,7 +79,12 @@ def attach(events: DataFrame, known: AsKnown, key: Column, date: Column, into: s
 
 
 def latest_delivery(rows: DataFrame, key: str, delivered: str) -> DataFrame:
-    """One row per ``key``: the one delivered last (rows of the same moment: the greater by their text, so always the same one)."""
-    whole = F.struct(*[F.col(c) for c in rows.columns])
-    # maps have no order: the text of the row decides between rows of one moment
-    return rows.groupBy(F.col(key).alias("_k")).agg(F.max_by(whole, F.struct(F.col(delivered), F.to_json(whole))).alias("_row")).select("_row.*")
+    """One row per ``key``: the one delivered last (rows of the same moment: the greatest by a hash of the row, so always the same one).
+
+    A ranked window: each task drops all but one row of a key before the shuffle. Maps have no order, so they enter the hash as
+    sorted entries. A NULL key is one key; NULL moments come first.
+    """
+    plain = [F.to_json(F.array_sort(F.map_entries(c))) if t.startswith("map<") else F.col(c) for c, t in rows.dtypes]
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(delivered), F.desc("_tie"))
+    ranked = rows.withColumn("_tie", F.xxhash64(*plain)).withColumn("_rank", F.row_number().over(w))
+    return ranked.filter("_rank = 1").drop("_tie", "_rank")

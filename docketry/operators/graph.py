@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.ids import tidy
 from docketry.operators.asof import latest_delivery
+from docketry.session import materialise
 
 # Relations in the order of their numbers, and the node types each may start and end at.
 RELATIONS = ("cites", "is_cited_by", "overrules", "distinguishes", "refers_to_provision", "contains", "defines", "amends", "decided_by", "co_occurs_with", "temporally_precedes")
@@ -171,71 +172,87 @@ def triples(selected: DataFrame, edges: DataFrame) -> DataFrame:
     return forward.unionByName(back).distinct()
 
 
+def _bits(mask: int) -> list[int]:
+    """The places of the bits that are set, the lowest first."""
+    out = []
+    while mask:
+        low = mask & -mask
+        out.append(low.bit_length() - 1)
+        mask ^= low
+    return out
+
+
 def steiner_tree(seeds: list[str], links: set[tuple[str, str]], budget: int, hops: int, edge_cost: float = 0.1, neighbour_prize: float = 0.25) -> list[str]:
-    """Greedy prize-collecting tree: seeds are worth 1, others a share per seed beside them, every node costs its edge.
+    """Greedy prize-collecting tree over bit masks: nodes are numbered in the order of their ids, a set of nodes is an integer.
 
-    The seed with the largest gain along a shortest path joins until none gains; then profitable neighbours do, best
-    first; then leaves not worth their edge go.
+    A seed is worth 1, another node ``neighbour_prize`` per seed beside it, every node costs ``edge_cost``. Rings of nodes around the
+    tree, up to twice ``hops``, give each seed its shortest way, at each step back by the smallest id; the way that gains most is
+    taken until none gains. Then the nodes beside the tree that gain join, the best first, and ends that do not pay go.
     """
     if not seeds or budget < 1:
         return []
-    beside: dict[str, set[str]] = {}
+    names = sorted({*seeds, *(x for link in links for x in link)})
+    number = {name: i for i, name in enumerate(names)}
+    beside = [0] * len(names)
     for a, b in links:
-        beside.setdefault(a, set()).add(b)
-        beside.setdefault(b, set()).add(a)
-    goal = set(seeds)
-    worth = lambda n: 1.0 if n in goal else neighbour_prize * len(beside.get(n, set()) & goal)
-    tree = [seeds[0]]
-
-    def paths() -> dict[str, list[str]]:
-        """Shortest ways from the tree to every seed within reach, the first in order of ids."""
-        came, layer = dict.fromkeys(sorted(tree)), sorted(tree)
-        for _ in range(2 * hops):
-            following = []
-            for node in layer:
-                for n in sorted(beside.get(node, ())):
-                    if n not in came:
-                        came[n] = node
-                        following.append(n)
-            layer = following
-        out = {}
-        for seed in goal & came.keys() - set(tree):
-            way, at = [], seed
-            while at is not None and at not in tree:
-                way.append(at)
-                at = came[at]
-            out[seed] = way[::-1]
-        return out
-
-    while len(tree) < budget:
-        ways = [(sum(worth(n) - edge_cost for n in way), seed, way) for seed, way in sorted(paths().items())]
-        ways = [w for w in ways if w[0] > 0 and len(tree) + len(w[2]) <= budget]
-        if not ways:
+        beside[number[a]] |= 1 << number[b]
+        beside[number[b]] |= 1 << number[a]
+    goal = sum(1 << i for i in {number[s] for s in seeds})
+    gain = [(1.0 if goal >> i & 1 else neighbour_prize * (beside[i] & goal).bit_count()) - edge_cost for i in range(len(names))]
+    around = lambda mask: reduce(lambda m, i: m | beside[i], _bits(mask), 0)
+    order, tree = [number[seeds[0]]], 1 << number[seeds[0]]
+    while len(order) < budget:
+        rings, reached = [tree], tree
+        while len(rings) <= 2 * hops and (ring := around(rings[-1]) & ~reached):
+            rings.append(ring)
+            reached |= ring
+        best, best_gain = None, 0.0
+        for depth, ring in enumerate(rings):
+            for seed in _bits(ring & goal & ~tree):
+                way = [seed]
+                for inner in range(depth - 1, 0, -1):
+                    way.append(_bits(beside[way[-1]] & rings[inner])[0])
+                total = sum(gain[i] for i in way)
+                if len(order) + len(way) <= budget and (total > best_gain or (total == best_gain and best and seed < best[0])):
+                    best, best_gain = way, total
+        if best is None:
             break
-        tree += max(ways, key=lambda w: w[0])[2]
-    around = {n for node in tree for n in beside.get(node, ())} - set(tree)
-    for n in sorted(around, key=lambda n: (edge_cost - worth(n), n)):
-        if len(tree) >= budget or worth(n) <= edge_cost:
-            break
-        tree.append(n)
-    changed = True
-    while changed:
-        changed = False
-        for n in list(tree):
-            if n not in goal and worth(n) < edge_cost and len(beside.get(n, set()) & set(tree)) <= 1:
-                tree.remove(n)
-                changed = True
-    return tree
+        order += reversed(best)
+        tree |= sum(1 << i for i in best)
+    paying = sorted((i for i in _bits(around(tree) & ~tree) if gain[i] > 0), key=lambda i: (-gain[i], i))[: max(0, budget - len(order))]
+    order += paying
+    tree |= sum(1 << i for i in paying)
+    idle = [i for i in order if not goal >> i & 1 and gain[i] < 0]
+    while ends := sum(1 << i for i in idle if tree >> i & 1 and (beside[i] & tree).bit_count() <= 1):
+        tree &= ~ends
+    return [names[i] for i in order if tree >> i & 1]
+
+
+def near_links(seeds: DataFrame, citations: DataFrame, budget: int) -> DataFrame:
+    """``query_id, a, b``: the citations around a query's seeds that a tree can need, ``a`` the citing case, ``b`` what it cites.
+
+    ``seeds``, ``citations`` as in :func:`cocitation`. A way goes through the smallest case that cites both a seed and
+    another target, and the tree takes the cases of most seeds, then the smallest, up to the budget: only those cases stay. So
+    what a query brings to a task is bounded by its seeds times the targets beside them, however many cases cite a seed.
+    """
+    seen = F.coalesce(F.col("seen_from") <= F.col("as_of"), F.lit(True))
+    near = seeds.join(citations.withColumnRenamed("target", "seed"), "seed").filter((F.col("case_id") != F.col("exclude")) & seen).select("query_id", "as_of", "seed", "case_id").distinct()
+    cites = near.join(citations, "case_id").filter(seen).select("query_id", "seed", "case_id", "target")
+    through = cites.groupBy("query_id", "seed", "target").agg(F.min("case_id").alias("case_id")).select("query_id", "case_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("n"), "case_id")
+    most = near.groupBy("query_id", "case_id").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= budget).select("query_id", "case_id")
+    return cites.join(through.unionByName(most).distinct(), ["query_id", "case_id"], "left_semi").select("query_id", F.col("case_id").alias("a"), F.col("target").alias("b")).distinct()
 
 
 def steiner_trees(seeds: DataFrame, links: DataFrame, budget: int, hops: int) -> DataFrame:
     """``query_id, position, node_id`` of the tree of every query; ``links``: query_id, a, b of its neighbourhood.
 
-    A query's neighbourhood, not the graph, comes to one task; ``budget`` bounds what leaves it.
+    What :func:`near_links` leaves of a query's neighbourhood comes to one task.
     """
 
     def solve(key: tuple, start: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         nodes = steiner_tree(start.sort_values("ord")["seed"].tolist(), set(zip(around["a"], around["b"], strict=True)), budget, hops)
         return pd.DataFrame({"query_id": [key[0]] * len(nodes), "position": range(1, len(nodes) + 1), "node_id": nodes})
 
-    return seeds.groupBy("query_id").cogroup(links.groupBy("query_id")).applyInPandas(solve, "query_id string, position int, node_id string")
+    # what was computed from the seeds is cut off: both sides would have the same columns
+    return seeds.groupBy("query_id").cogroup(materialise(links).groupBy("query_id")).applyInPandas(solve, "query_id string, position int, node_id string")

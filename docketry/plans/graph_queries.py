@@ -244,8 +244,7 @@ def steiner_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prize-collecting tree per judgment, over the neighbourhood of its provisions."""
     seeds, cited = citations(spark, sf_dir)
     seeds, cited = materialise(seeds), materialise(cited)
-    near = seeds.join(cited.withColumnRenamed("target", "seed"), "seed").filter((F.col("case_id") != F.col("exclude")) & F.coalesce(F.col("seen_from") <= F.col("as_of"), F.lit(True))).select("query_id", "as_of", "case_id").distinct()
-    links = near.join(cited, "case_id").filter(F.coalesce(F.col("seen_from") <= F.col("as_of"), F.lit(True))).select("query_id", F.col("case_id").alias("a"), F.col("target").alias("b")).distinct()
+    links = graph.near_links(seeds, cited, BUDGET)
     return graph.steiner_trees(seeds.select("query_id", "seed", "ord"), materialise(links), BUDGET, HOPS)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
+from docketry.operators import statutes
 from docketry.plans.model_queries import _EX, examples
 from docketry.plans.text_queries import _sql_label
 from docketry.registry import CORE
@@ -146,7 +147,7 @@ def monotone_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CORE.add("audit_findings", "EXT-06", "EXT-07", "WIN-02", sql="with " + _SECTIONS + r"""
 , l as (select *, lag(num ignore nulls) over (partition by act_id order by p0, node_id) prev from k),
 f as (select act_id, section, p0, p1, 'section_number_reset' category, 'drops from ' || prev || ' to ' || section message from l where num < prev
-  union all select act_id, section, p0, p1, 'structural_heading', 'a heading of a schedule, appendix or amendment' from k where regexp_matches(regexp_replace(text[1:350], '^\s*\d+[A-Z]?\.\s*', ''), '(?im)^\s*(?:the\s+)?(?:(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)\s+)?(?:schedule|appendix|state\s+amendments?)\b')
+  union all select act_id, section, p0, p1, 'structural_heading', 'a heading of a schedule, appendix or amendment' from k where regexp_matches(regexp_replace(text[1:350], '^\s*\d+[A-Z]?\.\s*', ''), '""" + statutes.OTHER_MATERIAL + r"""')
   union all select act_id, section, last(p0 order by p0, node_id), last(p1 order by p0, node_id), 'duplicate_section', count(*) || ' times on pages ' || string_agg(p0 || '-' || p1, ', ' order by p0, node_id) from k group by 1, 2 having count(*) > 1)
 select act_id, category, section, p0 page_start, p1 page_end, message from f""")
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +156,7 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("act_id").orderBy("p0", "node_id")
     drops = rows.withColumn("prev", F.last("num", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).filter("num < prev")
     row = lambda df, category, message: df.select("act_id", F.lit(category).alias("category"), "section", F.col("p0").alias("page_start"), F.col("p1").alias("page_end"), message.alias("message"))
-    heading = r"(?im)^\s*(?:the\s+)?(?:(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)\s+)?(?:schedule|appendix|state\s+amendments?)\b"
-    structural = rows.filter(F.regexp_replace(F.substring("text", 1, 350), r"^\s*\d+[A-Z]?\.\s*", "").rlike(heading))
+    structural = rows.filter(F.regexp_replace(F.substring("text", 1, 350), r"^\s*\d+[A-Z]?\.\s*", "").rlike(statutes.OTHER_MATERIAL))
     seen = F.array_sort(F.collect_list(F.struct("p0", "node_id", "p1")))
     twice = rows.groupBy("act_id", "section").agg(seen.alias("seen")).filter(F.size("seen") > 1)
     pages = F.array_join(F.transform("seen", lambda x: F.concat_ws("-", x["p0"].cast("string"), x["p1"].cast("string"))), ", ")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,14 +36,19 @@ def table_digest(df: DataFrame, key: str) -> str:
 
 
 def write_new(df: DataFrame, path: str, **options: str) -> None:
-    """Write where nothing is: into a staging folder, then one rename."""
+    """Write where nothing is: into a staging folder of this write's own, then one rename. Nothing that stands is deleted."""
     target, fs = _path(df.sparkSession, path)
-    if fs.exists(target) and fs.listStatus(target):
-        raise FileExistsError(f"{path} is not empty")
-    df.write.options(**options).mode("overwrite").parquet(f"{path}.staging")
-    fs.delete(target, True)
-    if not fs.rename(_path(df.sparkSession, f"{path}.staging")[0], target):
-        raise OSError(f"{path} could not be renamed into place")
+    if fs.exists(target):
+        raise FileExistsError(f"{path} is there")
+    staging = f"{path}.{uuid.uuid4().hex}.staging"
+    try:
+        df.write.options(**options).parquet(staging)
+        fs.mkdirs(target.getParent())
+        # a rename does not replace a folder that another writer has made meanwhile: it would move into it or fail
+        if fs.exists(target) or not fs.rename(_path(df.sparkSession, staging)[0], target):
+            raise FileExistsError(f"{path} is there")
+    finally:
+        fs.delete(_path(df.sparkSession, staging)[0], True)
 
 
 def write_json_lines(df: DataFrame, path: str, *order: str) -> None:

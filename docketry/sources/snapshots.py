@@ -9,7 +9,8 @@ from docketry.operators.graph import DOMAINS, violations
 from docketry.operators.ranking import Index
 from docketry.sources.sinks import table_digest, write_new
 
-NODE_TYPES = ("case", "act", "provision", "court", "contract_clause", "rhetorical_unit", "legal_concept", "contract", "document")
+# The types of nodes and the splits.
+NODE_TYPES = ("case", "rhetorical_unit", "provision", "contract_clause", "legal_concept", "court", "party", "date_anchor", "act")
 SPLITS = ("train", "validation", "test", "external")
 
 

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -90,6 +91,23 @@ def test_tree():
     assert graph.steiner_tree(["s1"], links, 10, 2, neighbour_prize=0.05) == ["s1"]
 
 
+def test_near_links_leave_the_tree_as_it_is(spark):
+    """Trees over what near_links leaves are those over the whole neighbourhood."""
+    rng = random.Random(4)
+    cited = {(f"c{rng.randrange(60):02}", f"p{rng.randrange(14):02}") for _ in range(170)}
+    asked = {f"q{i}": sorted(rng.sample([f"p{k:02}" for k in range(14)], rng.randrange(1, 5))) for i in range(12)}
+    citations = spark.createDataFrame([(c, t, None) for c, t in cited], "case_id string, target string, seen_from date")
+    seeds = spark.createDataFrame([(q, q, D(2016, 1, 1), s, k + 1) for q, ss in asked.items() for k, s in enumerate(ss)], "query_id string, exclude string, as_of date, seed string, ord int")
+    for budget in (4, 9):
+        got = {}
+        for r in graph.steiner_trees(seeds, graph.near_links(seeds, citations, budget), budget, 2).collect():
+            got.setdefault(r.query_id, []).append((r.position, r.node_id))
+        for q, ss in asked.items():
+            around = {c for c, t in cited if t in ss}
+            whole = graph.steiner_tree(ss, {(c, t) for c, t in cited if c in around}, budget, 2)
+            assert [n for _, n in sorted(got[q])] == whole, (q, budget)
+
+
 def test_resolve(spark):
     ids = spark.createDataFrame([("provision:india:ipc:302:v1",), ("provision:india:ipc:302:v2",), ("provision:india:bns:103:v1",), (" CASE:india:x ",)], "node_id string")
     asked = spark.createDataFrame([("a", "provision", "provision:india:ipc:302:"), ("b", "provision", "provision:india:bns:103:"), ("c", "case", "case:india:X"), ("d", "case", "nothing"), ("e", "case", None)], "extraction_id string, kind string, canonical_hint string")
