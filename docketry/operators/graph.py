@@ -159,6 +159,59 @@ def expand(seeds: DataFrame, adjacency: DataFrame, hops: int) -> DataFrame:
     return visited.select("query_id", "seed", "position", "node_id", "depth")
 
 
+def dated_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_id, neighbour, relation_type, forward, seen_from, seen_to``: every edge from both ends, with the days on which it and its ends are in force."""
+    end = lambda side: nodes.select(F.col("node_id").alias(f"{side}_id"), F.greatest("available_from", "decision_date").alias(f"{side}_from"), F.col("available_to").alias(f"{side}_to"))
+    rows = edges.join(end("source"), "source_id").join(end("target"), "target_id")
+    rows = rows.select("source_id", "target_id", "relation_type", F.greatest("available_from", "source_decision_date", "source_from", "target_from").alias("seen_from"), F.least("available_to", "source_to", "target_to").alias("seen_to"))
+    forward = rows.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("neighbour"), "relation_type", F.lit(True).alias("forward"), "seen_from", "seen_to")
+    back = rows.select(F.col("target_id").alias("node_id"), F.col("source_id").alias("neighbour"), "relation_type", F.lit(False).alias("forward"), "seen_from", "seen_to")
+    return forward.unionByName(back).distinct()
+
+
+def _seen(date: str) -> Column:
+    return F.coalesce(F.col("seen_from") <= F.col(date), F.lit(True)) & F.coalesce(F.col("seen_to") >= F.col(date), F.lit(True))
+
+
+def expand_shared(requests: DataFrame, links: DataFrame, budget: int, hops: int) -> DataFrame:
+    """``query_id, position, node_id, depth``: connected expansions of all seeds of a query that share its budget of nodes.
+
+    ``requests``: query_id, exclude (a node, or NULL), as_of, seed, ord; ``links``: :func:`dated_links`. Every seed has an equal part
+    of the budget, one node at least; its neighbours are visited from the parent that was reached first, other seeds before
+    others, then by id. The parts are put one after the other in the order of the seeds, a node counts where it is first,
+    and what is beyond the budget is cut off. Links not in force on the query's date, and the excluded node, do not exist.
+    """
+    sized = requests.withColumn("part", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.count(F.lit(1)).over(Window.partitionBy("query_id")))))
+    start = materialise(sized.select("query_id", "exclude", "as_of", "ord", "seed", "part", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.lit(1).alias("at")))
+    worth = start.select("query_id", F.col("seed").alias("neighbour"), F.lit(0).alias("rank")).distinct()
+    visited, level = start, start
+    of = ["query_id", "seed"]
+    for depth in range(1, hops + 1):
+        found = level.filter("at < part").withColumnRenamed("at", "parent_at").drop("depth").join(links, "node_id").filter(_seen("as_of") & (F.col("exclude").isNull() | (F.col("neighbour") != F.col("exclude"))))
+        found = found.groupBy("query_id", "exclude", "as_of", "ord", "seed", "part", "neighbour").agg(F.min("parent_at").alias("parent_at"))
+        found = found.join(visited.select(*of, F.col("node_id").alias("neighbour")), [*of, "neighbour"], "left_anti").join(worth, ["query_id", "neighbour"], "left")
+        last = visited.groupBy(*of).agg(F.max("at").alias("last"))
+        w = Window.partitionBy(*of).orderBy("parent_at", F.coalesce("rank", F.lit(1)), "neighbour")
+        # no more than the budget can be taken, whatever was taken before
+        level = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= budget).join(last, of).withColumn("at", F.col("last") + F.col("r")).filter("at <= part")
+        level = materialise(level.select("query_id", "exclude", "as_of", "ord", "seed", "part", F.col("neighbour").alias("node_id"), F.lit(depth).alias("depth"), "at"))
+        visited = visited.unionByName(level)
+    first = visited.groupBy("query_id", "node_id").agg(F.min(F.struct("ord", "at", "depth")).alias("k"))
+    w = Window.partitionBy("query_id").orderBy("k")
+    return first.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= budget).select("query_id", "position", "node_id", F.col("k.depth").alias("depth"))
+
+
+def with_status(requested: DataFrame, selected: DataFrame) -> DataFrame:
+    """``query_id, status, nodes`` of every request (``query_id, named``: seeds that it names, in force or not).
+
+    ``ok`` with nodes; else ``no_seed`` where it names none, ``no_eligible_seed`` where none is in force.
+    """
+    sizes = selected.groupBy("query_id").agg(F.count(F.lit(1)).alias("nodes"))
+    rows = requested.join(sizes, "query_id", "left")
+    status = F.when(F.col("nodes").isNotNull(), "ok").when(F.col("named") > 0, "no_eligible_seed").otherwise("no_seed")
+    return rows.select("query_id", status.alias("status"), F.coalesce("nodes", F.lit(0)).alias("nodes"))
+
+
 def triples(selected: DataFrame, edges: DataFrame) -> DataFrame:
     """``query_id, source_at, target_at, relation``: edges among the selected nodes of a query, and their inverses.
 

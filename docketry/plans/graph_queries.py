@@ -219,7 +219,7 @@ def walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return graph.expand(starts, adjacency, HOPS), ok
 
 
-@CORE.add("expand_two_hops", "RET-01", "RET-02", "RET-03", "SRT-02", "WIN-09", sql=_WALK + "select seed, pos::int position, node_id, depth::int depth from walk")
+@CORE.add("expand_two_hops", "RET-01", sql=_WALK + "select seed, pos::int position, node_id, depth::int depth from walk")
 def expand_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prize-guided breadth-first expansion of every cited provision, within a budget of nodes."""
     return walked(spark, sf_dir)[0].select("seed", F.col("position").cast("int").alias("position"), "node_id", "depth")
@@ -239,6 +239,80 @@ def subgraph_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.triples(selected, touching)
 
 
+_SHARED = _CITED + f""",
+wide as (select e.relation_type, e.source_id, e.target_id, greatest(e.available_from, e.source_decision_date, s.available_from, s.decision_date, t.available_from, t.decision_date) lo, least(e.available_to, s.available_to, t.available_to) hi
+  from e join n s on s.node_id = e.source_id join n t on t.node_id = e.target_id where e.origin_split = 'train' and e.relation_type <> 'decided_by'),
+adj as (select source_id node_id, target_id neighbour, lo, hi from wide union select target_id, source_id, lo, hi from wide),
+parts as (select sd.*, greatest(1, {BUDGET} // count(*) over (partition by query_id)) part from sd),
+f1 as (select distinct p.query_id, p.as_of, p.ord, p.seed, p.part, a.neighbour from parts p join adj a on a.node_id = p.seed where coalesce(a.lo <= p.as_of, true) and coalesce(a.hi >= p.as_of, true) and a.neighbour <> p.query_id and a.neighbour <> p.seed),
+l1 as (select f1.*, row_number() over (partition by query_id, seed order by (exists (select 1 from sd where sd.query_id = f1.query_id and sd.seed = f1.neighbour)) desc, neighbour) + 1 pos from f1),
+k1 as (select * from l1 where pos <= part),
+v1 as (select query_id, seed, seed node_id, ord, 1 pos, 0 depth from parts union all select query_id, seed, neighbour, ord, pos, 1 from k1),
+f2 as (select k.query_id, k.ord, k.seed, k.part, a.neighbour, min(k.pos) parent from k1 k join adj a on a.node_id = k.neighbour where k.pos < k.part and coalesce(a.lo <= k.as_of, true) and coalesce(a.hi >= k.as_of, true) and a.neighbour <> k.query_id
+  and not exists (select 1 from v1 where v1.query_id = k.query_id and v1.seed = k.seed and v1.node_id = a.neighbour) group by all),
+l2 as (select f2.*, (select max(pos) from v1 where v1.query_id = f2.query_id and v1.seed = f2.seed) + row_number() over (partition by query_id, seed order by parent, (exists (select 1 from sd where sd.query_id = f2.query_id and sd.seed = f2.neighbour)) desc, neighbour) pos from f2),
+walk as (select query_id, node_id, ord, pos, depth from v1 union all select query_id, neighbour, ord, pos, 2 from l2 where pos <= part),
+first_seen as (select query_id, node_id, min((ord, pos, depth)) k from walk group by 1, 2),
+chosen as (select query_id, row_number() over (partition by query_id order by k) as position, node_id, k[3] depth from first_seen qualify position <= {BUDGET})
+"""
+
+
+def shared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests (one per judgment, its provisions in force as seeds), the dated links of train edges, and the nodes selected."""
+    nodes, edges = cleaned(spark, sf_dir)
+    links = materialise(graph.dated_links(edges.filter("origin_split = 'train' and relation_type <> 'decided_by'"), nodes))
+    seeds = materialise(citations(spark, sf_dir)[0])
+    return seeds, links, materialise(graph.expand_shared(seeds, links.select("node_id", "neighbour", "seen_from", "seen_to").distinct(), BUDGET, HOPS))
+
+
+@CORE.add("shared_expansion", "RET-02", "RET-03", "SRT-02", "WIN-09", sql=_SHARED + "select query_id, position::int position, node_id, depth::int depth from chosen")
+def shared_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every judgment the expansions of its provisions, which share one budget of nodes; its own node is left out."""
+    return shared(spark, sf_dir)[2]
+
+
+@CORE.add("expansion_status", "RET-02", "RET-05", sql=_SHARED + """
+select q.query_id, case when count(c.node_id) > 0 then 'ok' when exists (select 1 from own where own.query_id = q.query_id) then 'no_eligible_seed' else 'no_seed' end status, count(c.node_id) nodes from q left join chosen c using (query_id) group by 1""")
+def expansion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every request: nodes, or why there are none."""
+    nodes, edges = cleaned(spark, sf_dir)
+    named = edges.filter("relation_type = 'refers_to_provision'").select(F.col("source_id").alias("query_id"), F.col("target_id").alias("node_id")).distinct()
+    named = named.join(nodes.filter("node_type = 'provision'").select("node_id"), "node_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("named"))
+    queries = table(spark, sf_dir, "judgments").filter("case_id is not null and decision_date is not null").select(tidy("case_id").alias("query_id")).distinct()
+    return graph.with_status(queries.join(named, "query_id", "left"), shared(spark, sf_dir)[2])
+
+
+@CORE.add("expansion_triples", "RET-05", "JOIN-14", sql=_SHARED + f"""
+, f as (select distinct a.query_id, a.position::int - 1 source_at, b.position::int - 1 target_at, {_NUMBERS} relation from wide join chosen a on a.node_id = wide.source_id join chosen b on b.query_id = a.query_id and b.node_id = wide.target_id join q on q.query_id = a.query_id
+  where coalesce(lo <= q.as_of, true) and coalesce(hi >= q.as_of, true))
+select * from f union select query_id, target_at, source_at, relation + 11 from f""")
+def expansion_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges in force among the nodes selected for every judgment, by position, with their inverses."""
+    seeds, links, selected = shared(spark, sf_dir)
+    dated = selected.join(seeds.select("query_id", "as_of").distinct(), "query_id")
+    edges = links.filter("forward").withColumnsRenamed({"node_id": "source_id", "neighbour": "target_id"}).join(dated.select("query_id", "as_of", F.col("node_id").alias("source_id")), "source_id")
+    return graph.triples(selected, edges.filter(graph._seen("as_of")))
+
+
+# a small graph of its own: two acts' provisions, five train cases, a test case, one decided later, and the asking case
+_CASES = {"a": ("2009-03-02", "train", ("p1", "p2", "p4")), "b": ("2010-06-05", "train", ("p1", "p3")), "c": ("2011-01-09", "train", ("p3", "p5")), "t": ("2011-02-01", "test", ("p1", "p5")), "l": ("2016-01-01", "train", ("p1", "p5")), "q": ("2012-08-08", "train", ("p1", "p3"))}
+
+
+@CORE.add("fixture_subgraph", "RET-12", "RET-01", "RET-03", sql="""
+select * from (values ('q', 1, 'p1', 0), ('q', 2, 'case-a', 1), ('q', 3, 'case-b', 1), ('q', 4, 'p3', 0), ('q', 5, 'case-c', 1), ('late', 1, 'p4', 0), ('late', 2, 'case-a', 1), ('late', 3, 'p1', 2), ('late', 4, 'p2', 2)) t(query_id, position, node_id, depth)""")
+def fixture_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requests on a small literal graph: later and test cases, and the asking case itself, are never reached."""
+    nodes = spark.createDataFrame([(f"case-{c}", d) for c, (d, *_) in _CASES.items()] + [(f"p{i}", None) for i in range(1, 6)], "node_id string, d string")
+    nodes = nodes.select("node_id", F.lit(None).cast("date").alias("available_from"), F.lit(None).cast("date").alias("available_to"), F.to_date("d").alias("decision_date"))
+    edges = spark.createDataFrame([(f"case-{c}", p, split) for c, (_, split, ps) in _CASES.items() for p in ps], "source_id string, target_id string, origin_split string")
+    none = F.lit(None).cast("date")
+    edges = edges.withColumns({"relation_type": F.lit("refers_to_provision"), "available_from": none, "available_to": none, "source_decision_date": none})
+    asked = [("q", "case-q", "2012-08-08", "p1", 1), ("q", "case-q", "2012-08-08", "p3", 2), ("late", None, "2017-01-01", "p4", 1)]
+    requests = spark.createDataFrame(asked, "query_id string, exclude string, d string, seed string, ord int").select("query_id", "exclude", F.to_date("d").alias("as_of"), "seed", "ord")
+    links = graph.dated_links(edges.filter("origin_split = 'train'"), nodes).select("node_id", "neighbour", "seen_from", "seen_to")
+    return graph.expand_shared(requests, links, 6, HOPS)
+
+
 @CORE.add("steiner_trees", "RET-07")
 def steiner_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prize-collecting tree per judgment, over the neighbourhood of its provisions."""
