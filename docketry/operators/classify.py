@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,6 +77,29 @@ def tfidf(documents: DataFrame, doc: str, text: str, least: int = 2) -> DataFram
     return weighted.join(norms, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def bags(cases: DataFrame, case: str, blocks: dict[str, Column], least: int = 2) -> DataFrame:
+    """``case, block, feature`` of the features (an array per block) that ``least`` cases have at least, each once."""
+    parts = [cases.select(case, F.lit(name).alias("block"), F.explode(F.array_distinct(features)).alias("feature")) for name, features in blocks.items()]
+    rows = reduce(DataFrame.unionByName, parts)
+    known = rows.groupBy("block", "feature").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least).select("block", "feature")
+    return rows.join(known, ["block", "feature"])
+
+
+def stack(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The features of :func:`bags` with a ``value``: every case's block has the length that ``weights`` gives it."""
+    case = next(c for c in rows.columns if c not in ("block", "feature"))
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("block"))
+    sizes = rows.groupBy(case, "block").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(sizes, [case, "block"]).select(case, "block", "feature", (weight / F.sqrt("n")).alias("value"))
+
+
+def averaged(rows: DataFrame, case: str, p: str, q: str, digits: int = 8) -> DataFrame:
+    """``case, label, mean``: the label of the largest mean of two probabilities, of equal ones the first of the schema."""
+    order = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("label"))
+    mean = rows.withColumn("mean", F.round((F.col(p) + F.col(q)) / 2, digits))
+    return mean.groupBy(case).agg(F.min_by(F.struct("label", "mean"), F.struct((-F.col("mean")).alias("m"), order.alias("o"))).alias("b")).select(case, "b.*")
+
+
 def class_weights(counts: DataFrame) -> DataFrame:
     """``label, weight`` of ``label, n``: n / (k n_c), scaled so that the mean over examples is 1."""
     w = Window.partitionBy()  # a row per label

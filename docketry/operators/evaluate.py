@@ -56,6 +56,26 @@ def running_curve(rows: DataFrame, order: str, every: int) -> DataFrame:
     return out.filter((F.col("n") % every == 0) | (F.col("n") == F.col("total"))).select("n", "accuracy", "macro_f1")
 
 
+def sequences(matrix: DataFrame) -> DataFrame:
+    """``gold, predicted, i``: a confusion matrix (``gold, predicted, n``) as one row per case."""
+    return matrix.filter("n > 0").select("gold", "predicted", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("i"))
+
+
+def progress(rows: DataFrame, n: str, elapsed: str) -> DataFrame:
+    """Rows with the share ``done`` of the most cases and the time ``remaining`` at the pace so far."""
+    total = F.max(n).over(Window.partitionBy())  # rows of a curve
+    return rows.withColumn("done", F.col(n) / total).withColumn("remaining", F.col(elapsed) / F.col(n) * (total - F.col(n)))
+
+
+def seed_groups(runs: DataFrame, experiment: str, validation: str, test: str) -> DataFrame:
+    """``experiment, seeds, validation, test, deviation``; the measures of the test split only where every run of the experiment has one."""
+    whole = F.bool_and(F.col(test).isNotNull())
+    return runs.groupBy(experiment).agg(
+        F.count(F.lit(1)).alias("seeds"), F.round(F.avg(validation), 9).alias("validation"),
+        F.round(F.when(whole, F.avg(test)), 9).alias("test"), F.round(F.when(whole, F.coalesce(F.stddev_samp(test), F.lit(0.0))), 9).alias("deviation"),
+    )
+
+
 def draws(spark, resamples: int, n: int, seed: str) -> DataFrame:
     """``resample, i``: for every resample ``n`` numbers from 1 to n, by hash."""
     grid = spark.range(resamples).withColumnRenamed("id", "resample").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))

@@ -123,7 +123,7 @@ def nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("case").alias("case_id"), F.col("label").alias("predicted"), F.round("probability", 6).alias("confidence"))
 
 
-@CORE.add("tfidf_vectors", "CLS-04", "CLS-07", sql="with " + _EX + """
+@CORE.add("tfidf_vectors", "CLS-04", sql="with " + _EX + """
 w as (select case_id, regexp_extract_all(lower(view_text), '[a-z][a-z-]{2,}') t from tr),
 g as (select case_id, unnest(t) term from w union all select case_id, t[i] || ' ' || t[i + 1] from (select case_id, t, unnest(range(1, len(t))) i from w)),
 c as (select case_id, term, count(*) tf from g group by all),
@@ -145,7 +145,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.class_weights(counts).select("label", "n", F.round("weight", 9).alias("weight"))
 
 
-@CORE.add("logistic_predictions", "CLS-04", "CLS-05", "CLS-08")
+@CORE.add("logistic_predictions", "CLS-04")
 def logistic_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-balanced logistic regression on hashed tf-idf features; rows only, its solver is its own."""
     from pyspark.ml import Pipeline
@@ -171,7 +171,7 @@ def mean_pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("label", "pos").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 
 
-@CORE.add("picked_labels", "CLS-13", "CLS-09", sql="""
+@CORE.add("picked_labels", "CLS-13", sql="""
 with s as (select event_id, 1.0 * (event_id % 7) / 7 a, 1.0 * (event_id % 5) / 5 b, 1.0 * (event_id % 3) / 3 c, 0.5 d from events)
 select event_id, case when round(a, 9) >= greatest(round(b, 9), round(c, 9), d) then 'allowed' when round(b, 9) >= greatest(round(c, 9), d) then 'dismissed' when round(c, 9) >= d then 'disposed' else 'partly_allowed' end label from s""")
 def picked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +219,7 @@ def per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.per_class(evaluated(spark, sf_dir)).select("label", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@CORE.add("metrics_by_source", "AGG-10", "JOIN-15", "EVA-15", sql=_EVAL + _PC.format(by="source,") + """
+@CORE.add("metrics_by_source", "AGG-10", "JOIN-15", sql=_EVAL + _PC.format(by="source,") + """
 , a as (select source, count(*) cases, avg((gold = predicted)::int::double) acc from ev group by 1)
 select a.source, cases, round(acc, 9) accuracy, round(m, 9) macro_f1 from a join (select source, avg(f1) m from pf group by 1) b on a.source = b.source where (select count(*) from a) >= 2""")
 def metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +229,7 @@ def metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("several", several).filter("several").select("source", "cases", F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
 
 
-@CORE.add("running_curve", "WIN-03", "WIN-07", sql=_EVAL + """
+@CORE.add("running_curve", "WIN-03", sql=_EVAL + """
 o as (select row_number() over (order by case_id) n, gold, predicted from ev),
 c as (select n, sum((gold = predicted)::int) over w hits, """ + ", ".join(f"sum((gold = '{x}' and predicted = '{x}')::int) over w h{i}, sum((gold = '{x}')::int) over w g{i}, sum((predicted = '{x}')::int) over w p{i}" for i, x in enumerate(L)) + """
   from o window w as (order by n rows unbounded preceding))
@@ -288,7 +288,7 @@ _RECALL = {"allowed": 0.86, "dismissed": 0.78, "disposed": 0.6, "partly_allowed"
 _WEIGHT = {a: {b: w for b, w in zip([x for x in L if x != a], (0.5, 0.3, 0.2), strict=True)} for a in L}
 
 
-@CORE.add("projected_confusion", "EVA-07", "EVA-08", "AGG-06", sql="with " + _EX + f"""
+@CORE.add("projected_confusion", "EVA-07", "AGG-06", sql="with " + _EX + f"""
 su as (select label gold, count(*) n from ex where split = 'validation' and label is not null group by 1),
 re(gold, recall) as (values {", ".join(f"('{a}', {r}::double)" for a, r in _RECALL.items())}),
 we(gold, predicted, weight) as (values {", ".join(f"('{a}', '{b}', {w}::double)" for a, x in _WEIGHT.items() for b, w in x.items())}),

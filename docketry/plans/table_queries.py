@@ -241,7 +241,7 @@ def yearly_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.coalesce(F.year("d").cast("string"), F.lit("undated")).alias("yr")).agg(F.count(F.lit(1)).alias("judgments"), F.median(F.length("t")).alias("median_chars"), F.count_if(F.col("t").isNull() | (F.trim("t") == "")).alias("without_text"))
 
 
-@CORE.add("seed_statistics", "AGG-11", "AGG-20", "EVA-06", sql="""
+@CORE.add("seed_statistics", "AGG-20", sql="""
 select o_orderpriority family, round(avg(o_totalprice), 6) mean_price, round(coalesce(stddev_samp(o_totalprice), 0), 4) std_price, count(*) n from orders group by 1""")
 def seed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and sample deviation (0 of a single value) per group."""
@@ -256,7 +256,7 @@ def majority_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- windows
 
-@CORE.add("interval_losses", "WIN-04", "WIN-05", "EVA-13", "STR-05", "SRC-17", sql="""
+@CORE.add("interval_losses", "WIN-04", "WIN-05", sql="""
 with l as (select user_id epoch, event_id ord, (event_id % 40) + 1 step, 1.0 + (event_id % 11) / 10.0 mean from events),
 m as (select *, max(step) over (partition by epoch order by ord rows between unbounded preceding and 1 preceding) top from l),
 k as (select * from m where top is null or step > top),
@@ -273,7 +273,7 @@ def interval_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("epoch", "step", F.round("loss", 9).alias("interval_loss"), F.round(F.avg("loss").over(w.rowsBetween(-3, 0)), 9).alias("trailing_mean"))
 
 
-@CORE.add("ladder_deltas", "WIN-06", "EVA-14", sql="""
+@CORE.add("ladder_deltas", "WIN-06", sql="""
 with l(ord, variant, acc) as (values (1, 'text', 0.50::double), (2, 'graph', 0.55::double), (3, 'both', 0.58::double))
 select variant, lag(acc, 1, 0.468) over (order by ord) from_accuracy, acc to_accuracy, round(acc - lag(acc, 1, 0.468) over (order by ord), 9) delta, round(acc - 0.468, 9) cumulative_delta from l""")
 def ladder_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,13 +48,30 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@CORE.add("stream_hourly_counts", "STR-01", "STR-02", "STR-04", sql="select date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(value), 6) total from events group by 1, 2")
+@CORE.add("stream_hourly_counts", "STR-01", "STR-02", sql="select date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(value), 6) total from events group by 1, 2")
 def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per hour and type, by a stream run to its end."""
     out = drain(windowed_counts(read_events(spark, sf_dir), "1 hour", "1 hour", "1 hour"), mode="complete")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
+@CORE.add("stream_sessions", "STR-01", sql="""
+with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end fresh from events where ts is not null and user_id is not null),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) k from o)
+select user_id, min(ts) session_start, max(ts) + interval 6 hour session_end, count(*) n from s group by user_id, k""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users that end after six hours without an event."""
+    out = drain(sessions(read_events(spark, sf_dir).filter("user_id is not null"), "6 hours", "1 hour"), mode="complete")
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
+
+
+@CORE.add("stream_first_lines", "STR-05", sql="select distinct user_id, event_type from events where ts is not null")
+def stream_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resumed log, each line once: the keys of what passes."""
+    rows = read_events(spark, sf_dir).filter("ts is not null").select("user_id", "event_type", "ts")
+    return drain(first_lines(rows, ["user_id", "event_type"], "ts", "36500 days")).select("user_id", "event_type")
+
+
 @CORE.add("stream_running_metrics", "STR-01", "STR-03", sql="select event_type, count(*) n, round(avg(value), 6) mean_value from events group by 1")
 def stream_running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics over all rows so far, replaced batch by batch."""
