@@ -130,10 +130,13 @@ def _pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def pack(measured: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
-    """``experiment_id, container_id, doc_id, piece_no, start_token, n_tokens`` for every ``(experiment, capacity)``."""
+def pack(measured: DataFrame, capacities: list[tuple[str, int]], shard: int = SHARD) -> DataFrame:
+    """``experiment_id, container_id, doc_id, piece_no, start_token, n_tokens`` for every ``(experiment, capacity)``.
+
+    ``shard``: items that one task packs; a shard leaves its last containers part filled, so larger ones lose less.
+    """
     measured = materialise(measured)
-    shards = max(1, -(-measured.count() // SHARD))
+    shards = max(1, -(-measured.count() // shard))
     capacities = [(name, capacity) for name, capacity in capacities if capacity and capacity > 0]
     if not capacities:
         return measured.sparkSession.createDataFrame([], _PACKED)

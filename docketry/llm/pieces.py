@@ -4,8 +4,8 @@ A text within its limits is one piece. Otherwise whole units are packed into a p
 line begins one), paragraphs (blank lines), lines, sentences, words, characters. A unit that would not fit a piece of
 its own is entered at the next finer level; a unit that would is left to the next piece. Every piece after the first
 begins ``overlap`` characters before the end of the one before it, so consecutive pieces share exactly that many;
-only where the shared text alone would fill the limit does the piece begin later. Without what they share the pieces
-are the text, character for character.
+only where the shared text alone would fill the limit does the piece begin later (``n_shared`` says how many it shares).
+Without what they share the pieces are the text, character for character. The boundaries of a text are found once for all limits.
 
 The limit is in characters (code points), in tokens of a public tokenizer, or both; a piece is within both.
 
@@ -50,8 +50,8 @@ def boundaries(text: str) -> list[list[int]]:
     return out
 
 
-def cut(text: str, characters: int | None, overlap: int, reach=None) -> list[tuple[int, int]]:
-    """``(start, end)`` of the pieces. ``reach(start, beyond)``: the farthest end that a further limit allows."""
+def cut(text: str, characters: int | None, overlap: int, reach=None, ends=None) -> list[tuple[int, int]]:
+    """``(start, end)`` of the pieces. ``reach(start, beyond)``: the farthest end that a further limit allows; ``ends()``: the :func:`boundaries`."""
     n = len(text)
     if not n:
         return []
@@ -60,7 +60,7 @@ def cut(text: str, characters: int | None, overlap: int, reach=None) -> list[tup
     if farthest(0, 0) >= n:
         return [(0, n)]
     overlap = max(0, min(overlap, limit - 1))
-    ends = boundaries(text)
+    ends = boundaries(text) if ends is None else ends()
     out: list[tuple[int, int]] = []
     done = 0
     while done < n:
@@ -125,7 +125,7 @@ class TokenReach:
         return end
 
 
-_PIECES = "experiment_id string, record string, piece_no int, n_pieces int, start int, end int, n_tokens int, text string"
+_PIECES = "experiment_id string, record string, piece_no int, n_pieces int, start int, end int, n_shared int, n_tokens int, text string"
 
 
 def _splitter(configs: list[tuple], tokenizer: str, by_tokens: bool, with_text: bool):
@@ -134,11 +134,18 @@ def _splitter(configs: list[tuple], tokenizer: str, by_tokens: bool, with_text:
         for frame in frames:
             out = []
             for record, text in zip(frame["record"], frame["text"], strict=True):
+                found: list = []
+
+                def ends(text: str = text, found: list = found) -> list[list[int]]:
+                    if not found:
+                        found.append(boundaries(text))
+                    return found[0]
+
                 for name, characters, tokens, overlap in configs:
                     reach = TokenReach(counter, text, tokens) if by_tokens and tokens and tokens > 0 else None
-                    parts = cut(text, characters, overlap or 0, reach)
+                    parts = cut(text, characters, overlap or 0, reach, ends)
                     for i, (a, b) in enumerate(parts):
-                        out.append((name, record, i, len(parts), a, b, reach.count(a, b) if reach else None, text[a:b] if with_text else None))
+                        out.append((name, record, i, len(parts), a, b, parts[i - 1][1] - a if i else 0, reach.count(a, b) if reach else None, text[a:b] if with_text else None))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _PIECES.split(", ")])
 
     return split
