@@ -11,7 +11,7 @@ from docketry.registry import CORE
 from docketry.session import materialise, table
 
 AS_OF = "2015-01-01"
-BUDGET, HOPS = 16, 2
+BUDGET, HOPS = 32, 2
 
 _CLEAN = """
 with recursive alln as (select node_id, node_type, label, source_document_ids, available_from, available_to, decision_date, ingested_at from nodes
