@@ -109,7 +109,7 @@ def _snapshot(ledger: Ledger, counts: DataFrame, events: DataFrame, keys: DataFr
     w = Window.partitionBy("ref_table", "key").orderBy("month")  # a row per month
     total = rows.select("ref_table", "key", "month", F.sum("made").over(w).alias("made"), F.sum("moved").over(w).alias("live"))
     stepped = total.withColumn("open", F.when(F.col("live") > 0, 0).otherwise(F.col("made")))
-    stepped = stepped.withColumn("change", F.col("open") - F.lag("open").over(w)).filter("month <> '' and change <> 0")
+    stepped = stepped.withColumn("change", F.col("open") - F.lag("open").over(w)).filter("month <> ''")
     return stepped.groupBy("ref_table", "month").agg(F.sum("change").alias("change"))
 
 
