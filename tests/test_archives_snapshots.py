@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 
 from docketry.operators import ranking
-from docketry.sources import archives, snapshots
+from docketry.sources import archives, sinks, snapshots
 from tests.test_graph import EDGES, NODES, edge, node
 
 
@@ -61,3 +61,23 @@ def test_ranking(spark, tmp_path):
     snapshots.write_index(ranking.Index(index.postings, index.frequencies.limit(2), index.corpus), str(tmp_path), "2", policy="p")
     with pytest.raises(ValueError):
         snapshots.read_index(spark, str(tmp_path), "2")
+
+
+def test_node_types_both_ways(spark, tmp_path):
+    """Every type of the data model is read; others are refused."""
+    edges = spark.createDataFrame([], "edge_id string, relation_type string, origin_split string")
+    for version, types in (("known", snapshots.NODE_TYPES), ("odd", ("contract",))):
+        sinks.write_new(spark.createDataFrame([(t, t) for t in types], "node_id string, node_type string"), f"{tmp_path}/nodes/graph_version={version}")
+        sinks.write_new(edges, f"{tmp_path}/edges/graph_version={version}")
+    assert {"party", "date_anchor"} < {r.node_type for r in snapshots.read_graph(spark, str(tmp_path), "known")[0].collect()}
+    with pytest.raises(ValueError, match="contract"):
+        snapshots.read_graph(spark, str(tmp_path), "odd")
+
+
+def test_a_version_is_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "k string, v int")
+    sinks.write_new(rows, f"{tmp_path}/t")
+    with pytest.raises(FileExistsError):
+        sinks.write_new(rows.limit(0), f"{tmp_path}/t")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/t").collect()] == [("a", 1)]
+    assert not [p for p in tmp_path.iterdir() if "staging" in p.name]

@@ -121,3 +121,21 @@ def test_assembly_does_not_depend_on_order(spark):
     one = graph.assemble_edges(spark.createDataFrame(rows, "source_id string, relation_type string, target_id string, extraction_id string"))
     two = graph.assemble_edges(spark.createDataFrame(rows[::-1] * 2, "source_id string, relation_type string, target_id string, extraction_id string").repartition(3))
     assert sorted(map(tuple, one.select("edge_id").collect())) == sorted(map(tuple, two.select("edge_id").collect())) and one.count() == 2
+
+
+def test_seeds_share_a_budget(spark):
+    """Each seed has its part, in the order of seeds; a node counts once; the excluded node and links of other days do not exist."""
+    links = [("s1", "a", None, None), ("s1", "b", None, None), ("s2", "b", None, None), ("s2", "c", None, D(2010, 1, 1)), ("s2", "me", None, None), ("b", "z", D(2030, 1, 1), None)]
+    links = spark.createDataFrame(links + [(b, a, x, y) for a, b, x, y in links], "node_id string, neighbour string, seen_from date, seen_to date")
+    asked = spark.createDataFrame([("q", "me", D(2020, 1, 1), "s1", 1), ("q", "me", D(2020, 1, 1), "s2", 2), ("one", None, None, "s2", 1), ("alone", None, None, "x", 1)], "query_id string, exclude string, as_of date, seed string, ord int")
+
+    def run(budget):
+        out = {}
+        for r in sorted(graph.expand_shared(asked, links, budget, 2).collect(), key=lambda r: r.position):
+            out.setdefault(r.query_id, []).append(r.node_id)
+        return out
+
+    assert run(8) == {"q": ["s1", "a", "b", "s2"], "one": ["s2", "b", "c", "me", "s1", "z"], "alone": ["x"]}
+    assert run(2) == {"q": ["s1", "s2"], "one": ["s2", "b"], "alone": ["x"]}
+    status = graph.with_status(spark.createDataFrame([("q", 2), ("none", 0), ("old", 3)], "query_id string, named int"), graph.expand_shared(asked, links, 4, 1))
+    assert {r.query_id: (r.status, r.nodes) for r in status.collect()} == {"q": ("ok", 4), "none": ("no_seed", 0), "old": ("no_eligible_seed", 0)}
