@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.ids import tidy
+from docketry.operators import beside
 from docketry.operators.asof import latest_delivery
 from docketry.session import materialise
 
@@ -125,20 +126,45 @@ def cocitation(seeds: DataFrame, citations: DataFrame, budget: int) -> DataFrame
     ``seeds``: query_id, exclude (a case), as_of, seed, ord. ``citations``: case_id, target, the date from which the
     citation may be seen. A candidate ranks by the seeds it shares a case with, then by such cases, then by its id.
     """
-    held = citations.select("case_id", F.col("target").alias("seed"), F.col("seen_from").alias("a"))
-    near = seeds.join(held, "seed").filter((F.col("case_id") != F.col("exclude")) & F.coalesce(F.col("a") <= F.col("as_of"), F.lit(True)))
-    near = near.select("query_id", "as_of", "case_id", "seed")
-    beside = near.join(citations, "case_id").filter(F.coalesce(F.col("seen_from") <= F.col("as_of"), F.lit(True)))
-    own = seeds.select("query_id", F.col("seed").alias("target"))
-    ranked = beside.join(own, ["query_id", "target"], "left_anti").groupBy("query_id", "target").agg(F.countDistinct("seed").alias("shared_seeds"), F.countDistinct("case_id").alias("support"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("shared_seeds"), F.desc("support"), "target")
+    names, cites = beside.numbered_citations(citations)
+    return _with_seeds(seeds, _ranked(seeds, names, cites, budget), names, budget)
+
+
+def _ranked(seeds: DataFrame, names: DataFrame, cites: DataFrame, budget: int) -> DataFrame:
+    return beside.ranked(beside.asked(seeds, names), materialise(beside.together(cites)), budget)
+
+
+def _with_seeds(seeds: DataFrame, ranked: DataFrame, names: DataFrame, budget: int) -> DataFrame:
     count = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    ranked = ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= budget).join(count, "query_id")
     first = seeds.select("query_id", F.col("ord").alias("position"), F.col("seed").alias("node_id"), F.lit(None).cast("long").alias("shared_seeds"), F.lit(None).cast("long").alias("support"))
-    rest = ranked.select("query_id", (F.col("n") + F.col("r")).cast("int").alias("position"), F.col("target").alias("node_id"), "shared_seeds", "support")
+    rest = ranked.join(names.select(F.col("no").alias("t"), F.col("name").alias("node_id")), "t").join(count, "query_id")
+    rest = rest.select("query_id", (F.col("n") + F.col("r")).cast("int").alias("position"), "node_id", "shared_seeds", "support")
     return first.unionByName(rest).filter(F.col("position") <= budget)
 
 
+def cocitation_links(seeds: DataFrame, citations: DataFrame, budget: int) -> DataFrame:
+    """``query_id, source_at, target_at``: nodes of :func:`cocitation` by position (from 0) that one case may be seen to cite both.
+
+    Two nodes meet by the first day and case that have both, and the first day of another case for the query that is that case.
+    """
+    names, cites = beside.numbered_citations(citations)
+    pairs = materialise(beside.together(cites))
+    rows = beside.asked(seeds, names)
+    ranked = beside.ranked(rows, pairs, budget)
+    count = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    rest = ranked.join(count, "query_id").select("query_id", F.struct(F.col("t").alias("no"), (F.col("n") + F.col("r") - 1).cast("int").alias("at")).alias("node"))
+    own = seeds.filter(F.col("ord") <= budget).join(names.select(F.col("name").alias("seed"), "no"), "seed").select("query_id", F.struct("no", (F.col("ord") - 1).cast("int").alias("at")).alias("node"))
+    queries = rows.groupBy("query_id").agg(F.first("x").alias("x"), F.first("day").alias("day"))
+    chosen = own.unionByName(rest).groupBy("query_id").agg(F.collect_list("node").alias("nodes")).join(queries, "query_id")
+    chosen = materialise(chosen.withColumn("q", F.monotonically_increasing_id()))
+    met = chosen.select("q", "x", "day", "nodes", F.explode("nodes").alias("a")).select("q", "x", "day", "a", F.explode(F.filter("nodes", lambda n: n["no"] > F.col("a.no"))).alias("b"))
+    met = met.select("q", "x", "day", F.col("a.no").alias("a"), F.col("b.no").alias("b"), F.shiftleft(F.col("a.at").cast("long"), 32).bitwiseOR(F.col("b.at").cast("long")).alias("at"))
+    linked = met.join(beside.first_two(pairs), ["a", "b"]).filter(F.when(F.col("c") == F.col("x"), F.col("later")).otherwise(F.col("d")) <= F.col("day")).select("q", "at")
+    one, two = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    both = linked.join(chosen.select("q", "query_id"), "q").select("query_id", F.explode(F.array(F.struct(one.alias("source_at"), two.alias("target_at")), F.struct(two.alias("source_at"), one.alias("target_at")))).alias("l"))
+    return both.select("query_id", "l.source_at", "l.target_at")
+
+
 def expand(seeds: DataFrame, adjacency: DataFrame, hops: int) -> DataFrame:
     """Breadth-first expansion of ``query_id, seed, budget``: ``query_id, seed, position, node_id, depth``.
 
