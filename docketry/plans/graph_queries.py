@@ -181,13 +181,7 @@ where exists (select 1 from cit x join cit y on x.case_id = y.case_id where x.ta
 def cocitation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between selected provisions that one eligible case cites."""
     seeds, cited = citations(spark, sf_dir)
-    cited, seeds = materialise(cited), materialise(seeds)
-    selected = materialise(graph.cocitation(seeds, cited, BUDGET).join(seeds.select("query_id", "as_of").distinct(), "query_id"))
-    hits = selected.join(cited.withColumnRenamed("target", "node_id"), "node_id").filter((F.col("case_id") != F.col("query_id")) & F.coalesce(F.col("seen_from") <= F.col("as_of"), F.lit(True)))
-    hits = hits.select("query_id", "case_id", "node_id", "position")
-    # the selected nodes of one query in one case: at most the budget of them meet
-    a, b = hits.select("query_id", "case_id", (F.col("position") - 1).alias("source_at")), hits.select("query_id", "case_id", (F.col("position") - 1).alias("target_at"))
-    return a.join(b, ["query_id", "case_id"]).filter("source_at <> target_at").select("query_id", "source_at", "target_at", F.lit(9).alias("relation")).distinct()
+    return graph.cocitation_links(materialise(seeds), materialise(cited), BUDGET).withColumn("relation", F.lit(9))
 
 
 _WALK = _CLEAN + f""",
