@@ -139,3 +139,70 @@ def test_seeds_share_a_budget(spark):
     assert run(2) == {"q": ["s1", "s2"], "one": ["s2", "b"], "alone": ["x"]}
     status = graph.with_status(spark.createDataFrame([("q", 2), ("none", 0), ("old", 3)], "query_id string, named int"), graph.expand_shared(asked, links, 4, 1))
     assert {r.query_id: (r.status, r.nodes) for r in status.collect()} == {"q": ("ok", 4), "none": ("no_seed", 0), "old": ("no_eligible_seed", 0)}
+
+
+def asked_and_cited(spark, seed, queries=40, cases=60, targets=14):
+    """Random requests and citations; some days, and one case to leave out, are NULL."""
+    rng = random.Random(seed)
+    some = lambda: rng.choice([None, *[D(2010 + y, 1, 1) for y in range(8)]])
+    cited = [(f"c{rng.randrange(cases):02}", f"p{rng.randrange(targets):02}", some()) for _ in range(cases * 4)]
+    asked = {f"q{i}": (None if i == 3 else f"c{rng.randrange(cases):02}", some(), rng.sample([f"p{k:02}" for k in range(targets + 1)], rng.randrange(1, 5))) for i in range(queries)}
+    seeds = spark.createDataFrame([(q, x, d, s, k + 1) for q, (x, d, ss) in asked.items() for k, s in enumerate(ss)], "query_id string, exclude string, as_of date, seed string, ord int")
+    return seeds, spark.createDataFrame(cited, "case_id string, target string, seen_from date"), asked, cited
+
+
+def seen_by(cited, x, day):
+    """What every case cites that may be seen on a day."""
+    out = {}
+    for c, t, d in cited:
+        if x is not None and c != x and (d is None or day is None or d <= day):
+            out.setdefault(c, set()).add(t)
+    return out
+
+
+def brute_cocitation(asked, cited, budget):
+    out = {}
+    for q, (x, day, ss) in asked.items():
+        shared, support = {}, {}
+        for c, ts in seen_by(cited, x, day).items():
+            for t in ts - set(ss):
+                if mine := ts & set(ss):
+                    shared.setdefault(t, set()).update(mine)
+                    support.setdefault(t, set()).add(c)
+        rest = sorted(shared, key=lambda t: (-len(shared[t]), -len(support[t]), t))
+        out[q] = ([(s, None, None) for s in ss] + [(t, len(shared[t]), len(support[t])) for t in rest])[:budget]
+    return out
+
+
+@pytest.mark.parametrize("budget", [3, 6, 30])
+def test_cocitation_goes_once_to_a_block(spark, budget):
+    """As by brute force, and what is cited together meets blocks of queries, not a row per query and citing case."""
+    seeds, citations, asked, cited = asked_and_cited(spark, budget)
+    df = graph.cocitation(seeds, citations, budget)
+    assert "CoGroups" in df._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: r.position):
+        got.setdefault(r.query_id, []).append((r.node_id, r.shared_seeds, r.support))
+    assert got == brute_cocitation(asked, cited, budget)
+
+
+def test_cocitation_links(spark):
+    seeds, citations, asked, cited = asked_and_cited(spark, 5)
+    got = {tuple(r) for r in graph.cocitation_links(seeds, citations, 8).collect()}
+    want = set()
+    for q, nodes in brute_cocitation(asked, cited, 8).items():
+        x, day, _ = asked[q]
+        for ts in seen_by(cited, x, day).values():
+            at = [i for i, (n, *_) in enumerate(nodes) if n in ts]
+            want |= {(q, i, j) for i in at for j in at if i != j}
+    assert got == want and want
+
+
+def test_coverage_of_cocitation(spark):
+    """Its counts come from blocks of queries too."""
+    from docketry.plans import graph_queries
+    from tests import oracle
+
+    df = graph_queries.cocitation_coverage(spark, oracle.FOLDER)
+    assert "CoGroups" in df._jdf.queryExecution().executedPlan().toString()
+    oracle.assert_same(df, oracle.connection().execute(graph_queries.CORE.oracle["cocitation_coverage"]))
