@@ -164,3 +164,79 @@ def first_two(pairs: DataFrame) -> DataFrame:
     rows = pairs.filter("s < t").withColumn("r", F.row_number().over(w)).filter("r <= 2")
     rows = rows.groupBy(F.col("s").alias("a"), F.col("t").alias("b")).agg(F.min(F.struct("d", "c")).alias("k"), F.max(F.when(F.col("r") == 2, F.col("d"))).alias("later"))
     return rows.select("a", "b", "k.d", "k.c", "later")
+
+
+def _hop_block(depth: int, rows: pa.Table, links: pa.Table) -> dict:
+    order = np.lexsort((column(links, "nb"), column(links, "of")))
+    of, nb, lo, hi = (column(links, k)[order] for k in ("of", "nb", "lo", "hi"))
+    nodes, first = np.unique(of, return_index=True)
+    ends = dict(zip(nodes.tolist(), zip(first.tolist(), np.append(first[1:], len(of))[: len(first)].tolist(), strict=True), strict=True))
+    s, x, node, at, part, far, since, until, ord_ = (column(rows, k) for k in ("s", "x", "node", "at", "part", "depth", "since", "until", "ord"))
+    source, found, places, done = [], [], [], []
+    for _, mine in by_query(rows):
+        seeds = np.unique(s[mine]).tolist()
+        mine = mine[np.lexsort((at[mine], ord_[mine], s[mine]))]
+        for own in np.split(mine, np.flatnonzero(np.diff(s[mine])) + 1):
+            one, last = own[0], int(at[own[-1]])
+            room, out, known = int(part[one]) - last, [], {*node[own].tolist(), int(x[one])}
+            for parent in own[(far[own] == depth - 1) & (at[own] < part[one])].tolist() if room > 0 else []:
+                a, z = ends.get(int(node[parent]), (0, 0))
+                for v in seeds if z > a else ():  # other seeds before others
+                    i, j = a + np.searchsorted(nb[a:z], [v, v + 1])
+                    if j > i and v not in known and len(out) < room and ((lo[i:j] <= until[one]) & (hi[i:j] >= since[one])).any():
+                        known.add(v)
+                        out.append(v)
+                size = 128
+                while a < z and len(out) < room:  # in their order, only as far as there is room
+                    b = min(a + size, z)
+                    for v in nb[a:b][(lo[a:b] <= until[one]) & (hi[a:b] >= since[one])].tolist():
+                        if v not in known:
+                            known.add(v)
+                            out.append(v)
+                            if len(out) == room:
+                                break
+                    a, size = b, size * 4
+                if len(out) == room:
+                    break
+            source += [one] * len(out)
+            found += out
+            places += range(last + 1, last + 1 + len(out))
+            done += [len(out) < room] * len(out)
+    kept = rows.take(pa.array(source, pa.int64()))
+    new = {"node": pa.array(found, pa.int64()), "at": pa.array(places, pa.int32()), "depth": pa.array([depth] * len(found), pa.int32()), "open": pa.array(done, pa.bool_())}
+    return {k: new.get(k, kept.column(k)) for k in rows.column_names}
+
+
+STATE = "block int, query_id string, x long, since int, until int, ord int, part int, s long, node long, at int, depth int, open boolean"
+
+
+def hop(visited: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+    """The nodes (``STATE``) that the seeds of all queries reach next, in order, as many as their parts have room for.
+
+    ``visited``: what was reached before; ``links``: of, nb, lo, hi. A node's links go once to a block of queries.
+    """
+
+    def solve(_: tuple, rows: pa.Table, links: pa.Table) -> pa.Table:
+        return pa.table(_hop_block(depth, rows, links))
+
+    parents = visited.filter(f"open and depth = {depth - 1} and at < part").groupBy("block", "node").agg(F.max("until").alias("most"))
+    here = parents.join(links, F.col("node") == F.col("of")).filter("lo <= most").select(F.col("block").alias("to"), "of", "nb", "lo", "hi")
+    return materialise(visited.filter("open or depth = 0").groupBy("block").cogroup(here.groupBy("to")).applyInArrow(solve, STATE))
+
+
+def expand(requests: DataFrame, links: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
+    """Names, and every node (``STATE``) that the seeds of ``requests (query_id, exclude, as_of, seed, ord, part)`` reach within so many hops."""
+    names = numbered(links.select("node_id"), links.select("neighbour"), requests.select("seed"), requests.select("exclude"))
+    number = lambda old, new: names.select(F.col("name").alias(old), F.col("no").alias(new))
+    near = links.join(number("node_id", "of"), "node_id").join(number("neighbour", "nb"), "neighbour")
+    near = materialise(near.select("of", "nb", day("seen_from", _EARLY).alias("lo"), day("seen_to", _LATE).alias("hi")).distinct())
+    rows = requests.join(number("seed", "s"), "seed").join(number("exclude", "x"), "exclude", "left")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(BLOCKS, requests.count() // ROWS))).cast("int")
+    start = rows.select(
+        block.alias("block"), "query_id", F.coalesce("x", F.lit(-1).cast("long")).alias("x"), day("as_of", _EARLY).alias("since"), day("as_of", _LATE).alias("until"), F.col("ord").cast("int").alias("ord"),
+        F.col("part").cast("int").alias("part"), "s", F.col("s").alias("node"), F.lit(1).alias("at"), F.lit(0).alias("depth"), (F.col("part") > 1).alias("open"),
+    )
+    visited = materialise(start)
+    for depth in range(1, hops + 1):
+        visited = visited.unionByName(hop(visited, near, depth))
+    return names, visited

@@ -208,23 +208,11 @@ def expand_shared(requests: DataFrame, links: DataFrame, budget: int, hops: int)
     and what is beyond the budget is cut off. Links not in force on the query's date, and the excluded node, do not exist.
     """
     sized = requests.withColumn("part", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.count(F.lit(1)).over(Window.partitionBy("query_id")))))
-    start = materialise(sized.select("query_id", "exclude", "as_of", "ord", "seed", "part", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.lit(1).alias("at")))
-    worth = start.select("query_id", F.col("seed").alias("neighbour"), F.lit(0).alias("rank")).distinct()
-    visited, level = start, start
-    of = ["query_id", "seed"]
-    for depth in range(1, hops + 1):
-        found = level.filter("at < part").withColumnRenamed("at", "parent_at").drop("depth").join(links, "node_id").filter(_seen("as_of") & (F.col("exclude").isNull() | (F.col("neighbour") != F.col("exclude"))))
-        found = found.groupBy("query_id", "exclude", "as_of", "ord", "seed", "part", "neighbour").agg(F.min("parent_at").alias("parent_at"))
-        found = found.join(visited.select(*of, F.col("node_id").alias("neighbour")), [*of, "neighbour"], "left_anti").join(worth, ["query_id", "neighbour"], "left")
-        last = visited.groupBy(*of).agg(F.max("at").alias("last"))
-        w = Window.partitionBy(*of).orderBy("parent_at", F.coalesce("rank", F.lit(1)), "neighbour")
-        # no more than the budget can be taken, whatever was taken before
-        level = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= budget).join(last, of).withColumn("at", F.col("last") + F.col("r")).filter("at <= part")
-        level = materialise(level.select("query_id", "exclude", "as_of", "ord", "seed", "part", F.col("neighbour").alias("node_id"), F.lit(depth).alias("depth"), "at"))
-        visited = visited.unionByName(level)
-    first = visited.groupBy("query_id", "node_id").agg(F.min(F.struct("ord", "at", "depth")).alias("k"))
+    names, visited = beside.expand(materialise(sized), links, hops)
+    first = visited.groupBy("query_id", "node").agg(F.min(F.struct("ord", "at", "depth")).alias("k"))
     w = Window.partitionBy("query_id").orderBy("k")
-    return first.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= budget).select("query_id", "position", "node_id", F.col("k.depth").alias("depth"))
+    chosen = first.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= budget)
+    return chosen.join(names.select(F.col("no").alias("node"), F.col("name").alias("node_id")), "node").select("query_id", "position", "node_id", F.col("k.depth").alias("depth"))
 
 
 def with_status(requested: DataFrame, selected: DataFrame) -> DataFrame:

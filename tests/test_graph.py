@@ -206,3 +206,33 @@ def test_coverage_of_cocitation(spark):
     df = graph_queries.cocitation_coverage(spark, oracle.FOLDER)
     assert "CoGroups" in df._jdf.queryExecution().executedPlan().toString()
     oracle.assert_same(df, oracle.connection().execute(graph_queries.CORE.oracle["cocitation_coverage"]))
+
+
+def test_shared_expansion_goes_once_to_a_block(spark):
+    """As by brute force, with NULL days and nobody left out, and a node's links meet blocks of queries, not each seed of each query."""
+    rng = random.Random(9)
+    some = lambda: rng.choice([None, *[D(2010 + y, 1, 1) for y in range(8)]])
+    links = {(f"n{rng.randrange(50):02}", f"n{rng.randrange(50):02}", some(), some()) for _ in range(220)} | {("n00", f"n{k:02}", None, None) for k in range(1, 50)}
+    links |= {(b, a, x, y) for a, b, x, y in links}
+    asked = {f"q{i}": (rng.choice([None, f"n{rng.randrange(50):02}"]), some(), rng.sample([f"n{k:02}" for k in range(51)], rng.randrange(1, 5))) for i in range(30)}
+    requests = spark.createDataFrame([(q, x, d, s, k + 1) for q, (x, d, ss) in asked.items() for k, s in enumerate(ss)], "query_id string, exclude string, as_of date, seed string, ord int")
+    budget, hops = 13, 3
+    df = graph.expand_shared(requests, spark.createDataFrame(sorted(links, key=str), "node_id string, neighbour string, seen_from date, seen_to date"), budget, hops)
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: r.position):
+        got.setdefault(r.query_id, []).append((r.node_id, r.depth))
+    for q, (x, day, ss) in asked.items():
+        near, walk = {}, {}
+        for a, b, lo, hi in links:
+            if b != x and (day is None or ((lo is None or lo <= day) and (hi is None or hi >= day))):
+                near.setdefault(a, set()).add(b)
+        for s in ss:
+            reached = [(s, 0)]
+            for depth in range(1, hops + 1):
+                for parent in [n for n, far in reached if far == depth - 1]:
+                    known = {n for n, _ in reached}
+                    reached += [(n, depth) for n in sorted(near.get(parent, set()) - known, key=lambda n: (n not in ss, n))]
+                reached = reached[: max(1, budget // len(ss))]
+            for n, depth in reached:
+                walk.setdefault(n, depth)
+        assert got[q] == list(walk.items())[:budget], q
