@@ -236,3 +236,17 @@ def test_shared_expansion_goes_once_to_a_block(spark):
             for n, depth in reached:
                 walk.setdefault(n, depth)
         assert got[q] == list(walk.items())[:budget], q
+
+
+def test_a_hop_stops_where_there_is_no_room():
+    """Seeds of the query first, then names in order, no more than the part; a block without links adds nothing."""
+    import pyarrow as pa
+
+    from docketry.operators import beside
+
+    row = {"block": 0, "query_id": "q", "x": 5, "since": 9, "until": 9, "ord": 1, "part": 4, "s": 1, "node": 1, "at": 1, "depth": 0, "open": True}
+    rows = pa.Table.from_pylist([row, row | {"s": 8, "node": 8, "ord": 2}])
+    links = pa.Table.from_pylist([{"of": 1, "nb": n, "lo": 10 if n == 3 else 0, "hi": 20} for n in range(2, 10_000)])
+    got = pa.table(beside._hop_block(1, rows, links)).to_pylist()
+    assert [(r["s"], r["node"], r["at"], r["open"]) for r in got] == [(1, 8, 2, False), (1, 2, 3, False), (1, 4, 4, False)]
+    assert pa.table(beside._hop_block(1, rows, links.slice(0, 0))).num_rows == 0
