@@ -6,7 +6,7 @@ both; a block's queries are then answered in memory by slices of arrays that are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,9 @@ def day(date: str, missing: int) -> Column:
     return F.coalesce(F.unix_date(date), F.lit(missing))
 
 
-def numbered_citations(citations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``name, no`` of all cases and targets; ``c, t, d``: who cites what, from which day."""
-    names = numbered(citations.select("case_id"), citations.select("target"))
+def numbered_citations(citations: DataFrame, *more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``name, no`` of all cases and targets, and of ``more``; ``c, t, d``: who cites what, from which day."""
+    names = numbered(citations.select("case_id"), citations.select("target"), *more)
     rows = citations.join(names.select(F.col("name").alias("case_id"), F.col("no").alias("c")), "case_id").join(names.select(F.col("name").alias("target"), F.col("no").alias("t")), "target")
     return names, materialise(rows.groupBy("c", "t").agg(F.min(day("seen_from", _EARLY)).alias("d")))
 
@@ -240,3 +240,64 @@ def expand(requests: DataFrame, links: DataFrame, hops: int) -> tuple[DataFrame,
     for depth in range(1, hops + 1):
         visited = visited.unionByName(hop(visited, near, depth))
     return names, visited
+
+
+def _tree_block(budget: int, tree: Callable[[list[int], set[tuple[int, int]]], list[int]], rows: pa.Table, cites: pa.Table) -> dict:
+    order = np.lexsort((column(cites, "d"), column(cites, "s")))
+    d = column(cites, "d")[order]
+    seeds, first = np.unique(column(cites, "s")[order], return_index=True)
+    last = np.append(first[1:], len(order))
+    targets, t = np.unique(column(cites, "t")[order], return_inverse=True)
+    cases, c = np.unique(column(cites, "c")[order], return_inverse=True)
+    own = targets[t] == column(cites, "s")[order]
+    least, kept = np.full(len(targets), len(cases)), np.zeros(len(cases), dtype=bool)
+    s, x, days, ord_ = (column(rows, k) for k in ("s", "x", "day", "ord"))
+    out: dict = {k: [] for k in ("query_id", "position", "node")}
+    for query, at in by_query(rows):
+        at = at[np.argsort(ord_[at], kind="stable")]
+        around, near, through = [], [], []
+        for one in set(s[at].tolist()) if x[at[0]] != NOBODY else ():
+            i = int(np.searchsorted(seeds, one))
+            if i < len(seeds) and seeds[i] == one:
+                part = slice(first[i], first[i] + int(np.searchsorted(d[first[i] : last[i]], days[at[0]], "right")))
+                some = cases[c[part]] != x[at[0]]
+                tt, cc = t[part][some], c[part][some]
+                np.minimum.at(least, tt, cc)  # the smallest case that cites the seed and another target
+                through.append(least[tt])
+                least[tt] = len(cases)
+                near.append(cc[own[part][some]])
+                around.append((cc, tt))
+        links: set[tuple[int, int]] = set()
+        if near:
+            u, n = _counts(np.concatenate(near), len(cases))
+            stay = np.concatenate([*through, u[_best(n, np.zeros_like(n), u, budget)]])
+            kept[stay] = True
+            for cc, tt in around:
+                links.update(zip(cases[cc[k := kept[cc]]].tolist(), targets[tt[k]].tolist(), strict=True))
+            kept[stay] = False
+        nodes = tree(s[at].tolist(), links)
+        out["query_id"] += [query] * len(nodes)
+        out["position"] += range(1, len(nodes) + 1)
+        out["node"] += nodes
+    return {"query_id": pa.array(out["query_id"], pa.string()), "position": pa.array(out["position"], pa.int32()), "node": pa.array(out["node"], pa.int64())}
+
+
+#: The node to leave out of a query that has none: comparisons with it are unknown, so no case is near.
+NOBODY = -2
+
+
+def trees(seeds: DataFrame, citations: DataFrame, budget: int, tree: Callable[[list[int], set[tuple[int, int]]], list[int]]) -> DataFrame:
+    """``query_id, position, node_id``: ``tree`` of every query's seeds and of the links around them that it can need."""
+
+    def solve(_: tuple, rows: pa.Table, cites: pa.Table) -> pa.Table:
+        return pa.table(_tree_block(budget, tree, rows, cites))
+
+    names, cites = numbered_citations(citations, seeds.select("seed"))
+    pairs = cites.select("c", F.col("t").alias("s"), F.col("d").alias("e")).join(cites, "c").select("s", "t", "c", F.greatest("d", "e").alias("d"))
+    left_out = F.when(F.col("exclude").isNull(), NOBODY).otherwise(F.coalesce("x", F.lit(-1))).cast("long")
+    rows = seeds.join(names.select(F.col("name").alias("seed"), F.col("no").alias("s")), "seed").join(names.select(F.col("name").alias("exclude"), F.col("no").alias("x")), "exclude", "left")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(BLOCKS, seeds.count() // ROWS))).cast("int")
+    rows = materialise(rows.select(block.alias("block"), "query_id", left_out.alias("x"), day("as_of", _LATE).alias("day"), F.col("ord").cast("int").alias("ord"), "s"))
+    here = rows.groupBy("block", "s").agg(F.max("day").alias("most")).join(materialise(pairs), "s").filter("d <= most").select(F.col("block").alias("to"), F.col("s").alias("of"), "t", "c", "d").withColumnRenamed("of", "s")
+    found = rows.groupBy("block").cogroup(here.groupBy("to")).applyInArrow(solve, "query_id string, position int, node long")
+    return found.join(names.select(F.col("no").alias("node"), F.col("name").alias("node_id")), "node").select("query_id", "position", "node_id")

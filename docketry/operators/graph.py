@@ -323,3 +323,12 @@ def steiner_trees(seeds: DataFrame, links: DataFrame, budget: int, hops: int) ->
 
     # what was computed from the seeds is cut off: both sides would have the same columns
     return seeds.groupBy("query_id").cogroup(materialise(links).groupBy("query_id")).applyInPandas(solve, "query_id string, position int, node_id string")
+
+
+def near_trees(seeds: DataFrame, citations: DataFrame, budget: int, hops: int) -> DataFrame:
+    """The trees of :func:`steiner_trees` over :func:`near_links`, whose links never leave the block of queries that needs them."""
+
+    def tree(start: list[int], links: set[tuple[int, int]]) -> list[int]:
+        return steiner_tree(start, links, budget, hops)
+
+    return beside.trees(seeds, citations, budget, tree)

@@ -311,9 +311,7 @@ def fixture_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def steiner_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prize-collecting tree per judgment, over the neighbourhood of its provisions."""
     seeds, cited = citations(spark, sf_dir)
-    seeds, cited = materialise(seeds), materialise(cited)
-    links = graph.near_links(seeds, cited, BUDGET)
-    return graph.steiner_trees(seeds.select("query_id", "seed", "ord"), materialise(links), BUDGET, HOPS)
+    return graph.near_trees(materialise(seeds), materialise(cited), BUDGET, HOPS)
 
 
 @CORE.add("random_control", "RET-08", "SRT-05", "SET-06", sql=_CLEAN + f"""

@@ -250,3 +250,11 @@ def test_a_hop_stops_where_there_is_no_room():
     got = pa.table(beside._hop_block(1, rows, links)).to_pylist()
     assert [(r["s"], r["node"], r["at"], r["open"]) for r in got] == [(1, 8, 2, False), (1, 2, 3, False), (1, 4, 4, False)]
     assert pa.table(beside._hop_block(1, rows, links.slice(0, 0))).num_rows == 0
+
+
+def test_trees_of_blocks(spark):
+    """Trees whose links stay in the block of the query are those over near_links, with NULL days and nobody left out too."""
+    seeds, citations, asked, _ = asked_and_cited(spark, 7)
+    of = lambda df: {(r.query_id, r.position, r.node_id) for r in df.collect()}
+    got = of(graph.near_trees(seeds, citations, 6, 2))
+    assert got == of(graph.steiner_trees(seeds, graph.near_links(seeds, citations, 6), 6, 2)) and {q for q, *_ in got} == set(asked)
