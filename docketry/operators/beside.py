@@ -230,6 +230,24 @@ def expand(requests: DataFrame, links: DataFrame, hops: int) -> tuple[DataFrame,
     number = lambda old, new: names.select(F.col("name").alias(old), F.col("no").alias(new))
     near = links.join(number("node_id", "of"), "node_id").join(number("neighbour", "nb"), "neighbour")
     near = materialise(near.select("of", "nb", day("seen_from", _EARLY).alias("lo"), day("seen_to", _LATE).alias("hi")).distinct())
+    return names, walked(requests, names, near, hops)
+
+
+def numbered_links(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``name, no`` of all nodes, and ``of, nb, lo, hi``: the dated links of edges, which are numbers as soon as they meet their ends."""
+    ends = nodes.select("node_id", F.greatest("available_from", "decision_date").alias("from"), F.col("available_to").alias("to"))
+    ends = materialise(ends.orderBy("node_id").withColumn("no", F.monotonically_increasing_id()))
+    end = lambda side: ends.select(F.col("node_id").alias(f"{side}_id"), F.col("no").alias(side), F.col("from").alias(f"{side}_from"), F.col("to").alias(f"{side}_to"))
+    rows = edges.join(end("source"), "source_id").join(end("target"), "target_id")
+    rows = rows.select("source", "target", F.greatest("available_from", "source_decision_date", "source_from", "target_from").alias("seen_from"), F.least("available_to", "source_to", "target_to").alias("seen_to"))
+    ways = F.explode(F.array(F.struct(F.col("source").alias("of"), F.col("target").alias("nb")), F.struct(F.col("target").alias("of"), F.col("source").alias("nb"))))
+    near = rows.select(ways.alias("way"), day("seen_from", _EARLY).alias("lo"), day("seen_to", _LATE).alias("hi")).select("way.of", "way.nb", "lo", "hi")
+    return ends.select(F.col("node_id").alias("name"), "no"), materialise(near.distinct())
+
+
+def walked(requests: DataFrame, names: DataFrame, near: DataFrame, hops: int) -> DataFrame:
+    """Every node (``STATE``) that the seeds of ``requests`` reach over ``near (of, nb, lo, hi)`` within so many hops."""
+    number = lambda old, new: names.select(F.col("name").alias(old), F.col("no").alias(new))
     rows = requests.join(number("seed", "s"), "seed").join(number("exclude", "x"), "exclude", "left")
     block = F.pmod(F.xxhash64("query_id"), F.lit(max(BLOCKS, requests.count() // ROWS))).cast("int")
     start = rows.select(
@@ -239,7 +257,7 @@ def expand(requests: DataFrame, links: DataFrame, hops: int) -> tuple[DataFrame,
     visited = materialise(start)
     for depth in range(1, hops + 1):
         visited = visited.unionByName(hop(visited, near, depth))
-    return names, visited
+    return visited
 
 
 def _tree_block(budget: int, tree: Callable[[list[int], set[tuple[int, int]]], list[int]], rows: pa.Table, cites: pa.Table) -> dict:

@@ -207,20 +207,37 @@ def expand_shared(requests: DataFrame, links: DataFrame, budget: int, hops: int)
     others, then by id. The parts are put one after the other in the order of the seeds, a node counts where it is first,
     and what is beyond the budget is cut off. Links not in force on the query's date, and the excluded node, do not exist.
     """
-    sized = requests.withColumn("part", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.count(F.lit(1)).over(Window.partitionBy("query_id")))))
-    names, visited = beside.expand(materialise(sized), links, hops)
+    names, visited = beside.expand(materialise(_with_parts(requests, budget)), links, hops)
     first = visited.groupBy("query_id", "node").agg(F.min(F.struct("ord", "at", "depth")).alias("k"))
     w = Window.partitionBy("query_id").orderBy("k")
     chosen = first.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= budget)
     return chosen.join(names.select(F.col("no").alias("node"), F.col("name").alias("node_id")), "node").select("query_id", "position", "node_id", F.col("k.depth").alias("depth"))
 
 
+def _with_parts(requests: DataFrame, budget: int) -> DataFrame:
+    return requests.withColumn("part", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.count(F.lit(1)).over(Window.partitionBy("query_id")))))
+
+
+def expansion_sizes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, budget: int, hops: int) -> DataFrame:
+    """``query_id, nodes``: how many nodes :func:`expand_shared` selects over the :func:`dated_links` of ``edges``.
+
+    Every seed is one of ``nodes``. Links are numbers as soon as they are made, and no node gets its place or its name.
+    """
+    names, near = beside.numbered_links(edges, nodes)
+    visited = beside.walked(materialise(_with_parts(requests, budget)), names, near, hops)
+    return visited.groupBy("query_id").agg(F.least(F.lit(budget).cast("long"), F.countDistinct("node")).alias("nodes"))
+
+
 def with_status(requested: DataFrame, selected: DataFrame) -> DataFrame:
     """``query_id, status, nodes`` of every request (``query_id, named``: seeds that it names, in force or not).
 
     ``ok`` with nodes; else ``no_seed`` where it names none, ``no_eligible_seed`` where none is in force.
     """
-    sizes = selected.groupBy("query_id").agg(F.count(F.lit(1)).alias("nodes"))
+    return sized_status(requested, selected.groupBy("query_id").agg(F.count(F.lit(1)).alias("nodes")))
+
+
+def sized_status(requested: DataFrame, sizes: DataFrame) -> DataFrame:
+    """:func:`with_status` of ``sizes (query_id, nodes)``, which has no request without nodes."""
     rows = requested.join(sizes, "query_id", "left")
     status = F.when(F.col("nodes").isNotNull(), "ok").when(F.col("named") > 0, "no_eligible_seed").otherwise("no_seed")
     return rows.select("query_id", status.alias("status"), F.coalesce("nodes", F.lit(0)).alias("nodes"))

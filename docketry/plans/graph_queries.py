@@ -152,11 +152,24 @@ def citations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ok = refers.filter("origin_split = 'train' and available_to is null").join(s, "source_id").filter("st is null").join(t, "target_id")
     seen = F.greatest("source_decision_date", "available_from", "sd", "sf", "tf")
     cited = ok.groupBy(F.col("source_id").alias("case_id"), F.col("target_id").alias("target")).agg(F.min(seen).alias("seen_from"))
-    queries = table(spark, sf_dir, "judgments").filter("case_id is not null and decision_date is not null").groupBy(tidy("case_id").alias("query_id")).agg(F.min("decision_date").alias("as_of"))
+    return in_order(named(refers, nodes, requested(spark, sf_dir)).filter("valid")), cited
+
+
+def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, as_of``: one per judgment with a date."""
+    return table(spark, sf_dir, "judgments").filter("case_id is not null and decision_date is not null").groupBy(tidy("case_id").alias("query_id")).agg(F.min("decision_date").alias("as_of"))
+
+
+def named(refers: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, exclude, as_of, seed, valid``: the provisions that each query's judgment names, and whether they are in force on its date."""
     own = refers.select(F.col("source_id").alias("query_id"), F.col("target_id").alias("seed")).distinct().join(queries, "query_id")
-    window = t.select(F.col("target_id").alias("seed"), F.col("tf").alias("available_from"), F.col("tt").alias("available_to"), F.lit(None).cast("date").alias("decision_date"))
-    own = own.join(window, "seed").filter(graph.in_force(F.col("as_of"))).select("query_id", F.col("query_id").alias("exclude"), "as_of", "seed")
-    return own.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("seed"))), cited
+    window = nodes.filter("node_type = 'provision'").select(F.col("node_id").alias("seed"), "available_from", "available_to", F.lit(None).cast("date").alias("decision_date"))
+    return own.join(window, "seed").select("query_id", F.col("query_id").alias("exclude"), "as_of", "seed", graph.in_force(F.col("as_of")).alias("valid"))
+
+
+def in_order(seeds: DataFrame) -> DataFrame:
+    """Requests: seeds with their place in their query."""
+    return seeds.select("query_id", "exclude", "as_of", "seed", F.row_number().over(Window.partitionBy("query_id").orderBy("seed")).alias("ord"))
 
 
 @CORE.add("cocitation", "RET-06", "RET-04", "JOIN-13", "RET-10", sql=_CITED + "select query_id, position::int position, node_id, shared_seeds, support from sel")
@@ -270,10 +283,13 @@ select q.query_id, case when count(c.node_id) > 0 then 'ok' when exists (select
 def expansion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of every request: nodes, or why there are none."""
     nodes, edges = cleaned(spark, sf_dir)
-    named = edges.filter("relation_type = 'refers_to_provision'").select(F.col("source_id").alias("query_id"), F.col("target_id").alias("node_id")).distinct()
-    named = named.join(nodes.filter("node_type = 'provision'").select("node_id"), "node_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("named"))
-    queries = table(spark, sf_dir, "judgments").filter("case_id is not null and decision_date is not null").select(tidy("case_id").alias("query_id")).distinct()
-    return graph.with_status(queries.join(named, "query_id", "left"), shared(spark, sf_dir)[2])
+    nodes = materialise(nodes.select("node_id", "node_type", "available_from", "available_to", "decision_date"))
+    links, refers = "origin_split = 'train' and relation_type <> 'decided_by'", "relation_type = 'refers_to_provision'"
+    edges = materialise(edges.filter(f"{links} or {refers}").select("relation_type", "source_id", "target_id", "origin_split", "available_from", "available_to", "source_decision_date"))
+    queries = requested(spark, sf_dir)
+    asked = materialise(named(edges.filter(refers), nodes, queries))
+    sizes = graph.expansion_sizes(in_order(asked.filter("valid")), edges.filter(links), nodes, BUDGET, HOPS)
+    return graph.sized_status(queries.select("query_id").join(asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("named")), "query_id", "left"), sizes)
 
 
 @CORE.add("expansion_triples", "RET-05", "JOIN-14", sql=_SHARED + f"""

@@ -258,3 +258,25 @@ def test_trees_of_blocks(spark):
     of = lambda df: {(r.query_id, r.position, r.node_id) for r in df.collect()}
     got = of(graph.near_trees(seeds, citations, 6, 2))
     assert got == of(graph.steiner_trees(seeds, graph.near_links(seeds, citations, 6), 6, 2)) and {q for q, *_ in got} == set(asked)
+
+
+def test_sizes_of_expansions(spark, monkeypatch):
+    """As many nodes as the expansions have, with NULL days and nobody left out; the status cleans the graph once."""
+    from docketry.plans import graph_queries
+    from tests import oracle
+
+    rng = random.Random(11)
+    some = lambda: rng.choice([None, *[D(2010 + y, 1, 1) for y in range(8)]])
+    nodes = spark.createDataFrame([(f"n{k:02}", some(), None if k % 3 else some(), some()) for k in range(40)], "node_id string, available_from date, available_to date, decision_date date")
+    edges = [("cites", f"n{rng.randrange(42):02}", f"n{rng.randrange(42):02}", some(), None, some()) for _ in range(150)] + [("cites", "n00", f"n{k:02}", None, None, None) for k in range(40)]
+    edges = spark.createDataFrame(edges, "relation_type string, source_id string, target_id string, available_from date, available_to date, source_decision_date date")
+    asked = [(f"q{i}", rng.choice([None, "nobody", f"n{rng.randrange(40):02}"]), some(), s, k + 1) for i in range(30) for k, s in enumerate(rng.sample([f"n{k:02}" for k in range(40)], rng.randrange(1, 5)))]
+    requests = spark.createDataFrame(asked, "query_id string, exclude string, as_of date, seed string, ord int")
+    links = graph.dated_links(edges, nodes).select("node_id", "neighbour", "seen_from", "seen_to")
+    for budget in (3, 13):
+        want = {r["query_id"]: r["count"] for r in graph.expand_shared(requests, links, budget, 2).groupBy("query_id").count().collect()}
+        assert {r.query_id: r.nodes for r in graph.expansion_sizes(requests, edges, nodes, budget, 2).collect()} == want and len(want) == 30
+    times, cleaned = [], graph_queries.cleaned
+    monkeypatch.setattr(graph_queries, "cleaned", lambda *a: times.append(a) or cleaned(*a))
+    oracle.assert_same(graph_queries.expansion_status(spark, oracle.FOLDER), oracle.connection().execute(graph_queries.CORE.oracle["expansion_status"]))
+    assert len(times) == 1
