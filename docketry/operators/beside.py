@@ -166,6 +166,70 @@ def first_two(pairs: DataFrame) -> DataFrame:
     return rows.select("a", "b", "k.d", "k.c", "later")
 
 
+def earliest(pairs: DataFrame, budget: int) -> DataFrame:
+    """``s, t, c, d, later``: :func:`first_two` from both sides, as many targets of a seed as a count up to ``budget`` can need.
+
+    Of a seed and a first case the ``budget`` targets seen first and the ``budget`` that another case shows first stay, then of a seed the first
+    three times ``budget``. Whatever case a query leaves out and whatever its date, of what it sees beside a seed either all is here, or ``budget``
+    targets are: at most two thirds of those that stay have that case as their first, and what goes stands behind ``budget`` that are seen when it is.
+    """
+    from pyspark.sql import Window
+
+    rows = first_two(pairs).select("d", "c", F.coalesce(F.col("later").cast("long"), F.lit(_LATE + 1)).alias("later"), F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("t")), F.struct(F.col("b").alias("s"), F.col("a").alias("t")))).alias("two"))
+    rows = rows.select("two.s", "two.t", "c", "d", "later").repartition("s")
+    of, r = Window.partitionBy("s", "c"), F.row_number()
+    rows = rows.withColumn("p", r.over(of.orderBy("d", "t"))).withColumn("u", r.over(of.orderBy("later", "t"))).filter((F.col("p") <= budget) | (F.col("u") <= budget))
+    return rows.withColumn("r", r.over(Window.partitionBy("s").orderBy("d", "t"))).filter(F.col("r") <= 3 * budget).select("s", "t", "c", "d", "later")
+
+
+#: Targets that are compared at once, about.
+AT_ONCE = 2_000_000
+
+
+def _cover_block(rows: pa.Table, pairs: pa.Table) -> dict:
+    order = np.lexsort((column(pairs, "d"), column(pairs, "s")))
+    c, d, later = (column(pairs, k)[order] for k in ("c", "d", "later"))
+    seeds, first, of = np.unique(column(pairs, "s")[order], return_index=True, return_inverse=True)
+    targets, t = np.unique(column(pairs, "t")[order], return_inverse=True)
+    when = (of.astype(np.int64) << 32) + d.astype(np.int64) - _EARLY
+    ids = rows.column("query_id").combine_chunks().dictionary_encode()
+    code = ids.indices.to_numpy()
+    by = np.argsort(code, kind="stable")
+    q, (s, x, days) = code[by].astype(np.int64), (column(rows, k)[by] for k in ("s", "x", "day"))
+    i = np.searchsorted(seeds, s)
+    i[i == len(seeds)] = 0
+    there = seeds[i] == s if len(seeds) else np.zeros(len(s), dtype=bool)
+    lo = np.where(there, first[i], 0) if len(seeds) else np.zeros(len(s), dtype=np.int64)
+    n = np.where(there, np.searchsorted(when, (i.astype(np.int64) << 32) + days.astype(np.int64) - _EARLY, "right") - lo, 0)
+    out = np.zeros(len(ids.dictionary), dtype=np.int64)
+    starts = np.flatnonzero(np.diff(q, prepend=-1))  # cut where a query begins
+    groups = np.cumsum(n)[starts] // AT_ONCE
+    cuts = np.append(starts[np.flatnonzero(np.diff(groups, prepend=-1))], len(q))
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        row = np.repeat(np.arange(a, z), n[a:z])
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n[a:z]) - n[a:z], n[a:z]) + lo[row]
+        seen = (c[at] != x[row]) | (later[at] <= days[row])
+        found = np.unique(q[row[seen]] * len(targets) + t[at[seen]])
+        j = np.searchsorted(targets, s[a:z])
+        own = j < len(targets)
+        own[own] = targets[j[own]] == s[a:z][own]
+        found = found[~np.isin(found, q[a:z][own] * len(targets) + j[own])]  # a seed is no candidate
+        if len(found):
+            out += np.bincount(found // len(targets), minlength=len(out))
+    return {"query_id": ids.dictionary, "more": pa.array(out, pa.int64())}
+
+
+def covered(rows: DataFrame, pairs: DataFrame, budget: int) -> DataFrame:
+    """``query_id, more``: how many targets stand beside the seeds of a query (:func:`asked`); exact up to what its budget leaves, at least that beyond."""
+
+    def solve(_: tuple, rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        return pa.table(_cover_block(rows, pairs))
+
+    here = rows.groupBy("block", "s").agg(F.max("day").alias("most")).join(earliest(pairs, budget).withColumnRenamed("s", "of"), F.col("s") == F.col("of")).filter("d <= most")
+    here = here.select(F.col("block").alias("to"), F.col("of").alias("s"), "t", "c", "d", "later")
+    return rows.groupBy("block").cogroup(here.groupBy("to")).applyInArrow(solve, "query_id string, more long")
+
+
 def _hop_block(depth: int, rows: pa.Table, links: pa.Table) -> dict:
     order = np.lexsort((column(links, "nb"), column(links, "of")))
     of, nb, lo, hi = (column(links, k)[order] for k in ("of", "nb", "lo", "hi"))

@@ -142,6 +142,14 @@ def _with_seeds(seeds: DataFrame, ranked: DataFrame, names: DataFrame, budget: i
     return first.unionByName(rest).filter(F.col("position") <= budget)
 
 
+def cocitation_sizes(seeds: DataFrame, citations: DataFrame, budget: int) -> DataFrame:
+    """``query_id, nodes``: how many nodes :func:`cocitation` selects, which takes no ranking."""
+    names, cites = beside.numbered_citations(citations)
+    more = beside.covered(beside.asked(seeds, names), beside.together(cites), budget)
+    count = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return count.join(more, "query_id", "left").select("query_id", F.least(F.lit(budget).cast("long"), F.col("n") + F.coalesce("more", F.lit(0))).alias("nodes"))
+
+
 def cocitation_links(seeds: DataFrame, citations: DataFrame, budget: int) -> DataFrame:
     """``query_id, source_at, target_at``: nodes of :func:`cocitation` by position (from 0) that one case may be seen to cite both.
 

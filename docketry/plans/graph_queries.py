@@ -147,12 +147,16 @@ def citations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Requests (one per judgment with a date, its own provisions as seeds) and the train citations with their first day."""
     nodes, edges = cleaned(spark, sf_dir)
     refers = edges.filter("relation_type = 'refers_to_provision'")
+    return in_order(named(refers, nodes, requested(spark, sf_dir)).filter("valid")), seen(refers, nodes)
+
+
+def seen(refers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``case_id, target, seen_from``: the train citations with their first day."""
     s = nodes.select(F.col("node_id").alias("source_id"), F.col("decision_date").alias("sd"), F.col("available_from").alias("sf"), F.col("available_to").alias("st"))
     t = nodes.filter("node_type = 'provision'").select(F.col("node_id").alias("target_id"), F.col("available_from").alias("tf"), F.col("available_to").alias("tt"))
     ok = refers.filter("origin_split = 'train' and available_to is null").join(s, "source_id").filter("st is null").join(t, "target_id")
-    seen = F.greatest("source_decision_date", "available_from", "sd", "sf", "tf")
-    cited = ok.groupBy(F.col("source_id").alias("case_id"), F.col("target_id").alias("target")).agg(F.min(seen).alias("seen_from"))
-    return in_order(named(refers, nodes, requested(spark, sf_dir)).filter("valid")), cited
+    first = F.greatest("source_decision_date", "available_from", "sd", "sf", "tf")
+    return ok.groupBy(F.col("source_id").alias("case_id"), F.col("target_id").alias("target")).agg(F.min(first).alias("seen_from"))
 
 
 def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +186,12 @@ def cocitation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CORE.add("cocitation_coverage", "AGG-12", sql=_CITED + f"""
 select count(*) n_queries, avg((k is not null)::int::double) share_with_graph, avg(k) mean_nodes from q left join (select query_id, count(*) k from sel group by 1) using (query_id)""")
 def cocitation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = table(spark, sf_dir, "judgments").filter("case_id is not null and decision_date is not null").select(tidy("case_id").alias("query_id")).distinct()
-    sizes = cocitation(spark, sf_dir).groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
-    return queries.join(sizes, "query_id", "left").agg(F.count(F.lit(1)).alias("n_queries"), F.avg(F.col("k").isNotNull().cast("int")).alias("share_with_graph"), F.avg("k").alias("mean_nodes"))
+    nodes, edges = cleaned(spark, sf_dir)
+    nodes = materialise(nodes.select("node_id", "node_type", "available_from", "available_to", "decision_date"))
+    refers = materialise(edges.filter("relation_type = 'refers_to_provision'").select("source_id", "target_id", "origin_split", "available_from", "available_to", "source_decision_date"))
+    queries = requested(spark, sf_dir)
+    sizes = graph.cocitation_sizes(materialise(in_order(named(refers, nodes, queries).filter("valid"))), materialise(seen(refers, nodes)), BUDGET).withColumnRenamed("nodes", "k")
+    return queries.select("query_id").join(sizes, "query_id", "left").agg(F.count(F.lit(1)).alias("n_queries"), F.avg(F.col("k").isNotNull().cast("int")).alias("share_with_graph"), F.avg("k").alias("mean_nodes"))
 
 
 @CORE.add("cocitation_links", "RET-06", "RET-11", sql=_CITED + """

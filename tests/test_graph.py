@@ -280,3 +280,17 @@ def test_sizes_of_expansions(spark, monkeypatch):
     monkeypatch.setattr(graph_queries, "cleaned", lambda *a: times.append(a) or cleaned(*a))
     oracle.assert_same(graph_queries.expansion_status(spark, oracle.FOLDER), oracle.connection().execute(graph_queries.CORE.oracle["expansion_status"]))
     assert len(times) == 1
+
+
+@pytest.mark.parametrize("budget", [1, 2, 4, 30])
+def test_sizes_of_cocitation(spark, budget, monkeypatch):
+    """As many nodes as by brute force, though a seed sends no more than three budgets of targets to a block."""
+    from docketry.operators import beside
+
+    monkeypatch.setattr(beside, "AT_ONCE", 20)
+    for seed in (budget, budget + 50):
+        seeds, citations, asked, cited = asked_and_cited(spark, seed, cases=25, targets=30)
+        got = {r.query_id: r.nodes for r in graph.cocitation_sizes(seeds, citations, budget).collect()}
+        assert got == {q: len(nodes) for q, nodes in brute_cocitation(asked, cited, budget).items()}
+    _, cites = beside.numbered_citations(citations)
+    assert max(r["count"] for r in beside.earliest(beside.together(cites), budget).groupBy("s").count().collect()) <= 3 * budget
