@@ -46,13 +46,13 @@ def together(cites: DataFrame) -> DataFrame:
 
 
 def asked(seeds: DataFrame, names: DataFrame) -> DataFrame:
-    """``block, query_id, x, day, s, n``: cited seeds of queries with a node to leave out; ``n``: all seeds of the query."""
+    """``block, query_id, x, day, s, n, ord``: cited seeds of queries with a node to leave out; ``n``: all seeds of the query."""
     of = names.select(F.col("name").alias("seed"), F.col("no").alias("s"))
     left_out = names.select(F.col("name").alias("exclude"), F.col("no").alias("x"))
     count = seeds.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     rows = seeds.filter("exclude is not null").join(count, "query_id").join(of, "seed").join(left_out, "exclude", "left")
     blocks = max(BLOCKS, seeds.count() // ROWS)
-    return materialise(rows.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", F.coalesce("x", F.lit(-1).cast("long")).alias("x"), day("as_of", _LATE).alias("day"), "s", "n"))
+    return materialise(rows.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", F.coalesce("x", F.lit(-1).cast("long")).alias("x"), day("as_of", _LATE).alias("day"), "s", "n", F.col("ord").cast("int").alias("ord")))
 
 
 def column(table: pa.Table, name: str) -> np.ndarray:
@@ -146,14 +146,91 @@ def _rank_block(budget: int, rows: pa.Table, pairs: pa.Table) -> dict:
     return {"query_id": pa.array(out["query_id"], pa.string())} | {k: pa.array(np.concatenate(out[k]).astype(kind) if out[k] else np.array([], kind)) for k, kind in kinds.items()}
 
 
+def _near(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``to, s, t, c, d``: what the seeds of a block are cited with."""
+    here = rows.groupBy("block", "s").agg(F.max("day").alias("most")).join(pairs, "s").filter("d <= most")
+    return here.select(F.col("block").alias("to"), F.col("s").alias("of"), "t", "c", "d").withColumnRenamed("of", "s")
+
+
 def ranked(rows: DataFrame, pairs: DataFrame, budget: int) -> DataFrame:
     """``query_id, r, t, shared_seeds, support``: the best targets beside a query's seeds, as many as its budget leaves."""
 
     def solve(_: tuple, rows: pa.Table, pairs: pa.Table) -> pa.Table:
         return pa.table(_rank_block(budget, rows, pairs))
 
-    here = rows.groupBy("block", "s").agg(F.max("day").alias("most")).join(pairs, "s").filter("d <= most").select(F.col("block").alias("to"), F.col("s").alias("of"), "t", "c", "d").withColumnRenamed("of", "s")
-    return rows.groupBy("block").cogroup(here.groupBy("to")).applyInArrow(solve, "query_id string, r int, t long, shared_seeds long, support long")
+    return rows.groupBy("block").cogroup(_near(rows, pairs).groupBy("to")).applyInArrow(solve, "query_id string, r int, t long, shared_seeds long, support long")
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
+
+
+def _choose_block(budget: int, rows: pa.Table, pairs: pa.Table) -> dict:
+    more = _rank_block(budget, rows, pairs)
+    ids = pa.chunked_array([*rows.column("query_id").chunks, more["query_id"]], pa.string()).combine_chunks().dictionary_encode()
+    code, n = ids.indices.to_numpy(), column(rows, "n")
+    one = np.unique(code[: len(n)], return_index=True)[1]  # a row of every query
+    no = np.concatenate([column(rows, "s"), more["t"].to_numpy()])
+    at = np.concatenate([column(rows, "ord") - 1, n[one][code[len(n) :]] + more["r"].to_numpy() - 1])
+    code, no, at = (v[at < budget] for v in (code, no, at))
+    order, sizes = np.lexsort((no, code)), np.bincount(code, minlength=len(one))
+    out = {k: rows.column(k).take(pa.array(one)) for k in ("block", "query_id", "x", "day")}
+    return out | {"nodes": _lists(no[order], sizes, pa.int64()), "at": _lists(at[order], sizes, pa.int32())}
+
+
+def chosen(rows: DataFrame, pairs: DataFrame, budget: int) -> DataFrame:
+    """``block, query_id, x, day, nodes, at``: the nodes of every query (its seeds, then :func:`ranked`) in their order, and their positions from 0."""
+
+    def solve(_: tuple, rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        return pa.table(_choose_block(budget, rows, pairs))
+
+    return rows.groupBy("block").cogroup(_near(rows, pairs).groupBy("to")).applyInArrow(solve, "block int, query_id string, x long, day int, nodes array<long>, at array<int>")
+
+
+def _link_block(rows: pa.Table, meets: pa.Table) -> dict:
+    a, b, d, c, later = (column(meets, k) for k in ("a", "b", "d", "c", "later"))
+    names = np.unique(np.concatenate([a, b]))
+    key = np.searchsorted(names, a) * len(names) + np.searchsorted(names, b)
+    order = np.argsort(key)
+    key, d, c, later = (v[order] for v in (key, d, c, later))
+    nodes, at = (rows.column(k).combine_chunks() for k in ("nodes", "at"))
+    sizes = np.diff(nodes.offsets.to_numpy())
+    q, no, at = np.repeat(np.arange(len(sizes)), sizes), nodes.flatten().to_numpy(), at.flatten().to_numpy().astype(np.int64)
+    i = np.searchsorted(names, no)
+    known = i < len(names)
+    known[known] = names[i[known]] == no[known]  # others meet nobody
+    q, i, at = q[known], i[known], at[known]
+    x, day = column(rows, "x"), column(rows, "day")
+    after = np.cumsum(np.bincount(q, minlength=len(sizes)))[q] - np.arange(len(q)) - 1  # nodes of the query behind a node
+    found, met = [np.array([], np.int64)], np.zeros(len(sizes), dtype=np.int64)
+    groups = np.cumsum(after) // AT_ONCE
+    cuts = np.append(np.flatnonzero(np.diff(groups, prepend=-1)), len(q))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        n = after[lo:hi]
+        one = np.repeat(np.arange(lo, hi), n)
+        two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
+        pair = i[one] * len(names) + i[two]
+        k = np.minimum(np.searchsorted(key, pair), len(key) - 1)
+        of = q[one]
+        seen = (key[k] == pair) & (np.where(c[k] == x[of], later[k], d[k]) <= day[of])
+        found.append(at[one[seen]] << 32 | at[two[seen]])
+        met += np.bincount(of[seen], minlength=len(met))
+    return {"query_id": rows.column("query_id"), "links": _lists(np.concatenate(found), met, pa.int64())}
+
+
+def linked(asking: DataFrame, meets: DataFrame) -> DataFrame:
+    """``query_id, links``: two positions in one number, of nodes of a query (:func:`chosen`) that meet (:func:`first_two`) for it.
+
+    What two nodes meet by goes once to a block of queries that has the first of them; no row per query and two nodes is made here.
+    """
+
+    def solve(_: tuple, rows: pa.Table, meets: pa.Table) -> pa.Table:
+        return pa.table(_link_block(rows, meets))
+
+    nodes = asking.select("block", "day", F.explode("nodes").alias("a")).groupBy("block", "a").agg(F.max("day").alias("most"))
+    here = nodes.join(meets.withColumn("later", F.coalesce(F.col("later").cast("long"), F.lit(_LATE + 1))), "a").filter("d <= most")
+    here = here.select(F.col("block").alias("to"), "a", "b", "d", "c", "later")
+    return asking.groupBy("block").cogroup(here.groupBy("to")).applyInArrow(solve, "query_id string, links array<long>")
 
 
 def first_two(pairs: DataFrame) -> DataFrame:

@@ -157,19 +157,10 @@ def cocitation_links(seeds: DataFrame, citations: DataFrame, budget: int) -> Dat
     """
     names, cites = beside.numbered_citations(citations)
     pairs = materialise(beside.together(cites))
-    rows = beside.asked(seeds, names)
-    ranked = beside.ranked(rows, pairs, budget)
-    count = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    rest = ranked.join(count, "query_id").select("query_id", F.struct(F.col("t").alias("no"), (F.col("n") + F.col("r") - 1).cast("int").alias("at")).alias("node"))
-    own = seeds.filter(F.col("ord") <= budget).join(names.select(F.col("name").alias("seed"), "no"), "seed").select("query_id", F.struct("no", (F.col("ord") - 1).cast("int").alias("at")).alias("node"))
-    queries = rows.groupBy("query_id").agg(F.first("x").alias("x"), F.first("day").alias("day"))
-    chosen = own.unionByName(rest).groupBy("query_id").agg(F.collect_list("node").alias("nodes")).join(queries, "query_id")
-    chosen = materialise(chosen.withColumn("q", F.monotonically_increasing_id()))
-    met = chosen.select("q", "x", "day", "nodes", F.explode("nodes").alias("a")).select("q", "x", "day", "a", F.explode(F.filter("nodes", lambda n: n["no"] > F.col("a.no"))).alias("b"))
-    met = met.select("q", "x", "day", F.col("a.no").alias("a"), F.col("b.no").alias("b"), F.shiftleft(F.col("a.at").cast("long"), 32).bitwiseOR(F.col("b.at").cast("long")).alias("at"))
-    linked = met.join(beside.first_two(pairs), ["a", "b"]).filter(F.when(F.col("c") == F.col("x"), F.col("later")).otherwise(F.col("d")) <= F.col("day")).select("q", "at")
+    chosen = materialise(beside.chosen(beside.asked(seeds, names), pairs, budget))
+    linked = beside.linked(chosen, beside.first_two(pairs)).select("query_id", F.explode("links").alias("at"))
     one, two = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")
-    both = linked.join(chosen.select("q", "query_id"), "q").select("query_id", F.explode(F.array(F.struct(one.alias("source_at"), two.alias("target_at")), F.struct(two.alias("source_at"), one.alias("target_at")))).alias("l"))
+    both = linked.select("query_id", F.explode(F.array(F.struct(one.alias("source_at"), two.alias("target_at")), F.struct(two.alias("source_at"), one.alias("target_at")))).alias("l"))
     return both.select("query_id", "l.source_at", "l.target_at")
 
 

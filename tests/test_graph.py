@@ -198,6 +198,26 @@ def test_cocitation_links(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("budget", [1, 3, 30])
+def test_links_of_cocitation_are_made_in_blocks(spark, budget, monkeypatch):
+    """As by brute force, with NULL days and nobody left out; no row per query and two of its nodes goes to a join, where it could be broadcast."""
+    from docketry.operators import beside
+
+    monkeypatch.setattr(beside, "AT_ONCE", 20)
+    seeds, citations, asked, cited = asked_and_cited(spark, budget + 20)
+    df = graph.cocitation_links(seeds, citations, budget)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" in plan and "Join" not in plan[: plan.index("CoGroups")]
+    want = set()
+    for q, nodes in brute_cocitation(asked, cited, budget).items():
+        x, day, _ = asked[q]
+        for ts in seen_by(cited, x, day).values():
+            at = [i for i, (n, *_) in enumerate(nodes) if n in ts]
+            want |= {(q, i, j) for i in at for j in at if i != j}
+    got = [tuple(r) for r in df.collect()]
+    assert set(got) == want and len(got) == len(want) and bool(want) == (budget > 1)
+
+
 def test_coverage_of_cocitation(spark):
     """Its counts come from blocks of queries too."""
     from docketry.plans import graph_queries
