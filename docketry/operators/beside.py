@@ -401,43 +401,146 @@ def walked(requests: DataFrame, names: DataFrame, near: DataFrame, hops: int) ->
     return visited
 
 
-def _tree_block(budget: int, tree: Callable[[list[int], set[tuple[int, int]]], list[int]], rows: pa.Table, cites: pa.Table) -> dict:
-    order = np.lexsort((column(cites, "d"), column(cites, "s")))
-    d = column(cites, "d")[order]
-    seeds, first = np.unique(column(cites, "s")[order], return_index=True)
-    last = np.append(first[1:], len(order))
-    targets, t = np.unique(column(cites, "t")[order], return_inverse=True)
-    cases, c = np.unique(column(cites, "c")[order], return_inverse=True)
-    own = targets[t] == column(cites, "s")[order]
-    least, kept = np.full(len(targets), len(cases)), np.zeros(len(cases), dtype=bool)
+#: What a node of a tree costs, and what a node beside a seed is worth a seed; a seed is worth 1.
+COST, PRIZE = 0.1, 0.25
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All places from each ``lo`` to its ``hi``."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class _Near:
+    """What cases cite, both ways, with the tree of one query after the other; nodes are places in ``names``."""
+
+    def __init__(self, cites: pa.Table, more: np.ndarray) -> None:
+        c, t, d = (column(cites, k) for k in ("c", "t", "d"))
+        self.names = np.unique(np.concatenate([c, t, more]))
+        c, t, n = np.searchsorted(self.names, c), np.searchsorted(self.names, t), len(self.names)
+        by_case, by_target = np.lexsort((t, c)), np.lexsort((d, t))
+        self.to, self.to_d, self.to_at = t[by_case], d[by_case], np.searchsorted(c[by_case], np.arange(n + 1))
+        self.of, self.of_d, self.of_at = c[by_target], d[by_target], np.searchsorted(t[by_target], np.arange(n + 1))
+        self.both = (np.diff(self.to_at) > 0) & (np.diff(self.of_at) > 0)
+        self.worth, self.beside, self.behind = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+
+    def citing(self, t: int, x: int, day: int) -> np.ndarray:
+        lo, hi = self.of_at[t], self.of_at[t + 1]
+        out = self.of[lo : lo + int(np.searchsorted(self.of_d[lo:hi], day, "right"))]
+        return out[out != x]
+
+    def cited(self, cases: np.ndarray, day: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cases, and what each of them cites."""
+        lo, hi = self.to_at[cases], self.to_at[cases + 1]
+        at, case = _ranges(lo, hi), np.repeat(cases, hi - lo)
+        seen = self.to_d[at] <= day
+        return case[seen], self.to[at[seen]]
+
+    def tree(self, seeds: list[int], x: int, day: int, budget: int, slow: Callable[[list[int], set[tuple[int, int]]], list[int]], every: bool) -> list[int]:
+        around = {u: self.citing(u, x, day) for u in seeds}
+        if every or self.both.any():  # what cites and is cited may be on either side of a way
+            case, target = self.cited(np.unique(np.concatenate([*around.values()])), day)
+            if every or self.both[case].any() or self.both[target].any():
+                return slow(seeds, set(zip(case.tolist(), target.tolist(), strict=True)))
+        for cases in around.values():
+            self.worth[cases] += 1
+        try:
+            return self._grow(seeds, around, x, day, budget)
+        finally:
+            for cases in around.values():
+                self.worth[cases] = 0
+
+    def _grow(self, seeds: list[int], around: dict[int, np.ndarray], x: int, day: int, budget: int) -> list[int]:
+        """Cases and targets alternate on every way, and all cases are beside a seed: rings come from flags of what is beside the tree
+        (``beside``) and of the targets of cases there (``behind``), and only for seeds that no case joins to the tree."""
+        gain = lambda i: 1.0 - COST if i in around else PRIZE * int(self.worth[i]) - COST
+        shared = {u: cases[self.worth[cases] > 1] for u, cases in around.items()}
+        order: list[int] = []
+        cases_beside: list[np.ndarray] = []  # of targets of the tree
+        targets_beside: list[np.ndarray] = []
+        behind: list[np.ndarray] = []
+        beyond: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def add(node: int) -> None:
+            order.append(node)
+            if node in around or not self.worth[node]:
+                cases = around[node] if node in around else self.citing(node, x, day)
+                cases_beside.append(cases if node in around else cases[self.worth[cases] > 0])
+                self.beside[cases_beside[-1]] = True
+            else:
+                targets_beside.append(self.cited(np.array([node]), day)[1])
+                self.beside[targets_beside[-1]] = True
+
+        def way_from(u: int, plain: bool) -> list[int] | None:
+            if self.beside[u]:
+                return [u]
+            near = shared[u] if plain else around[u]
+            near = near[self.beside[near]]
+            if len(near):
+                return [u, int(near.min())]
+            if u not in beyond:
+                beyond[u] = self.cited(around[u], day)
+            case, target = beyond[u]
+            there = self.beside[target]
+            if there.any():
+                w = case[there].min()
+                return [u, int(w), int(target[there & (case == w)].min())]
+            while len(behind) < len(cases_beside):
+                behind.append(self.cited(cases_beside[len(behind)], day)[1])
+                self.behind[behind[-1]] = True
+            there = self.behind[target]
+            if not there.any():
+                return None
+            w = case[there].min()
+            t = int(target[there & (case == w)].min())
+            last = self.citing(t, x, day)
+            return [u, int(w), t, int(last[self.beside[last]].min())]
+
+        try:
+            add(seeds[0])
+            left, plain = sorted(u for u in around if u != seeds[0] and len(around[u])), True
+            while left and len(order) < budget:
+                best, best_gain = None, 0.0
+                for u in left:
+                    way = way_from(u, plain)
+                    if way and len(order) + len(way) <= budget and (total := sum(gain(i) for i in way)) > best_gain:
+                        best, best_gain = way, total
+                if best is None:
+                    break
+                for node in reversed(best):
+                    add(node)
+                plain = plain and len(best) < 3  # else a target may be no seed, and cases of one seed beside it
+                left = [u for u in left if u not in best]  # another seed may stand on the way
+            room = budget - len(order)
+            if room > 0:
+                keys = np.concatenate(cases_beside)
+                keys = keys - self.worth[keys] * len(self.names)
+                most = budget * len(cases_beside)
+                keys = np.unique(np.partition(keys, most)[:most] if len(keys) > 4 * most else keys)
+                taken = set(order)
+                order += [i for i in (keys % len(self.names)).tolist() if i not in taken and gain(i) > 0][:room]
+            return order
+        finally:
+            for at in (*cases_beside, *targets_beside):
+                self.beside[at] = False
+            for at in behind:
+                self.behind[at] = False
+
+
+def _tree_block(budget: int, tree: Callable[[list[int], set[tuple[int, int]]], list[int]], rows: pa.Table, cites: pa.Table, every: bool = False) -> dict:
     s, x, days, ord_ = (column(rows, k) for k in ("s", "x", "day", "ord"))
+    near = _Near(cites, s)
+    s, known = np.searchsorted(near.names, s), np.searchsorted(near.names, x)
+    known[known == len(near.names)] = 0
+    place = np.where(near.names[known] == x, known, -1)
     out: dict = {k: [] for k in ("query_id", "position", "node")}
     for query, at in by_query(rows):
         at = at[np.argsort(ord_[at], kind="stable")]
-        around, near, through = [], [], []
-        for one in set(s[at].tolist()) if x[at[0]] != NOBODY else ():
-            i = int(np.searchsorted(seeds, one))
-            if i < len(seeds) and seeds[i] == one:
-                part = slice(first[i], first[i] + int(np.searchsorted(d[first[i] : last[i]], days[at[0]], "right")))
-                some = cases[c[part]] != x[at[0]]
-                tt, cc = t[part][some], c[part][some]
-                np.minimum.at(least, tt, cc)  # the smallest case that cites the seed and another target
-                through.append(least[tt])
-                least[tt] = len(cases)
-                near.append(cc[own[part][some]])
-                around.append((cc, tt))
-        links: set[tuple[int, int]] = set()
-        if near:
-            u, n = _counts(np.concatenate(near), len(cases))
-            stay = np.concatenate([*through, u[_best(n, np.zeros_like(n), u, budget)]])
-            kept[stay] = True
-            for cc, tt in around:
-                links.update(zip(cases[cc[k := kept[cc]]].tolist(), targets[tt[k]].tolist(), strict=True))
-            kept[stay] = False
-        nodes = tree(s[at].tolist(), links)
+        seeds, one = s[at].tolist(), at[0]
+        nodes = seeds[: min(1, budget)] if x[one] == NOBODY or budget < 1 else near.tree(seeds, int(place[one]), int(days[one]), budget, tree, every)
         out["query_id"] += [query] * len(nodes)
         out["position"] += range(1, len(nodes) + 1)
-        out["node"] += nodes
+        out["node"] += near.names[nodes].tolist() if nodes else []
     return {"query_id": pa.array(out["query_id"], pa.string()), "position": pa.array(out["position"], pa.int32()), "node": pa.array(out["node"], pa.int64())}
 
 
@@ -445,18 +548,22 @@ def _tree_block(budget: int, tree: Callable[[list[int], set[tuple[int, int]]], l
 NOBODY = -2
 
 
-def trees(seeds: DataFrame, citations: DataFrame, budget: int, tree: Callable[[list[int], set[tuple[int, int]]], list[int]]) -> DataFrame:
-    """``query_id, position, node_id``: ``tree`` of every query's seeds and of the links around them that it can need."""
+def trees(seeds: DataFrame, citations: DataFrame, budget: int, tree: Callable[[list[int], set[tuple[int, int]]], list[int]], every: bool = False) -> DataFrame:
+    """``query_id, position, node_id`` of the greedy tree (two hops) of every query's seeds in what the cases that cite one of them cite.
+
+    What a case cites goes once to every block of queries that it is near to. ``tree`` solves queries where a node
+    cites and is cited, or every query.
+    """
 
     def solve(_: tuple, rows: pa.Table, cites: pa.Table) -> pa.Table:
-        return pa.table(_tree_block(budget, tree, rows, cites))
+        return pa.table(_tree_block(budget, tree, rows, cites, every))
 
     names, cites = numbered_citations(citations, seeds.select("seed"))
-    pairs = cites.select("c", F.col("t").alias("s"), F.col("d").alias("e")).join(cites, "c").select("s", "t", "c", F.greatest("d", "e").alias("d"))
     left_out = F.when(F.col("exclude").isNull(), NOBODY).otherwise(F.coalesce("x", F.lit(-1))).cast("long")
     rows = seeds.join(names.select(F.col("name").alias("seed"), F.col("no").alias("s")), "seed").join(names.select(F.col("name").alias("exclude"), F.col("no").alias("x")), "exclude", "left")
     block = F.pmod(F.xxhash64("query_id"), F.lit(max(BLOCKS, seeds.count() // ROWS))).cast("int")
     rows = materialise(rows.select(block.alias("block"), "query_id", left_out.alias("x"), day("as_of", _LATE).alias("day"), F.col("ord").cast("int").alias("ord"), "s"))
-    here = rows.groupBy("block", "s").agg(F.max("day").alias("most")).join(materialise(pairs), "s").filter("d <= most").select(F.col("block").alias("to"), F.col("s").alias("of"), "t", "c", "d").withColumnRenamed("of", "s")
+    cases = rows.groupBy("block", "s").agg(F.max("day").alias("most")).join(cites.withColumnRenamed("t", "s"), "s").filter("d <= most").groupBy("block", "c").agg(F.max("most").alias("most"))
+    here = cases.join(cites, "c").filter("d <= most").select(F.col("block").alias("to"), F.col("c").alias("by"), "t", "d").withColumnRenamed("by", "c")
     found = rows.groupBy("block").cogroup(here.groupBy("to")).applyInArrow(solve, "query_id string, position int, node long")
     return found.join(names.select(F.col("no").alias("node"), F.col("name").alias("node_id")), "node").select("query_id", "position", "node_id")

@@ -265,7 +265,7 @@ def _bits(mask: int) -> list[int]:
     return out
 
 
-def steiner_tree(seeds: list[str], links: set[tuple[str, str]], budget: int, hops: int, edge_cost: float = 0.1, neighbour_prize: float = 0.25) -> list[str]:
+def steiner_tree(seeds: list[str], links: set[tuple[str, str]], budget: int, hops: int, edge_cost: float = beside.COST, neighbour_prize: float = beside.PRIZE) -> list[str]:
     """Greedy prize-collecting tree over bit masks: nodes are numbered in the order of their ids, a set of nodes is an integer.
 
     A seed is worth 1, another node ``neighbour_prize`` per seed beside it, every node costs ``edge_cost``. Rings of nodes around the
@@ -317,6 +317,7 @@ def near_links(seeds: DataFrame, citations: DataFrame, budget: int) -> DataFrame
     ``seeds``, ``citations`` as in :func:`cocitation`. A way goes through the smallest case that cites both a seed and
     another target, and the tree takes the cases of most seeds, then the smallest, up to the budget: only those cases stay. So
     what a query brings to a task is bounded by its seeds times the targets beside them, however many cases cite a seed.
+    Where seeds stay outside the tree, their cases can take the places of some beside it; :func:`near_trees` has all.
     """
     seen = F.coalesce(F.col("seen_from") <= F.col("as_of"), F.lit(True))
     near = seeds.join(citations.withColumnRenamed("target", "seed"), "seed").filter((F.col("case_id") != F.col("exclude")) & seen).select("query_id", "as_of", "seed", "case_id").distinct()
@@ -342,9 +343,9 @@ def steiner_trees(seeds: DataFrame, links: DataFrame, budget: int, hops: int) ->
 
 
 def near_trees(seeds: DataFrame, citations: DataFrame, budget: int, hops: int) -> DataFrame:
-    """The trees of :func:`steiner_trees` over :func:`near_links`, whose links never leave the block of queries that needs them."""
+    """The trees of :func:`steiner_trees` over all that the cases near a query's seeds cite, whose links never leave the block of queries that needs them."""
 
     def tree(start: list[int], links: set[tuple[int, int]]) -> list[int]:
         return steiner_tree(start, links, budget, hops)
 
-    return beside.trees(seeds, citations, budget, tree)
+    return beside.trees(seeds, citations, budget, tree, every=hops != 2)  # arrays have ways of two hops from either end

@@ -280,6 +280,38 @@ def test_trees_of_blocks(spark):
     assert got == of(graph.steiner_trees(seeds, graph.near_links(seeds, citations, 6), 6, 2)) and {q for q, *_ in got} == set(asked)
 
 
+@pytest.mark.parametrize("budget", [1, 3, 9, 32])
+def test_trees_grow_in_arrays(budget):
+    """As by the plain tree over all that is near, ways through targets that are no seeds, and seeds on the way of others, included; only mixed nodes need it."""
+    import pyarrow as pa
+
+    from docketry.operators import beside
+
+    def plain(seeds, links):
+        assert mixed
+        return graph.steiner_tree(seeds, links, budget, 2)
+
+    long = 0
+    for seed in range(60):
+        rng, mixed = random.Random(seed), seed % 6 == 0
+        ids = rng.sample(range(260), 260)
+        cases, targets = ids[:200], ids[200:]
+        cited = {(rng.choice(cases), rng.choice(targets)): rng.randrange(8) for _ in range(400)}
+        cited |= {(rng.choice(targets), rng.choice(ids)): rng.randrange(8) for _ in range(3 * mixed)}
+        asked = {f"q{k}": (rng.sample(targets, rng.randrange(1, 9)), rng.choice([rng.choice(cases), -1, beside.NOBODY]), rng.randrange(9)) for k in range(6)}
+        rows = pa.Table.from_pylist([{"query_id": q, "x": x, "day": day, "ord": k + 1, "s": s} for q, (ss, x, day) in asked.items() for k, s in enumerate(ss)])
+        cites = pa.Table.from_pylist([{"c": c, "t": t, "d": d} for (c, t), d in cited.items()])
+        got = {}
+        for r in pa.table(beside._tree_block(budget, plain, rows, cites)).to_pylist():
+            got.setdefault(r["query_id"], []).append(r["node"])
+        for q, (ss, x, day) in asked.items():
+            near = {c for (c, t), d in cited.items() if x != beside.NOBODY and t in ss and d <= day and c != x}
+            want = graph.steiner_tree(ss, {(c, t) for (c, t), d in cited.items() if c in near and d <= day}, budget, 2)
+            assert got[q] == want, (seed, q)
+            long += any(n in targets and n not in ss for n in want)
+    assert long or budget < 9
+
+
 def test_sizes_of_expansions(spark, monkeypatch):
     """As many nodes as the expansions have, with NULL days and nobody left out; the status cleans the graph once."""
     from docketry.plans import graph_queries
